@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op3_sharding": op3_sharding, "op4_quality": op4_quality, "op7_toxicity": op7_toxicity, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
