@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality, sharding, simhash, toxicity
+from . import decontamination, mixing, quality, sharding, simhash, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(table(spark, sf_dir, "documents"))
 
@@ -31,9 +35,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op10_mixing": op10_mixing}
+QUERIES = {"op2_warc": op2_warc, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
