@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality, sharding, simhash, toxicity, urls, warc
+from . import decontamination, mixing, quality, repeats, rules, sharding, simhash, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rule_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
@@ -35,6 +39,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -43,5 +51,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_sharding": op3_sharding, "op4_quality": op4_quality, "op5_simhash": op5_simhash, "op6_decontamination": op6_decontamination, "op7_toxicity": op7_toxicity, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
+QUERIES = {f.__name__: f for f in (op1_rules, op2_warc, op3_sharding, op4_quality, op5_simhash, op6_decontamination, op7_toxicity, op8_repeats, op9_urls, op10_mixing)}
 ORACLES: dict[str, str] = {}
