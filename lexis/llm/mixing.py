@@ -54,54 +54,75 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), mos
     fits = F.col("level") <= F.col("bound").cast("double") / F.col("weight")
     level = F.max(F.struct(F.when(fits, 1).otherwise(0).alias("ok"), (-F.col("full")).alias("order"), F.col("level").alias("v"))).over(every)
     return levels.withColumn("common", level["v"]).select(
-        "missing", "source", "rank", "weight", "source_size",
+        "missing", "source", "rank", "weight", "source_size", F.col("total").alias("all_words"),
         F.least(F.col("bound").cast("double"), F.col("weight") * F.col("common")).alias("target"),
     )
 
 
-def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: tuple[tuple[float, ...], ...] = CURRICULUM, buckets: int = 512, seed: int = 17) -> DataFrame:
-    """How many words the mix takes of each row, and where in training it stands.
+def prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, buckets: int, seed: int, *carried) -> DataFrame:
+    """Id, source, size in words, and the place in the fixed pseudo-random order (`bucket`, then `mix`) of every row."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    source = F.col(source_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), source.isNull().alias("missing"), F.coalesce(source, F.lit("")).alias("source"), size.alias("size"), *carried)
+    mix = F.xxhash64("doc_id", "size", F.lit(seed))
+    return rows.withColumn("mix", mix).withColumn("bucket", F.pmod(mix, F.lit(buckets)).cast("int"))
 
-    A source's documents are laid out in a fixed pseudo-random order, as often as its target needs; a copy is taken
-    whole if its middle lies before the target, so a source misses its target by half a document at most. A copy's offset, as a
-    share of the target, is inverted through the integral of the source's weight schedule to its training position.
-
-    Returns id, `size` (words; null text: 0), `source_size`, `target`, `taken`, `copies` and `positions` (ascending,
-    in words of the whole mix), range-sorted by first position, rows not taken last. A null source is a source of
-    its own, after all others. Rows without words are taken 0 times. Repeated rows count each. Reruns agree: the
-    order depends on id and size alone, and rows equal in both are interchangeable. An empty table gives no rows;
-    other columns are ignored. Prefix sums run in `buckets` parts per source, so no source meets in one task.
+
+def placed(rows: DataFrame, parts: DataFrame, curriculum: tuple[tuple[float, ...], ...]) -> DataFrame:
+    """Rows with `source_size`, `target`, `copies` and `positions`; `parts` has `part_size` by source and bucket.
+
+    Prefix sums run over the parts of a source, and within each part; rows and sums meet in one exchange by part.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).isNull().alias("missing"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), size.alias("size")).withColumn(
-            "mix", F.xxhash64("doc_id", "size", F.lit(seed))
-        ),
-        "mix-rows",
-    ).withColumn("bucket", F.pmod("mix", F.lit(buckets)).cast("int"))
-    parts = materialise(rows.groupBy("missing", "source", "bucket").agg(F.sum("size").alias("part_size")), "mix-parts")
     targets = source_targets(parts.groupBy("missing", "source").agg(F.sum("part_size").alias("source_size")))
     earlier = Window.partitionBy("missing", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("base", F.coalesce(F.sum("part_size").over(earlier), F.lit(0))).join(targets, ["missing", "source"]).drop("part_size")
     within = Window.partitionBy("missing", "source", "bucket").orderBy("mix", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["missing", "source", "bucket"])
-    start = F.col("base") + F.col("inside")
-    most = 3
-    copies = sum((F.when((F.col("size") > 0) & ((start + k * F.col("source_size")).cast("double") + F.col("size") / 2 < F.col("target")), 1).otherwise(0) for k in range(most)), F.lit(0)).cast("int")
-    laid = laid.withColumn("start", start).withColumn("copies", copies)
-    whole = F.col("all_words")
-    classes = len(curriculum)
-
-    def position(epoch: Column) -> Column:
-        share = F.least(F.try_divide((F.col("start") + epoch * F.col("source_size")).cast("double"), F.col("target")), F.lit(1.0))
+    start, most = F.col("base") + F.col("inside"), 3
+
+    def begins(k: int) -> Column:
+        return (start + k * F.col("source_size")).cast("double")
+
+    taken = [F.when((F.col("size") > 0) & (begins(k) + F.col("size") / 2 < F.col("target")), 1).otherwise(0) for k in range(most)]
+
+    def position(k: int) -> Column:
+        share = F.least(F.try_divide(begins(k), F.col("target")), F.lit(1.0))
         at = time_of(share, curriculum[-1])
-        for k in range(classes - 1):
-            at = F.when(F.col("rank") % classes == k, time_of(share, curriculum[k])).otherwise(at)
-        return at * whole
+        for c in range(len(curriculum) - 1):
+            at = F.when(F.col("rank") % len(curriculum) == c, time_of(share, curriculum[c])).otherwise(at)
+        return at * F.col("all_words")
+
+    return laid.withColumn("copies", sum(taken, F.lit(0)).cast("int")).withColumn("positions", F.slice(F.array(*[position(k) for k in range(most)]), F.lit(1), F.col("copies")))
 
-    total = parts.agg(F.coalesce(F.sum("part_size"), F.lit(0)).alias("all_words"))
-    positions = F.slice(F.array(*[position(F.lit(k)) for k in range(most)]), F.lit(1), F.col("copies"))
-    mixed = laid.crossJoin(F.broadcast(total)).withColumn("positions", positions)  # the broadcast side is one row
+
+def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: tuple[tuple[float, ...], ...] = CURRICULUM, buckets: int = 4096, seed: int = 17) -> DataFrame:
+    """How many words the mix takes of each row, and where in training it stands.
+
+    A source's documents are laid out in a fixed pseudo-random order, as often as its target needs; a copy is taken
+    whole if its middle lies before the target, so a source misses its target by half a document at most. A copy's
+    offset, as a share of the target, is inverted through the integral of the source's weight schedule to its training
+    position.
+
+    Returns id, `size` (words), `source_size`, `target`, `taken`, `copies` and `positions` (ascending, in words of the
+    whole mix), range-sorted by first position, rows not taken last. A null source is a source of its own, after all
+    others. Rows without words are taken 0 times. Repeated rows count each. Reruns agree: the order depends on id and
+    size alone, and rows equal in both are interchangeable. An empty table gives no rows; other columns are ignored.
+    Prefix sums run in `buckets` parts per source, so no source meets in one task.
+    """
+    rows = materialise(prepared(docs, id_col, text_col, source_col, buckets, seed), "mix-rows")
+    parts = materialise(rows.groupBy("missing", "source", "bucket").agg(F.sum("size").alias("part_size")), "mix-parts")
+    mixed = placed(rows, parts, curriculum)
     return mixed.select(
         F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "positions",
     ).orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), id_col)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: tuple[tuple[float, ...], ...] = CURRICULUM, buckets: int = 4096, seed: int = 17) -> DataFrame:
+    """The documents in training order, each as often as the mix takes it, with their own columns.
+
+    The same mix as `curriculum_mix`, whose cases apply; here the documents travel with their places.
+    """
+    parts = materialise(prepared(docs, id_col, text_col, source_col, buckets, seed).groupBy("missing", "source", "bucket").agg(F.sum("size").alias("part_size")), "mix-parts")
+    rows = prepared(docs, id_col, text_col, source_col, buckets, seed, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    copies = placed(rows, parts, curriculum).select("row", "doc_id", F.explode("positions").alias("position"))
+    return copies.orderBy("position", "doc_id").select("row.*")
