@@ -108,9 +108,10 @@ def shared(rows: DataFrame, key: str) -> DataFrame:
     """The keys that more than one document has, with the smallest and largest of these documents.
 
     Equal neighbours of the sorted order, found by grouping: partial sums leave a row per key and task, so a passage
-    in a third of all documents does not meet in one task.
+    in a third of all documents does not meet in one task. The keys are written out, so that the join that follows has
+    an exchange on either side and its hot partitions can be split.
     """
-    return rows.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return materialise(rows.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), f"repeat-{key}")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
