@@ -6,16 +6,20 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
+# The least neighbours are written out before they are joined back: then both sides of the join have an exchange of
+# their own, and Spark can split the partition of a node with very many neighbours.
+
+
 def large_star(links: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours to its smallest neighbour (or itself)."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "links-least")
     return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
 
 
 def small_star(links: DataFrame) -> DataFrame:
     """Every node hands its smaller neighbours, and itself, to the smallest of them."""
-    least = links.groupBy("b").agg(F.min("a").alias("m"))
+    least = materialise(links.groupBy("b").agg(F.min("a").alias("m")), "links-least")
     handed = links.join(least, "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return handed.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
@@ -32,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     links = materialise(links, "links")
     seen = mark(links)
     while seen[0]:
-        links = materialise(small_star(large_star(links)), "links")
+        links = materialise(small_star(materialise(large_star(links), "links-large")), "links")
         now = mark(links)
         if now == seen:
             break
