@@ -184,7 +184,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     def join(acc, x):
         last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["begin"].alias("begin"), F.greatest(last["end"], x["end"]).alias("end"))))
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.named_struct(F.lit("begin"), last["begin"], F.lit("end"), F.greatest(last["end"], x["end"]))))
         return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["begin"]), grown).otherwise(F.concat(acc, F.array(x)))
 
     spans = F.aggregate(F.array_sort("s"), empty, join)
@@ -246,9 +246,9 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 10, coverage: fl
                 out.append(rest.decode() if rest != t and not null else None)
             return pa.StructArray.from_arrays([pa.array(gone), pa.array(out, pa.string())], ["gone", "text"])
 
-        columns = docs.columns
-        judged = docs.select("*", cut(F.col("text")).alias("__cut")).where(~F.col("__cut.gone"))
-        text = F.coalesce(F.col("__cut.text"), F.col("text"))
-        length = F.when(F.col("__cut.text").isNotNull(), F.length("__cut.text").cast("long")).otherwise(F.col("n_chars"))
-        docs = judged.select(*[text.alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(c) for c in columns])
+        row, done = F.struct(*[docs[c] for c in docs.columns]), F.col("cut")
+        judged = docs.select(row.alias("row"), cut(F.col("text")).alias("cut")).where(~done["gone"])
+        text = F.coalesce(done["text"], F.col("row.text"))
+        length = F.when(done["text"].isNotNull(), F.length(done["text"]).cast("long")).otherwise(F.col("row.n_chars"))
+        docs = judged.select(*[{"text": text, "n_chars": length}.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
     return docs
