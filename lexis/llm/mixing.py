@@ -59,13 +59,14 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), mos
     )
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, buckets: int, seed: int, *carried) -> DataFrame:
-    """Id, source, size in words, and the place in the fixed pseudo-random order (`bucket`, then `mix`) of every row."""
+def prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, digits: int, seed: int, *carried) -> DataFrame:
+    """Id, source, size in words, and the place in the fixed pseudo-random order of every row: `mix`, a digest of id and
+    size, of which the leading `digits` make the `bucket`."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     source = F.col(source_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), source.isNull().alias("missing"), F.coalesce(source, F.lit("")).alias("source"), size.alias("size"), *carried)
-    mix = F.xxhash64("doc_id", "size", F.lit(seed))
-    return rows.withColumn("mix", mix).withColumn("bucket", F.pmod(mix, F.lit(buckets)).cast("int"))
+    mix = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("size").cast("string"), F.lit(str(seed))))
+    return rows.withColumn("mix", mix).withColumn("bucket", F.left("mix", F.lit(digits)))
 
 
 def placed(rows: DataFrame, parts: DataFrame, curriculum: tuple[tuple[float, ...], ...]) -> DataFrame:
@@ -95,7 +96,7 @@ def placed(rows: DataFrame, parts: DataFrame, curriculum: tuple[tuple[float, ...
     return laid.withColumn("copies", sum(taken, F.lit(0)).cast("int")).withColumn("positions", F.slice(F.array(*[position(k) for k in range(most)]), F.lit(1), F.col("copies")))
 
 
-def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: tuple[tuple[float, ...], ...] = CURRICULUM, buckets: int = 4096, seed: int = 17) -> DataFrame:
+def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: tuple[tuple[float, ...], ...] = CURRICULUM, digits: int = 3, seed: int = 17) -> DataFrame:
     """How many words the mix takes of each row, and where in training it stands.
 
     A source's documents are laid out in a fixed pseudo-random order, as often as its target needs; a copy is taken
@@ -107,9 +108,9 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole mix), range-sorted by first position, rows not taken last. A null source is a source of its own, after all
     others. Rows without words are taken 0 times. Repeated rows count each. Reruns agree: the order depends on id and
     size alone, and rows equal in both are interchangeable. An empty table gives no rows; other columns are ignored.
-    Prefix sums run in `buckets` parts per source, so no source meets in one task.
+    Prefix sums run in 16^digits parts per source, so no source meets in one task.
     """
-    rows = materialise(prepared(docs, id_col, text_col, source_col, buckets, seed), "mix-rows")
+    rows = materialise(prepared(docs, id_col, text_col, source_col, digits, seed), "mix-rows")
     parts = materialise(rows.groupBy("missing", "source", "bucket").agg(F.sum("size").alias("part_size")), "mix-parts")
     mixed = placed(rows, parts, curriculum)
     return mixed.select(
@@ -117,12 +118,12 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ).orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), id_col)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: tuple[tuple[float, ...], ...] = CURRICULUM, buckets: int = 4096, seed: int = 17) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: tuple[tuple[float, ...], ...] = CURRICULUM, digits: int = 3, seed: int = 17) -> DataFrame:
     """The documents in training order, each as often as the mix takes it, with their own columns.
 
     The same mix as `curriculum_mix`, whose cases apply; here the documents travel with their places.
     """
-    parts = materialise(prepared(docs, id_col, text_col, source_col, buckets, seed).groupBy("missing", "source", "bucket").agg(F.sum("size").alias("part_size")), "mix-parts")
-    rows = prepared(docs, id_col, text_col, source_col, buckets, seed, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    parts = materialise(prepared(docs, id_col, text_col, source_col, digits, seed).groupBy("missing", "source", "bucket").agg(F.sum("size").alias("part_size")), "mix-parts")
+    rows = prepared(docs, id_col, text_col, source_col, digits, seed, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     copies = placed(rows, parts, curriculum).select("row", "doc_id", F.explode("positions").alias("position"))
     return copies.orderBy("position", "doc_id").select("row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination, mixing, quality, repeats, rules, sharding, simhash, toxicity, urls, warc
 
@@ -32,7 +33,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +49,72 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.curriculum_mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.curriculum_mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("position", F.round(F.get("positions", F.lit(0))).cast("long")).drop("positions")
 
 
 QUERIES = {f.__name__: f for f in (op1_rules, op2_warc, op3_sharding, op4_quality, op5_simhash, op6_decontamination, op7_toxicity, op8_repeats, op9_urls, op10_mixing)}
-ORACLES: dict[str, str] = {}
+
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BENCHMARK_WORDS = rf"regexp_extract_all({FOLDED}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _time_sql(schedule: tuple[float, ...]) -> str:
+    """mixing.time_of in SQL."""
+    step = 1.0 / (len(schedule) - 1)
+    areas = [(a + b) / 2 * step for a, b in zip(schedule, schedule[1:])]
+    done, out = 0.0, ""
+    for i, area in enumerate(areas):
+        a, slope = schedule[i], (schedule[i + 1] - schedule[i]) / step
+        rest = f"greatest(share * {sum(areas)!r}::DOUBLE - {done!r}::DOUBLE, 0::DOUBLE)"
+        inside = f"{rest} / {a!r}::DOUBLE" if slope == 0 else f"(sqrt(greatest({a * a!r}::DOUBLE + {2 * slope!r}::DOUBLE * {rest}, 0::DOUBLE)) - {a!r}::DOUBLE) / {slope!r}::DOUBLE"
+        at = f"least({i * step!r}::DOUBLE + {inside}, {(i + 1) * step!r}::DOUBLE)"
+        out = at if not out else f"CASE WHEN share * {sum(areas)!r}::DOUBLE >= {done!r}::DOUBLE THEN {at} ELSE {out} END"
+        done += area
+    return out
+
+
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages),
+        f AS (SELECT page_id, h, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS latest FROM p)
+        SELECT page_id, strlen(h)::BIGINT payload_bytes, sha1(h) payload_digest, CASE WHEN latest = page_id THEN 'response' ELSE 'revisit' END record_type,
+          CASE WHEN latest <> page_id THEN latest END refers_to FROM f""",
+    "op6_decontamination": f"""
+        WITH d AS (SELECT doc_id, {BENCHMARK_WORDS} w FROM documents),
+        i AS (SELECT item_id, w, least(10, len(w)) n FROM (SELECT item_id, {BENCHMARK_WORDS} w FROM benchmark) WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') k FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) s FROM i)),
+        pos AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) s FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+        hit AS (SELECT doc_id, s, n, item_id FROM pos JOIN win USING (n, k)),
+        hw AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) p FROM hit) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR item FROM hit) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(ids, '')) items_sha256, n_hit IS NOT NULL contaminated
+        FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op8_repeats": f"""
+        WITH d AS (SELECT doc_id, {WORDS} w FROM documents),
+        s AS (SELECT doc_id, b, md5(array_to_string(w[b + 1:b + 50], ' ')) k FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) b FROM d WHERE len(w) >= 50)),
+        g AS (SELECT k, min(doc_id) least_id, max(doc_id) most_id FROM s GROUP BY k HAVING min(doc_id) < max(doc_id)),
+        m AS (SELECT doc_id, b, CASE WHEN doc_id = least_id THEN most_id ELSE least_id END other FROM s JOIN g USING (k)),
+        o AS (SELECT *, CASE WHEN b <= lag(b) OVER (PARTITION BY doc_id ORDER BY b) + 50 THEN 0 ELSE 1 END opens FROM m),
+        spans AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY b) span FROM o)
+        SELECT doc_id, min(b)::INT AS "begin", (max(b) + 50)::INT AS "end", (max(b) + 50 - min(b))::INT n_words, min(other) other_doc_id FROM spans GROUP BY doc_id, span""",
+    "op10_mixing": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, len({WORDS})::BIGINT size FROM documents),
+        r AS (SELECT *, md5(concat_ws(':', doc_id::VARCHAR, size::VARCHAR, '17')) mix FROM d),
+        src AS (SELECT source, sum(size)::BIGINT source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rk FROM d GROUP BY source),
+        wt AS (SELECT *, rk % 3 + 1 weight, 3 * source_size bound FROM src),
+        rounds(n, level) AS (
+          SELECT 0, (SELECT sum(source_size) / sum(weight) FROM wt)::DOUBLE
+          UNION ALL
+          SELECT n + 1, (SELECT (sum(source_size) - sum(CASE WHEN weight * level > bound THEN bound ELSE 0 END))::DOUBLE / sum(CASE WHEN weight * level > bound THEN 0 ELSE weight END)::DOUBLE FROM wt) FROM rounds WHERE n < 40),
+        lv AS (SELECT level FROM rounds WHERE n = 40),
+        tg AS (SELECT source, rk, source_size, CASE WHEN weight * level > bound THEN bound::DOUBLE ELSE weight * level END target FROM wt, lv),
+        p AS (SELECT r.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY mix, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r),
+        j AS (SELECT p.doc_id, p.size, p.start, tg.* FROM p JOIN tg ON p.source IS NOT DISTINCT FROM tg.source),
+        c AS (SELECT *, (CASE WHEN size > 0 THEN list_sum(list_transform([0, 1, 2], lambda k: CASE WHEN (start + k * source_size) + size / 2 < target THEN 1 ELSE 0 END)) ELSE 0 END)::INT copies,
+              least(CASE WHEN target > 0 THEN start / target END, 1::DOUBLE) share FROM j)
+        SELECT doc_id, size, source_size, target, (size * copies)::BIGINT taken, copies,
+          CASE WHEN copies > 0 THEN round((CASE rk % 3 WHEN 0 THEN {_time_sql(mixing.CURRICULUM[0])} WHEN 1 THEN {_time_sql(mixing.CURRICULUM[1])} ELSE {_time_sql(mixing.CURRICULUM[2])} END)
+            * (SELECT sum(size) FROM d))::BIGINT END AS position FROM c""",
+}
