@@ -594,7 +594,21 @@ def examples_by_stem(t: Tables) -> DataFrame:
     return ranks.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("rank"), 6).alias("total")).select("qid", F.lit("example-stem:tion").alias("matched_via"), "n", "total")
 
 
-@query()
+EXAMPLE_HITS = dict(
+    ph=PHRASE,
+    h="""SELECT 0 qid, 'example:in the' via, rid, tf FROM ph
+      UNION ALL SELECT 1, 'example:tionojn', rid, count(*) FROM posts WHERE term = 'tionojn' GROUP BY rid
+      UNION ALL SELECT 1, 'example-stem:tion', rid, count(*) FROM posts WHERE starts_with(term, 'tion') AND NOT EXISTS (SELECT 1 FROM posts WHERE term = 'tionojn') GROUP BY rid
+      UNION ALL SELECT 2, 'example:zzzz', rid, count(*) FROM posts WHERE term = 'zzzz' GROUP BY rid""",
+    stats=STATS,
+    f="SELECT qid, CASE WHEN ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) END idf, any_value(avgdl) avgdl FROM h, stats GROUP BY qid, n_docs",
+    ranks="SELECT h.*, -(idf * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))) AS rank FROM h JOIN dl USING (rid) JOIN f USING (qid)",
+    best="SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rank, 9), rid)::INT ord FROM ranks QUALIFY ord <= 20",
+    shown="SELECT b.qid, b.ord, e.art, e.drv_mrk, e.sense_mrk, coalesce(n.kap, e.drv_mrk) headword, e.ekz_md, b.via matched_via FROM best b JOIN ekzemplo e USING (rid) LEFT JOIN nodo_first n ON n.mrk = e.drv_mrk",
+)
+
+
+@query(sql("dl nodo_first", "SELECT * FROM shown", **EXAMPLE_HITS))
 def lookup_examples(t: Tables) -> DataFrame:
     return examples.lookup_examples(asked(t.nodo, *EXAMPLE_BATCH), t)
 
@@ -660,7 +674,21 @@ def assemble_senses(t: Tables) -> DataFrame:
 # Rendering.
 
 
-@query()
+LOOKUP_MD = dict(
+    WATERFALL,
+    trd="SELECT mrk, lng, string_agg(trd, ', ' ORDER BY r) trds FROM (SELECT x.mrk, lng, trd, min(t.rid) r FROM (SELECT DISTINCT mrk FROM results) x JOIN traduko t ON t.drv_mrk = x.mrk GROUP BY x.mrk, lng, trd) GROUP BY mrk, lng",
+    a=f"SELECT mrk, string_agg('- **' || CASE lng {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in text.LANGUAGE_NAMES.items())} ELSE lng END || '** (' || lng || '): ' || trds, chr(10) ORDER BY lng) s FROM trd GROUP BY mrk",
+    d="SELECT drv_mrk mrk, string_agg('**' || num || '.** ' || kap || ' & more *(' || num || ')*' || chr(10) || '  - *A ' || kap || ' & name*' || chr(10), chr(10) ORDER BY rid) s FROM nodo GROUP BY drv_mrk",
+    u="SELECT mrk, string_agg(uzo, ', ' ORDER BY r) s FROM (SELECT drv_mrk mrk, uzo, min(rid) r FROM uzo GROUP BY drv_mrk, uzo) GROUP BY mrk",
+    x="SELECT r.drv_mrk mrk, CASE tip WHEN 'sin' THEN 'Synonym' WHEN 'vid' THEN 'See' END label, f.kap, r.rid FROM referenco r JOIN nodo_first f ON f.mrk = r.cel WHERE tip <> 'super' QUALIFY row_number() OVER (PARTITION BY r.drv_mrk ORDER BY r.rid) <= 5",
+    c="SELECT mrk, string_agg('- ' || label || ': ' || kap, chr(10) ORDER BY rid) s FROM x GROUP BY mrk",
+    one="""SELECT r.qid, r.pos, '## ' || headword || coalesce(chr(10) || '*Matched via: ' || matched_via || '*', '') || coalesce(chr(10) || '**Domain:** ' || u.s, '') || coalesce(chr(10) || chr(10) || '### Translations' || chr(10) || a.s, '') ||
+      coalesce(chr(10) || chr(10) || '### Definitions' || chr(10) || d.s, '') || coalesce(chr(10) || chr(10) || '### See also' || chr(10) || c.s, '') s
+      FROM results r LEFT JOIN u ON u.mrk = r.mrk LEFT JOIN a ON a.mrk = r.mrk LEFT JOIN d ON d.mrk = r.mrk LEFT JOIN c ON c.mrk = r.mrk""",
+)
+
+
+@query(sql("nodo var rules traduko referenco uzo nodo_first", "SELECT qid, coalesce(string_agg(s, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos), 'No results found.') md FROM ws LEFT JOIN one USING (qid) GROUP BY qid", **LOOKUP_MD))
 def render_lookup(t: Tables) -> DataFrame:
     t.senses = html.parse_senses(articles(t))
     queries = asked(t.nodo, *BATCH)
@@ -679,7 +707,22 @@ def render_wildcard(t: Tables) -> DataFrame:
     return render.render_wildcard(wildcard.lookup_compact(t, "*r*", "en", 20, 5), wildcard.total(t, "*r*"), "*r*", "en", 5)
 
 
-@query()
+EXAMPLES_MD = dict(
+    EXAMPLE_HITS,
+    q="SELECT * FROM (VALUES (0, 'in the'), (1, 'tionojn'), (2, 'zzzz')) q(qid, q)",
+    g="SELECT qid, min(ord) o, count(*) n, '## ' || any_value(headword) || chr(10) || string_agg('- ' || ekz_md, chr(10) ORDER BY ord) || chr(10) s FROM shown GROUP BY qid, drv_mrk",
+    a="SELECT qid, sum(n)::BIGINT n, string_agg(s, chr(10) ORDER BY o) s FROM g GROUP BY qid",
+)
+
+
+@query(
+    sql(
+        "dl nodo_first",
+        """SELECT qid, CASE WHEN n IS NULL THEN 'No example sentences match `' || q || '`.' ELSE 'Found ' || n || ' example sentence' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' matching `' || q || '`.' || chr(10) || chr(10) ||
+        s || chr(10) || '_Call `lookup` on any headword above for its full dictionary entry._' END md FROM q LEFT JOIN a USING (qid)""",
+        **EXAMPLES_MD,
+    )
+)
 def render_examples(t: Tables) -> DataFrame:
     queries = asked(t.nodo, *EXAMPLE_BATCH)
     return render.render_examples(queries, examples.lookup_examples(queries, t))
