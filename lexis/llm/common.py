@@ -69,7 +69,7 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def pieces(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about `most` bytes, so that the words in memory stay few."""
     begin = held = 0
     for i, text in enumerate(texts):
@@ -84,7 +84,7 @@ def pieces(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int
 class WordHashes(dict):
     """Memo of 64-bit hashes by word; emptied when it holds `most` words."""
 
-    def __init__(self, seed: int = 0, most: int = 500_000):
+    def __init__(self, seed: int = 0, most: int = 100_000):
         super().__init__()
         self.seed, self.most = seed, most
 
