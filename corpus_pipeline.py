@@ -21,8 +21,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of benchmark items are cut out; a document with over a fifth of its words in them goes as a whole."""
-    return decontamination.cleaned(docs, table(spark, sf_dir, "benchmark"))
+    """Documents go whose matched spans exceed the coverage limit, here none at all: what stands around a leaked item
+    may still answer it. With a higher limit the spans alone are cut out."""
+    return decontamination.cleaned(docs, table(spark, sf_dir, "benchmark"), coverage=0.0)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
