@@ -34,12 +34,10 @@ def subtree(keys: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows whose key equals or lies below `drv` of the left side.
 
     A dotted drv is a derivation's key, and its subtree the rows with that drv_mrk; a dotless one stands for a whole
-    article. Either is an equality on a stored key, where the range of strings would be a nested loop.
+    article. So each row is offered under both of its stored keys and met by equality, where the range of strings
+    would be a nested loop.
     """
-    dotted = F.instr("drv", ".") > 0
-    below = keys.where(dotted).join(rows, F.col("drv") == rows["drv_mrk"])
-    whole = keys.where(~dotted).join(rows, F.col("drv") == rows["root_mrk"])
-    return below.unionByName(whole)
+    return keys.join(rows.withColumn("drv", F.explode(F.array_distinct(F.array("drv_mrk", "root_mrk")))), "drv")
 
 
 def nodes_of(trds: DataFrame, tables: Tables, limit: int) -> DataFrame:

@@ -19,9 +19,9 @@ def lengths(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("rid", F.size(tokens(F.col(text))).cast("bigint").alias("dl"))
 
 
-def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
+def corpus_stats(own_lengths: DataFrame) -> DataFrame:
     """One row: `n_docs`, `avgdl`."""
-    return lengths(docs, text).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return own_lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -51,12 +51,12 @@ def prefix_hits(queries: DataFrame, posts: DataFrame) -> DataFrame:
     return met.groupBy("qid", "rid").agg(F.count("*").alias("tf"))
 
 
-def bm25(hits: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Add `rank` (smaller is better): a phrase or prefix counts as one term of which as many rows have it as hits."""
+def bm25(hits: DataFrame, own_lengths: DataFrame) -> DataFrame:
+    """Add `rank` (smaller is better) by the lengths of all rows (`rid`, `dl`): a phrase or prefix counts as one term of which as many rows have it as hits."""
     found = hits.groupBy("qid").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, text).withColumn("one", F.lit(1))
+    stats = corpus_stats(own_lengths).withColumn("one", F.lit(1))
     idf = F.log((F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    own = hits.join(lengths(docs, text), "rid").join(found.withColumn("one", F.lit(1)).join(F.broadcast(stats), "one").drop("one"), "qid")  # one row of statistics
+    own = hits.join(own_lengths, "rid").join(found.withColumn("one", F.lit(1)).join(F.broadcast(stats), "one").drop("one"), "qid")  # one row of statistics
     return own.withColumn("rank", -(idf * weight)).drop("df", "n_docs", "avgdl")

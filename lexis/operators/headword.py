@@ -46,10 +46,9 @@ def prefix(words: DataFrame, tables: Tables, limit: int) -> DataFrame:
     Words and headwords meet by their first character; only words that begin with a wildcard go past all headwords.
     """
     wild = F.left("word", F.lit(1)).isin("%", "_")
-    heads = tables.nodo.withColumn("initial", F.left("kap_norm", F.lit(1)))
-    plain = words.where(~wild).withColumn("initial", F.left("word", F.lit(1))).join(heads, "initial")
-    every = words.where(wild).withColumn("initial", F.lit(0)).join(tables.nodo.withColumn("initial", F.lit(0)), "initial")
-    met = plain.drop("initial").unionByName(every.drop("initial")).where(like(F.col("kap_norm"), F.concat("word", F.lit("%"))))
+    heads = tables.nodo.withColumn("initial", F.explode(F.array(F.left("kap_norm", F.lit(1)), F.lit(""))))
+    begun = words.withColumn("initial", F.when(wild, "").otherwise(F.left("word", F.lit(1))))
+    met = begun.join(heads, "initial").where(like(F.col("kap_norm"), F.concat("word", F.lit("%"))))
     return top(distinct_nodes(met), limit * 5, F.length("kap"), "kap", "rid")
 
 
@@ -71,22 +70,23 @@ def normalised(queries: DataFrame) -> DataFrame:
 def headword_hits(queries: DataFrame, tables: Tables, limit: int = 5, fts_fallback: bool = False) -> DataFrame:
     """`qid`, node, `ord`, `tier`, `matched_via`: the rows of the first tier that finds nodes.
 
-    The prefix tier, which compares many headwords, runs only on words that the keyed tiers did not find.
+    The word and its stems meet the headwords in one join; the stems, in their order, come after the variants. The
+    prefix tier, which compares many headwords, runs only on words that these did not find.
     """
     words = normalised(queries)
+    forms = words.select("qid", "word", F.posexplode(stems(F.col("word"))).alias("rank", "form"))
+    step = F.when(F.col("form") == F.col("word"), 1000).otherwise(3000 + F.col("rank"))
+    via = F.when(F.col("form") != F.col("word"), F.concat(F.lit("stem:"), "form"))
+    direct = distinct_nodes(forms.join(tables.nodo, F.col("form") == F.col("kap_norm")).select("qid", step.alias("tier"), via.alias("matched_via"), *NODE, "rid"), "tier", "matched_via")
     none = F.lit(None).cast("string")
-    columns = ["qid", "tier", *NODE, "rid", "ord", "matched_via"]
-
-    def tier(n: int, hits: DataFrame, via) -> DataFrame:
-        return hits.withColumns({"tier": F.lit(n), "matched_via": via}).select(*columns)
-
-    by_stem = stem(words, tables).withColumn("via", F.concat(F.lit("stem:"), "stem")).drop("tier")
-    keyed = tier(1, exact(words, tables), none).unionByName(tier(2, variant(words, tables), none)).unionByName(tier(3, by_stem, F.col("via")))
+    of_variants = variant(words, tables).drop("ord").select("qid", F.lit(2000).alias("tier"), none.alias("matched_via"), *NODE, "rid")
+    keyed = by_length(first_tier(direct.unionByName(of_variants)))
     left = words.join(keyed.select("qid").distinct(), "qid", "left_anti")
-    found = keyed.unionByName(tier(4, prefix(left, tables, limit).join(words, "qid"), F.concat(F.lit("prefix:"), "word")))
+    found = keyed.unionByName(prefix(left, tables, limit).join(words, "qid").select(*NODE, "qid", "rid", "ord", F.lit(4000).alias("tier"), F.concat(F.lit("prefix:"), "word").alias("matched_via")))
     if fts_fallback:
-        found = found.unionByName(tier(5, token_prefix(left, tables, limit).join(words, "qid"), F.concat(F.lit("fts:"), "word")))
-    return first_tier(found)
+        found = found.unionByName(token_prefix(left, tables, limit).join(words, "qid").select(*NODE, "qid", "rid", "ord", F.lit(5000).alias("tier"), F.concat(F.lit("fts:"), "word").alias("matched_via")))
+        found = first_tier(found)
+    return found.select("qid", F.floor(F.col("tier") / 1000).cast("int").alias("tier"), *NODE, "rid", "ord", "matched_via")
 
 
 def lookup_headwords(queries: DataFrame, tables: Tables, limit: int = 5, fts_fallback: bool = False) -> DataFrame:

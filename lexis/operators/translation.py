@@ -27,11 +27,11 @@ def quoted_phrases(words: DataFrame) -> DataFrame:
     return words.where(valid).select("qid", F.posexplode(F.split(F.replace("word", F.lit('""'), F.lit(" ")), '"')).alias("phrase", "text"))
 
 
-def matching_rows(words: DataFrame, traduko: DataFrame, most: int = 100) -> DataFrame:
+def matching_rows(words: DataFrame, traduko: DataFrame, posts: DataFrame, most: int = 100) -> DataFrame:
     """The first `most` translation rows, over all languages, in which all phrases of the query stand."""
     parts = phrases(quoted_phrases(words))
     wanted = parts.select("qid", "phrase").distinct().groupBy("qid").agg(F.count("*").alias("all_phrases"))
-    votes = postings(traduko, "trd").join(parts, "term").groupBy("qid", "phrase", "rid", "n", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("got"))
+    votes = posts.join(parts, "term").groupBy("qid", "phrase", "rid", "n", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("got"))
     whole = votes.where("got = n").select("qid", "phrase", "rid").distinct().groupBy("qid", "rid").agg(F.count("*").alias("got_phrases"))
     rids = whole.join(wanted, "qid").where("got_phrases = all_phrases").select("qid", "rid")
     return top(rids, most, "rid").join(traduko.select("rid", "mrk", "lng", "trd"), "rid")
@@ -65,11 +65,11 @@ def translation_rows(queries: DataFrame, tables: Tables, parity: bool = True) ->
     without, after.
     """
     words = asked(queries).where("word <> ''").select("qid", "lang", "word")
-    phrase = matching_rows(words, tables.traduko).join(words.select("qid", "lang"), "qid").where("lng = lang")
+    phrase = matching_rows(words, tables.traduko, tables.indexed().trd_posts).join(words.select("qid", "lang"), "qid").where("lng = lang")
     if not parity:
         asked_languages = words.select(F.col("lang").alias("lng")).distinct()
         per_language = tables.traduko.join(asked_languages, "lng", "left_semi")
-        phrase = top(matching_rows(words, per_language, 1 << 30).drop("ord").join(words.select("qid", "lang"), "qid").where("lng = lang"), 100, "rid")
+        phrase = top(matching_rows(words, per_language, postings(per_language, "trd"), 1 << 30).drop("ord").join(words.select("qid", "lang"), "qid").where("lng = lang"), 100, "rid")
     found = _tier(1, exact_rows(words, tables.traduko, 50, True)).unionByName(_tier(2, phrase))
     left = words.join(found.select("qid").distinct(), "qid", "left_anti")
     return first_tier(found.unionByName(_tier(3, substring_rows(left, tables.traduko))))
@@ -78,7 +78,7 @@ def translation_rows(queries: DataFrame, tables: Tables, parity: bool = True) ->
 def all_language_rows(queries: DataFrame, tables: Tables) -> DataFrame:
     """Translation rows in any language: exact, else phrase."""
     words = asked(queries).select("qid", "word")
-    return first_tier(_tier(1, exact_rows(words, tables.traduko, 100, False)).unionByName(_tier(2, matching_rows(words, tables.traduko))))
+    return first_tier(_tier(1, exact_rows(words, tables.traduko, 100, False)).unionByName(_tier(2, matching_rows(words, tables.traduko, tables.indexed().trd_posts))))
 
 
 def results_of(rows: DataFrame, queries: DataFrame, tables: Tables, limit: int, language: Column) -> DataFrame:

@@ -267,13 +267,13 @@ FTS_TRD = f"SELECT *, row_number() OVER (ORDER BY rid)::INT ord FROM traduko WHE
 
 @query(sql("nodo traduko", "SELECT 0 qid, mrk, lng, trd, ord FROM f", f=FTS_TRD))
 def trans_fts_all(t: Tables) -> DataFrame:
-    return translation.matching_rows(translation.asked(asked(t.nodo, "un")), t.traduko).selectExpr(*TRD.split(", "))
+    return translation.matching_rows(translation.asked(asked(t.nodo, "un")), t.traduko, t.indexed().trd_posts).selectExpr(*TRD.split(", "))
 
 
 @query(sql("nodo traduko", "SELECT 0 qid, mrk, lng, trd, ord FROM f WHERE lng = 'fr'", f=FTS_TRD))
 def trans_fts_lang(t: Tables) -> DataFrame:
     """The 100 rows come before the language is looked at."""
-    return translation.matching_rows(translation.asked(asked(t.nodo, "un")), t.traduko).where("lng = 'fr'").selectExpr(*TRD.split(", "))
+    return translation.matching_rows(translation.asked(asked(t.nodo, "un")), t.traduko, t.indexed().trd_posts).where("lng = 'fr'").selectExpr(*TRD.split(", "))
 
 
 TRD_NODES = dict(
@@ -517,7 +517,7 @@ PHRASE = "SELECT a.rid, count(*) tf FROM posts a JOIN posts b ON a.rid = b.rid A
 
 def phrase(t: Tables, *texts: str) -> DataFrame:
     asked_for = words(t.nodo, *texts).withColumnRenamed("word", "text")
-    return fulltext.phrase_hits(asked_for, fulltext.postings(t.ekzemplo, "ekz_md"))
+    return fulltext.phrase_hits(asked_for, t.indexed().ekz_posts)
 
 
 @query(sql("posts", PHRASE))
@@ -527,7 +527,7 @@ def fts_phrase(t: Tables) -> DataFrame:
 
 @query(sql("posts", "SELECT rid, count(*) tf FROM posts WHERE starts_with(term, 'tion') GROUP BY rid"))
 def fts_prefix(t: Tables) -> DataFrame:
-    return fulltext.prefix_hits(words(t.nodo, "tion").withColumnRenamed("word", "text"), fulltext.postings(t.ekzemplo, "ekz_md")).select("rid", "tf")
+    return fulltext.prefix_hits(words(t.nodo, "tion").withColumnRenamed("word", "text"), t.indexed().ekz_posts).select("rid", "tf")
 
 
 STATS = "SELECT count(*) n_docs, avg(dl) avgdl FROM dl"
@@ -535,7 +535,7 @@ STATS = "SELECT count(*) n_docs, avg(dl) avgdl FROM dl"
 
 @query(sql("dl", "SELECT n_docs, round(avgdl, 9) avgdl FROM stats", stats=STATS))
 def bm25_stats(t: Tables) -> DataFrame:
-    return fulltext.corpus_stats(t.ekzemplo, "ekz_md").withColumn("avgdl", F.round("avgdl", 9))
+    return fulltext.corpus_stats(t.indexed().ekz_lengths).withColumn("avgdl", F.round("avgdl", 9))
 
 
 def bm25_sql(hits: str) -> dict[str, str]:
@@ -550,12 +550,12 @@ def bm25_sql(hits: str) -> dict[str, str]:
 
 @query(sql("dl", "SELECT rid, round(rank, 9) AS rank FROM ranks", **bm25_sql("SELECT rid, count(*) tf FROM posts WHERE term = 'the' GROUP BY rid")))
 def examples_bm25(t: Tables) -> DataFrame:
-    return fulltext.bm25(phrase(t, "the"), t.ekzemplo, "ekz_md").select("rid", F.round("rank", 9).alias("rank"))
+    return fulltext.bm25(phrase(t, "the"), t.indexed().ekz_lengths).select("rid", F.round("rank", 9).alias("rank"))
 
 
 @query(sql("dl", "SELECT rid, round(rank, 9) AS rank FROM ranks", **bm25_sql(PHRASE)))
 def examples_phrase(t: Tables) -> DataFrame:
-    return fulltext.bm25(phrase(t, "in the"), t.ekzemplo, "ekz_md").select("rid", F.round("rank", 9).alias("rank"))
+    return fulltext.bm25(phrase(t, "in the"), t.indexed().ekz_lengths).select("rid", F.round("rank", 9).alias("rank"))
 
 
 @query(sql("ekzemplo nodo_first", "SELECT e.rid, coalesce(f.kap, e.drv_mrk) headword, coalesce(g.kap, e.sense_mrk) sense_head FROM ekzemplo e LEFT JOIN nodo_first f ON f.mrk = e.drv_mrk LEFT JOIN nodo_first g ON g.mrk = e.sense_mrk"))
@@ -589,8 +589,8 @@ BY_PREFIX = bm25_sql("SELECT rid, count(*) tf FROM posts WHERE starts_with(term,
 
 @query(sql("dl", "SELECT 1 qid, 'example-stem:tion' matched_via, count(*) n, round(sum(rank), 6) total FROM best", **BY_PREFIX))
 def examples_by_stem(t: Tables) -> DataFrame:
-    hits = fulltext.prefix_hits(words(t.nodo, "x", "tion").where("qid = 1").withColumnRenamed("word", "text"), fulltext.postings(t.ekzemplo, "ekz_md"))
-    ranks = common.top(fulltext.bm25(hits, t.ekzemplo, "ekz_md"), 20, F.round("rank", 9), "rid")
+    hits = fulltext.prefix_hits(words(t.nodo, "x", "tion").where("qid = 1").withColumnRenamed("word", "text"), t.indexed().ekz_posts)
+    ranks = common.top(fulltext.bm25(hits, t.indexed().ekz_lengths), 20, F.round("rank", 9), "rid")
     return ranks.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("rank"), 6).alias("total")).select("qid", F.lit("example-stem:tion").alias("matched_via"), "n", "total")
 
 

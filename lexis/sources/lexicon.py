@@ -1,6 +1,6 @@
 """The tables of a lexicon, and their derived keys."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,11 @@ def with_keys(name: str, df: DataFrame) -> DataFrame:
 
 @dataclass
 class Tables:
-    """The tables as DataFrames with keys; `senses` has the parsed articles: `art`, `key`, `senses`."""
+    """The tables as DataFrames with keys.
+
+    Optional ones are built when data comes in: `senses` has the parsed articles (`art`, `key`, `senses`), the others
+    the inverted indexes of translations and examples. Where an index is missing, searches tokenise as they go.
+    """
 
     nodo: DataFrame
     var: DataFrame
@@ -40,6 +44,9 @@ class Tables:
     ekzemplo: DataFrame
     artikolo: DataFrame
     senses: DataFrame | None = None
+    trd_posts: DataFrame | None = None
+    ekz_posts: DataFrame | None = None
+    ekz_lengths: DataFrame | None = None
 
     @classmethod
     def of(cls, **frames: DataFrame) -> "Tables":
@@ -51,13 +58,21 @@ class Tables:
         first = F.min_by(F.struct("art", "kap", "num", "rid"), "rid").alias("n")
         return self.nodo.groupBy("mrk").agg(first).select("mrk", "n.*")
 
+    def indexed(self) -> "Tables":
+        """The tables with the inverted indexes that they lack."""
+        from ..operators.fulltext import lengths, postings
+
+        return replace(
+            self, trd_posts=self.trd_posts or postings(self.traduko, "trd"), ekz_posts=self.ekz_posts or postings(self.ekzemplo, "ekz_md"), ekz_lengths=self.ekz_lengths or lengths(self.ekzemplo, "ekz_md")
+        )
+
     def write(self, folder: str) -> None:
         """Store the tables as Parquet, range-sorted by the column that searches use, so that row groups are skipped."""
-        keys = {"nodo": "kap_norm", "var": "kap_norm", "traduko": "trd", "referenco": "drv_mrk", "uzo": "drv_mrk", "ekzemplo": "drv_mrk", "artikolo": "mrk", "senses": "art"}
+        keys = {"nodo": "kap_norm", "var": "kap_norm", "traduko": "trd", "referenco": "drv_mrk", "uzo": "drv_mrk", "ekzemplo": "drv_mrk", "artikolo": "mrk", "senses": "art", "trd_posts": "term", "ekz_posts": "term", "ekz_lengths": "rid"}
         for name, key in keys.items():
             if (df := getattr(self, name)) is not None:
                 df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{folder}/{name}")
 
     @classmethod
-    def read(cls, spark: SparkSession, folder: str, names: tuple[str, ...] = (*SCHEMAS, "senses")) -> "Tables":
+    def read(cls, spark: SparkSession, folder: str, names: tuple[str, ...] = (*SCHEMAS, "senses", "trd_posts", "ekz_posts", "ekz_lengths")) -> "Tables":
         return cls(**{n: spark.read.parquet(f"{folder}/{n}") for n in names})

@@ -63,4 +63,4 @@ def read_lexicon(spark: SparkSession, path: str, parts: int = 8) -> Tables:
 
     articles = read("artikolo")
     frames = {n: read(n) for n in ("nodo", "var", "traduko", "referenco", "uzo")}
-    return Tables.of(**frames, artikolo=articles, ekzemplo=build_examples(articles), senses=parse_senses(articles))
+    return Tables.of(**frames, artikolo=articles, ekzemplo=build_examples(articles), senses=parse_senses(articles)).indexed()
