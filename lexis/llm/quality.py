@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bytes_of, pieces, remainder
+from .common import WordHashes, bytes_of, least_hashed, pieces, remainder
 
 #: Hashed words take the indices below WORDS; every statistic then has BINS one-hot indices.
 WORDS, BINS, RANK = 1 << 15, 16, 8
@@ -135,7 +135,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus:
     Rows whose remainder is `held` never enter. The sample's size is the bound that lets it be broadcast to the scan.
     """
     wanted = labels.select(F.col("doc_id").alias("labelled_id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull() & (remainder(F.col("labelled_id"), modulus) != held))
-    chosen = wanted.groupBy("labelled_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most)
+    chosen = least_hashed(wanted.groupBy("labelled_id").agg(F.min("label").alias("label")), most, "labelled_id")
     return docs.select("doc_id", *columns).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).drop("labelled_id")
 
 

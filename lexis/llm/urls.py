@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
+
 #: (verdict, host, path): a rule fits its host and all subdomains if the url's path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 NAMES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "fragment", "secure", "top_suffix", "second_suffix")
@@ -123,7 +125,8 @@ def boost(model: Trees, x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: fl
 
 def train(judged: DataFrame, most: int = 20_000, depth: int = 3) -> Trees:
     """Fit on at most `most` urls that a rule labels, those with the smallest hashes; without any, all are allowed."""
-    rows = judged.where("fit is not null").select("url", "host", "path", (F.col("fit.verdict") == "block").cast("double").alias("y")).orderBy(F.xxhash64("url"), "url").limit(most).toArrow()
+    labelled = judged.where("fit is not null").select("url", "host", "path", (F.col("fit.verdict") == "block").cast("double").alias("y"))
+    rows = least_hashed(labelled, most, "url").toArrow()
     y = rows["y"].to_numpy()
     model = Trees(depth, base=-1.0)
     if not len(y):

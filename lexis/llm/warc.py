@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import least_hashed, materialise, new_path
 
 #: The skippable frame that carries the dictionary, as the public .warc.zst convention has it.
 SKIPPABLE = 0x184D2A5D
@@ -116,8 +116,8 @@ def write_archives(pages: DataFrame, folder: str, roll: int = 256_000_000, sampl
     what reaches the driver. Each attempt of a task writes files of its own name; only the manifest, which has those
     of the attempts that counted, says what belongs to the archive, so repeated tasks do no harm.
     """
-    least = pages.where("html is not null").select(F.substring("html", 1, sample_bytes).alias("html"), F.xxhash64("page_id", "url").alias("h"), "page_id")
-    taken = least.orderBy("h", "page_id").limit(samples).collect()
+    least = pages.where("html is not null").select(F.substring("html", 1, sample_bytes).alias("html"), "page_id", "url")
+    taken = least_hashed(least, samples, "page_id", "url").collect()
     shared = pages.sparkSession.sparkContext.broadcast(dictionary([record(r.page_id, None, r.html.encode(), "00" * 20, None) for r in taken]))
 
     def write(batches):
