@@ -57,8 +57,12 @@ def scores(texts: list[bytes], bias: float, dense: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, seed: int = 7) -> Weights:
-    """FTRL-proximal: every coordinate has its own rate alpha / (beta + sqrt(sum of squared gradients))."""
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float | None = None, l2: float = 1.0, seed: int = 7) -> Weights:
+    """FTRL-proximal: every coordinate has its own rate alpha / (beta + sqrt(sum of squared gradients)).
+
+    The default L1 strength grows with the root of the number of rows, as the noise in a coordinate's sum does.
+    """
+    l1 = 0.042 * len(rows) ** 0.5 if l1 is None else l1
     z, n, rng = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS), np.random.default_rng(seed)
     bias, g_bias = 0.0, 1.0
     if len(labels):
@@ -84,7 +88,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 3, alpha: flo
     return Weights(float(bias), kept, w[kept].astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, most: int = 6000) -> Weights:
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, most: int = 14_000) -> Weights:
     """Fit on at most `most` labelled documents; executors hash the n-grams, the driver sees distinct indices."""
 
     def sparse(batches):
@@ -104,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, m
     return ftrl(rows, got["label"].to_numpy())
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 6000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 14_000) -> DataFrame:
     """Score every whole text: `doc_id`, `held_out`, `score`, `predicted`.
 
     Inputs of a score are the hashed n-grams and skip-grams of the text alone. Training takes at most `most` labelled
