@@ -26,7 +26,7 @@ def stems(word: Column) -> Column:
     A rule applies if the word has the ending and more than two characters besides.
     """
     low = F.lower(word)
-    table = F.array(*[F.struct(F.lit(e).alias("ending"), F.lit(s).alias("instead")) for e, s in rules()])
+    table = F.expr("array(" + ", ".join(f"named_struct('ending', '{e}', 'instead', '{s}')" for e, s in rules()) + ")")
     fits = F.filter(table, lambda r: low.endswith(r["ending"]) & (F.length(low) > F.length(r["ending"]) + 2))
     made = F.transform(fits, lambda r: F.concat(F.left(low, F.length(low) - F.length(r["ending"])), r["instead"]))
     every = F.array_distinct(F.concat(F.array(low), made))

@@ -97,7 +97,7 @@ def root_key(mrk: Column) -> Column:
 
 def labelled(code: Column, names: dict[str, str]) -> Column:
     """The name of a code from a small fixed table; unknown codes stand for themselves."""
-    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    table = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in names.items()) + ")")
     return F.coalesce(F.try_element_at(table, code), code)
 
 
