@@ -246,6 +246,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 10, coverage: fl
                 out.append(rest.decode() if rest != t and not null else None)
             return pa.StructArray.from_arrays([pa.array(gone), pa.array(out, pa.string())], ["gone", "text"])
 
+        cut = cut.asNondeterministic()  # keeps the filter from asking for the same cut a second time
         row, done = F.struct(*[docs[c] for c in docs.columns]), F.col("cut")
         judged = docs.select(row.alias("row"), cut(F.col("text")).alias("cut")).where(~done["gone"])
         text = F.coalesce(done["text"], F.col("row.text"))
