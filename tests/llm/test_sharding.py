@@ -48,8 +48,13 @@ def test_neighbouring_keys_are_resolved(spark):
 
 
 def test_one_huge_group(spark):
-    _, df = groups(spark, [1] * 20 + [1000] + [1] * 20)
-    assert sharding.minimax_cuts(df, 8)[1] == 1000
+    sizes = [1] * 20 + [1000] + [1] * 20
+    keys, df = groups(spark, sizes)
+    cuts, capacity = sharding.minimax_cuts(df, 8)
+    loads = [0] * 8
+    for k, s in zip(keys, sizes):
+        loads[sum(c is not None and k >= c for c in cuts)] += s
+    assert capacity == max(loads) == 1000 and min(loads) > 0
 
 
 def signed_hash(text):
