@@ -4,9 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexis.llm import decontamination, mixing, quality, sharding, simhash
 from lexis.llm.common import materialise
+from lexis.ship import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -17,6 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest id stays."""
+    ship(spark)
     return simhash.one_of_each(docs)
 
 
