@@ -95,11 +95,15 @@ def passages(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             texts, ids, places = bytes_of(b.column(1)), b.column(0), b.column(2).to_pylist()
             for i, j in pieces(texts):
+                owner, begins, found = [], [], []
                 for k, _, chosen, _, whole in sketched(texts[i:j], length):
                     begin = np.flatnonzero(np.isin(chosen, np.array(places[i + k], np.int64)))
-                    if len(begin):
-                        owner = ids.take(pa.array(np.full(len(begin), i + k)))
-                        yield pa.RecordBatch.from_arrays([pa.array(whole[begin].view(np.int64)), owner, pa.array(begin.astype(np.int32))], ["passage", "doc_id", "begin"])
+                    owner.append(np.full(len(begin), i + k))
+                    begins.append(begin)
+                    found.append(whole[begin])
+                if owner:
+                    taken = ids.take(pa.array(np.concatenate(owner)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), taken, pa.array(np.concatenate(begins).astype(np.int32))], ["passage", "doc_id", "begin"])
 
     return docs.mapInArrow(scan, "passage long, doc_id long, begin int")
 
