@@ -51,7 +51,8 @@ def even_cuts(ends: list[int], shards: int, capacity: int) -> list[int]:
     for k in range(shards - 1):
         share = at + (ends[-1] - at) / (shards - k)
         i = bisect_right(ends, share)
-        near = min(ends[max(i - 1, 0) : i + 1], key=lambda v: (abs(v - share), v))
+        ahead = [v for v in ends[max(i - 1, 0) : i + 1] if v > at] or [at]  # a group beyond its share still fills a shard of its own
+        near = min(ahead, key=lambda v: (abs(v - share), v))
         furthest = ends[bisect_right(ends, at + capacity) - 1]
         at = max(at, min(max(near, least[k]), furthest))
         cuts.append(at)
