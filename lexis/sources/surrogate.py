@@ -1,5 +1,7 @@
 """A lexicon made from the driver's tables: parts are headwords, document tokens translations, and so on."""
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,5 +65,10 @@ def artikolo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    heads = nodo(spark, sf_dir)
-    return Tables(heads, var(heads), traduko(spark, sf_dir, heads), referenco(spark, sf_dir, heads), uzo(spark, sf_dir, heads), ekzemplo(spark, sf_dir, heads), artikolo(spark, sf_dir))
+    """The lexicon of a folder. Its largest table, the translations, is made once for each session and folder and kept
+    in memory as far as that goes, the rest on disk."""
+    kept = spark.sparkContext.__dict__.setdefault("_lexis_lexicons", {})
+    if (spark, sf_dir) not in kept:
+        heads = nodo(spark, sf_dir)
+        kept[spark, sf_dir] = Tables(heads, var(heads), traduko(spark, sf_dir, heads).persist(), referenco(spark, sf_dir, heads), uzo(spark, sf_dir, heads), ekzemplo(spark, sf_dir, heads), artikolo(spark, sf_dir))
+    return replace(kept[spark, sf_dir])
