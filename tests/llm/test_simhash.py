@@ -103,3 +103,42 @@ def test_awkward_rows(spark):
     assert {(r.fingerprint, r.component_id) for r in got if r.doc_id in (100, 101, 102)} == {("0" * 16, 100)}
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.one_of_each(frame(spark, messy(), extra=True)).columns == frame(spark, messy(), extra=True).columns
+
+
+def near_copies(seed):
+    """Texts of 60 words in clusters, with 0 to 6 words changed and a few cut off, and how any two sets of five-word runs compare."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(400)}" for _ in range(60)]
+        for _ in range(6):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(60)] = f"x{rng.randrange(400)}"
+            texts.append(" ".join(own[: 60 - rng.randint(0, 6)]))
+    return texts + ["", " ", "one two", "One TWO", "one two three"]
+
+
+def jaccard_roots(texts):
+    """Smallest index reachable through texts whose sets of five-word runs have a Jaccard similarity of 0.8, by brute force."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()})
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 5 * len(a & b) >= 4 * len(a | b):
+                    root[i] = min(root[i], root[j])
+    return root
+
+
+def test_stage_links_what_jaccard_does(spark):
+    texts = near_copies(4)
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    wanted = jaccard_roots(texts)
+    three = roots_of({i: brute_fingerprint(t) for i, t in enumerate(texts)})
+    assert set(wanted) < set(three.values())  # three-word fingerprints within two bits lose some
+    for bucket in (0, 64):
+        assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, docs), bucket).collect()) == sorted(set(wanted))
