@@ -105,19 +105,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest doc_id stays.
+    """The documents without near-duplicates: of each component one row stays, that with the smallest doc_id (null is last).
 
-    Texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more (`similar`).
+    Rows are told apart by a key of their own, so copies of a row go too, a null id is judged like any other, and rows that
+    share an id are judged each by its own text. Ties are broken by a hash of the row. Texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more (`similar`).
     """
     from .similar import similar_roots, words_digest
 
     rows = materialise(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "simhash-documents")
-    marked = materialise(rows.select("row", F.col("doc.doc_id").alias("doc_id"), words_digest(F.col("doc.text")).alias("digest")), "simhash-digests")
+    tie = F.xxhash64(*[F.col("doc")[c] for c in docs.columns])
+    marked = rows.select("row", F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("doc_id"), tie.alias("tie"), words_digest(F.col("doc.text")).alias("digest"))
+    marked = materialise(marked, "simhash-digests")
     classes = materialise(marked.groupBy("digest").agg(F.min("row").alias("class")), "simhash-classes")
     texts = materialise(rows.join(classes, F.col("row") == F.col("class"), "left_semi").select(F.col("row").alias("id"), F.col("doc.text").alias("text")), "simhash-texts")
     roots = similar_roots(texts, bucket)
     placed = classes.join(roots, classes["class"] == roots["node"], "left").select("digest", F.coalesce("root", "class").alias("root"))
-    placed = materialise(marked.join(placed, "digest").drop("digest"), "simhash-placed")
-    firsts = placed.groupBy("root").agg(F.min("doc_id").alias("first_id"))
-    gone = materialise(placed.join(firsts, "root").where(F.col("doc_id") != F.col("first_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    kept = marked.join(placed, "digest").groupBy("root").agg(F.min(F.struct("unnamed", "doc_id", "tie", "row")).alias("first"))
+    kept = materialise(kept.select(F.col("first.row").alias("row")), "simhash-kept")
+    return rows.join(kept, "row", "left_semi").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

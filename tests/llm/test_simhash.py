@@ -142,3 +142,15 @@ def test_stage_links_what_jaccard_does(spark):
     assert set(wanted) < set(three.values())  # three-word fingerprints within two bits lose some
     for bucket in (0, 64):
         assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, docs), bucket).collect()) == sorted(set(wanted))
+
+
+def test_one_row_of_each_stays(spark):
+    rows = messy() + [(5, messy()[6][1], "en", "s0", 1), (107, None, "de", "s1", 2)]
+    rows += [(None, "only here", "en", "s0", 9)] * 3 + [(3, messy()[3][1], "en", "s9", 1)]
+    wanted, best = jaccard_roots([t or "" for _, t, *_ in rows]), {}
+    for root, row in zip(wanted, rows):
+        best[root] = min(best.get(root, (2, 0)), (row[0] is None, row[0] or 0))
+    got = [(r.doc_id, r.text) for r in simhash.one_of_each(frame(spark, rows, extra=True)).collect()]
+    assert len(got) == len(best)
+    roots = {(r[0], r[1]): root for r, root in zip(rows, wanted)}
+    assert {roots[x]: (x[0] is None, x[0] or 0) for x in got} == best
