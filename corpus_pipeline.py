@@ -24,9 +24,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose matched spans exceed the coverage limit, here none at all: what stands around a leaked item
-    may still answer it. With a higher limit the spans alone are cut out."""
-    return decontamination.cleaned(docs, table(spark, sf_dir, "benchmark"), coverage=0.0)
+    """Matched spans are cut out; documents go whose spans exceed a fifth of the words. Items of fewer than five words are
+    cut too, but condemn no document."""
+    return decontamination.cleaned(docs, table(spark, sf_dir, "benchmark"), coverage=0.2, least=5)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

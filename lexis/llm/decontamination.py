@@ -86,8 +86,8 @@ class Automaton:
             self.short[state] = tuple(whole.get(state, ())) + up
         return self
 
-    def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Merged ranges of words inside an occurring window, and the items with one."""
+    def spans(self, words: list[bytes], least: int = 1) -> tuple[list[tuple[int, int]], set]:
+        """Merged ranges of words inside an occurring window of at least `least` words, and the items with one."""
         step, link, longest, short, width = self.step, self.link, self.longest, self.short, self.width
         state = length = 0
         found: list[tuple[int, int]] = []
@@ -114,7 +114,7 @@ class Automaton:
                 items |= self.items[at]
             if short[state]:
                 for n, name in short[state]:
-                    if n <= length:
+                    if least <= n <= length:
                         found.append((end - n, end))
                         items.add(name)
         return merged(found), items
@@ -221,10 +221,11 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 10, coverage: float = 0.2, block: int = BLOCK) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 10, coverage: float = 0.2, block: int = BLOCK, least: int = 1) -> DataFrame:
     """The documents with the matched spans of at least `width` words (or whole shorter items) removed from the text.
 
-    A document goes as a whole if more than `coverage` of its words are hit. Cutting can bring words together that
+    A document goes as a whole if more than `coverage` of its words are hit. Items of fewer than `least` words are cut out
+    but do not count there; only a document of which they leave no word goes. Cutting can bring words together that
     form a window again, so a text is cut until no window is left. `n_chars` follows the text; clean rows stay as
     they are. Columns are those of `docs`. A benchmark of several blocks is cut block by block.
     """
@@ -237,12 +238,15 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 10, coverage: fl
             for t, null in zip(bytes_of(text), text.is_null().to_pylist()):
                 words = words_of(t)
                 spans, _ = shared.value.spans(words)
-                n = sum(b - a for a, b in spans)
+                judged = spans if least == 1 or not spans else shared.value.spans(words, least)[0]
+                n = sum(b - a for a, b in judged)
                 gone.append(bool(n > coverage * len(words)))
                 rest = t
                 while spans and not gone[-1]:
                     rest = without_spans(rest, spans)
-                    spans, _ = shared.value.spans(words_of(rest))
+                    left = words_of(rest)
+                    spans, _ = shared.value.spans(left)
+                    gone[-1] = not left
                 out.append(rest.decode() if rest != t and not null else None)
             return pa.StructArray.from_arrays([pa.array(gone), pa.array(out, pa.string())], ["gone", "text"])
 

@@ -57,3 +57,17 @@ def test_run(spark, tmp_path):
     again = corpus_pipeline.run(spark, folder)
     key = lambda df: sorted((r.doc_id, r["size"], r.shard, r.slot) for r in df.collect())
     assert key(got) == key(again) and got.count() > 50
+
+
+def test_decontamination_cuts_spans(spark, tmp_path):
+    folder, rng = f"file://{tmp_path}", random.Random(9)
+    long, item = prose(rng, 200), prose(rng, 18)
+    spark.createDataFrame([(1, item), (2, "zeta eta")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    texts = [long, f"{long} {item} {long}", f"{prose(rng, 30)} {item}", "so zeta eta, zeta eta end", "Zeta eta!", f"{long} Zeta eta"]
+    docs = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in corpus_pipeline.decontamination_stage(spark, docs, folder).collect()}
+    assert set(got) == {0, 1, 3, 5} and got[0].text == long
+    assert got[3].text.replace(",", "").split() == ["so", "end"] and got[5].text.strip() == long
+    for r in got.values():
+        assert not hits(r.text, [(1, item), (2, "zeta eta")])[1] and r.n_chars == len(r.text)
+    assert hits(got[1].text, [(0, long)])[0] == 400
