@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType
 
@@ -117,10 +117,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         hashes = WordHashes()
         return pa.array([alike(shingles(x, hashes), shingles(y, hashes)) for x, y in zip(bytes_of(one), bytes_of(other))], pa.bool_())
 
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "similar-ids")
+    texts = materialise(texts.join(ids, "id", "left_semi"), "similar-texts")  # only these are exchanged
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("one")), texts.select(F.col("id").alias("b"), F.col("text").alias("other"))
     return pairs.join(left, "a").join(right, "b").where(near("one", "other")).select("a", "b")
 
 
+def could(one: str, other: str) -> Column:
+    """Whether the rest of the smaller set, from the shared shingle on, can hold the overlap that the two sizes need."""
+    rest = F.least(F.col(f"size_{one}") - F.col(f"at_{one}"), F.col(f"size_{other}") - F.col(f"at_{other}"))
+    return rest * (OVER + UNDER) >= (F.col(f"size_{one}") + F.col(f"size_{other}")) * OVER
+
+
 def similar_roots(texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """`node`, `root` for every text (`id` long, `text`) that has another one with a Jaccard similarity of OVER / UNDER or more.
 
@@ -134,19 +142,17 @@ def similar_roots(texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
     context = texts.sparkSession.sparkContext
     common = context.broadcast(common_shingles(texts))
     # Most prefix shingles are one text's own. Making the others anew, by a bitmap, is less than writing and exchanging all.
-    held = materialise(prefixes(texts, common).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1").drop("n"), "similar-buckets")
+    held = materialise(prefixes(texts, common).groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "size", "at")).alias("s")).where("n > 1").select("h", *[F.col("s")[c].alias(f"{c}_a") for c in ("id", "size", "at")]), "similar-buckets")
     met = materialise(prefixes(texts, common, context.broadcast(bitmap(held))).join(held, "h"), "similar-members")
-    stars = met.where("least < id").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    whole = met.withColumnsRenamed({c: f"{c}_b" for c in ("id", "size", "at")})
+    stars = whole.where("id_a < id_b").where(could("a", "b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     tried = materialise(near_links(firsts, bucket).unionByName(equal).unionByName(stars).distinct(), "similar-tried")
     links = materialise(verified(tried, texts), "similar-links")
     roots = components(links).withColumnRenamed("node", "id")
-    placed = materialise(met.drop("least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "similar-placed")
+    placed = materialise(met.drop("id_a", "size_a", "at_a").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "similar-placed")
     apart = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
     open_ = materialise(placed.join(apart, "h"), "similar-open")
     left, right = open_.toDF(*["h" if c == "h" else f"{c}_a" for c in open_.columns]), open_.toDF(*["h" if c == "h" else f"{c}_b" for c in open_.columns])
-    # Places from here on, in the smaller rest, must hold the overlap that the two sizes need.
-    rest = F.least(F.expr("size_a - at_a"), F.expr("size_b - at_b"))
-    could = (F.col("root_a") != F.col("root_b")) & (rest * (OVER + UNDER) >= (F.col("size_a") + F.col("size_b")) * OVER)
-    pairs = left.join(right, "h").where("id_a < id_b").where(could).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    pairs = left.join(right, "h").where("id_a < id_b").where("root_a != root_b").where(could("a", "b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     more = materialise(verified(materialise(pairs, "similar-pairs"), texts), "similar-more")
     return components(links.unionByName(more))
