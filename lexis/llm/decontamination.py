@@ -149,12 +149,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """Per row of `docs`: the id, `n_words`, `spans` (merged word ranges inside occurring windows) and `items`.
 
     All documents stream past each automaton; an automaton holds `block` words and the one item that goes beyond, which
-    bounds what is broadcast. With several, the spans of a document are united afterwards (repeated rows of one id and text are told apart by
-    nothing else, so they are united too and returned as often as they came).
+    bounds what is broadcast. With several, rows are written once with a key of their own, by which their spans are
+    united afterwards; so repeated and null ids are judged row by row, as with one.
     """
     context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("row"))
 
-    def against(automaton: Automaton) -> DataFrame:
+    def against(automaton: Automaton, rows: DataFrame) -> DataFrame:
         shared = context.broadcast(automaton)
 
         def scan(batches):
@@ -167,19 +168,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     spans.append([{"begin": x, "end": y} for x, y in s])
                     items.append(sorted(i))
                 kinds = (pa.int64(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, k) for v, k in zip((n, spans, items), kinds)]], ["id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(v, k) for v, k in zip((n, spans, items), kinds)]], ["id", "row", "n_words", "spans", "items"])
 
         kind = docs.schema[id_col].dataType.simpleString()
-        return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, n_words long, spans array<struct<begin:int,end:int>>, items array<string>")
-
-    parts = [against(a) for a in automata(benchmark, item_col, item_text_col, width, block)] or [against(Automaton(width))]
-    if len(parts) == 1:
-        return parts[0]
+        return rows.mapInArrow(scan, f"id {kind}, row long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>")
+
+    blocks = automata(benchmark, item_col, item_text_col, width, block)
+    first, second = next(blocks, Automaton(width)), next(blocks, None)
+    if second is None:
+        return against(first, rows).drop("row")
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
+    parts = [against(first, rows), against(second, rows), *[against(a, rows) for a in blocks]]
     done = parts[0]
     for p in parts[1:]:
         done = done.unionByName(p)
-    times = len(parts)
-    every = done.groupBy("id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / times).cast("int").alias("copies"))
+    every = done.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     empty = F.array().cast("array<struct<begin:int,end:int>>")
 
     def join(acc, x):
@@ -188,7 +191,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["begin"]), grown).otherwise(F.concat(acc, F.array(x)))
 
     spans = F.aggregate(F.array_sort("s"), empty, join)
-    return every.select("id", "n_words", spans.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+    return every.select("id", "n_words", spans.alias("spans"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK) -> DataFrame:

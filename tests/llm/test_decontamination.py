@@ -95,3 +95,11 @@ def test_awkward_rows(spark):
     assert dc.cleaned(frame(spark, messy()), bench(spark, items)).where("doc_id = 100 and text is null").count() == 1
     several = dc.contamination(frame(spark, messy()), bench(spark, items), block=15)
     assert several.count() == len(messy())
+
+
+def test_blocks_judge_rows_alone(spark):
+    _, items = fixture()
+    hit, clean = items[0][1], " ".join(f"none{i}" for i in range(len(words(items[0][1]))))
+    rows = messy() + [(i, t, "en", "s0", 1) for i in (None, 7) for t in (hit, clean, clean)]
+    columns = lambda block: sorted(map(str, dc.contamination(frame(spark, rows, extra=True), bench(spark, items), block=block).collect()))
+    assert columns(15) == columns(dc.BLOCK)
