@@ -9,11 +9,14 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import BLANKS
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _JS_BLANKS = re.sub(r"\\x\{(\w+)\}", lambda m: "\\u" + m[1].zfill(4), BLANKS)
+#: A page that nests deeper is taken as broken; it is counted as failed, and the others go on.
+DEEPEST = 10_000
 SENSE = "struct<mrk:string,num:string,definition:string,examples:array<string>,domain:string>"
 EXAMPLE_SCHEMA = "art string, drv_mrk string, sense_mrk string, ekz_md string, position int, rid bigint"
 
@@ -32,18 +35,22 @@ class Node:
         return self.attrs.get("class", "").split()
 
     def walk(self) -> Iterator["Node"]:
-        """All elements below this one, in document order."""
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """All elements below this one, in document order; by a stack, as pages nest to any depth."""
+        ahead = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while ahead:
+            node = ahead.pop()
+            yield node
+            ahead += [c for c in reversed(node.children) if isinstance(c, Node)]
 
     def all(self, *kinds: tuple[str, str | None]) -> list["Node"]:
         """Descendants of any of the (tag, class or None) kinds."""
-        return [n for n in self.walk() if any(n.tag == t and (c is None or c in n.classes) for t, c in kinds)]
+        return [n for n in self.walk() if n.fits(*kinds)]
+
+    def fits(self, *kinds: tuple[str, str | None]) -> bool:
+        return any(self.tag == t and (c is None or c in self.classes) for t, c in kinds)
 
     def first(self, *kinds: tuple[str, str | None]) -> "Node | None":
-        return next(iter(self.all(*kinds)), None)
+        return next((n for n in self.walk() if n.fits(*kinds)), None)
 
     def closest(self, tag: str, cls: str | None = None) -> "Node | None":
         node = self
@@ -61,7 +68,14 @@ class Node:
         return around[at] if 0 <= at < len(around) else None
 
     def raw(self, skip: Callable[["Node"], bool] = lambda n: False) -> str:
-        return "".join(c if isinstance(c, str) else "" if skip(c) else c.raw(skip) for c in self.children)
+        out, ahead = [], self.children[::-1]
+        while ahead:
+            c = ahead.pop()
+            if isinstance(c, str):
+                out.append(c)
+            elif not skip(c):
+                ahead += reversed(c.children)
+        return "".join(out)
 
     def text(self, skip: Callable[["Node"], bool] = lambda n: False) -> str:
         return html.unescape(self.raw(skip))
@@ -73,8 +87,13 @@ class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=False)
         self.root = self.at = Node("")
+        self.depth = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in VOID:
+            self.depth += 1
+            if self.depth > DEEPEST:
+                raise ValueError(f"nested more than {DEEPEST} levels deep")
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
@@ -88,7 +107,9 @@ class TreeBuilder(HTMLParser):
         while node is not None and node.tag != tag:
             node = node.parent
         if node is not None and node.parent is not None:
-            self.at = node.parent
+            while self.at is not node.parent:
+                self.at = self.at.parent
+                self.depth -= 1
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -170,18 +191,15 @@ def keyed_senses(root: Node) -> dict[str, list[dict]]:
 def markdown(ekz: Node) -> str:
     """An example in Markdown: names in bold, footnotes dropped, entities as they are written."""
     out: list[str] = []
-
-    def inline(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                out.append(c)
-            elif not {"fnt", "fntref"} & set(c.classes):
-                mark = "**" if "nom" in c.classes else ""
-                out.append(mark)
-                inline(c)
-                out.append(mark)
-
-    inline(ekz)
+    ahead = ekz.children[::-1]
+    while ahead:
+        c = ahead.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif not {"fnt", "fntref"} & set(c.classes):
+            mark = "**" if "nom" in c.classes else ""
+            out.append(mark)
+            ahead += [mark, *reversed(c.children)]
     return clean("".join(out))
 
 
@@ -222,25 +240,47 @@ def page_examples(root: Node) -> list[tuple[str, str | None, str]]:
 
 
 def _rows(articles: DataFrame, make: Callable[[str, Node], Iterator[dict]], schema: str) -> DataFrame:
+    """The rows that `make` finds in each article, with `error` null; one row with `error` for an article that fails."""
+
+    names = [*StructType.fromDDL(schema).names, "error"]
+
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", schema)]
         for f in frames:
-            found = [r for mrk, txt in zip(f["mrk"], f["txt"]) if txt is not None for r in make(mrk, parse(txt))]
-            yield pd.DataFrame(found, columns=names)
+            found = []
+            for mrk, txt in zip(f["mrk"], f["txt"]):
+                if txt is not None:
+                    try:
+                        found += list(make(mrk, parse(txt)))
+                    except Exception as e:  # noqa: BLE001  one bad page must not end the job
+                        found.append({"art": mrk, "error": f"{type(e).__name__}: {e}"[:500]})
+            yield pd.DataFrame(found, columns=names).astype(object).where(lambda x: x.notna(), None)
+
+    return articles.select("mrk", F.col("txt").cast("string").alias("txt")).mapInPandas(scan, f"{schema}, error string")
+
 
-    return articles.select("mrk", F.col("txt").cast("string").alias("txt")).mapInPandas(scan, schema)
+def _good(rows: DataFrame) -> DataFrame:
+    return rows.where("error is null").drop("error")
 
 
 def parse_articles(articles: DataFrame) -> DataFrame:
     """One row per derivation: `art`, `position`, `mrk`, `headword`, `senses`."""
-    return _rows(articles, lambda art, root: ({"art": art, "position": i, **d} for i, d in enumerate(derivations(root))), f"art string, position int, mrk string, headword string, senses array<{SENSE}>")
+    return _good(_rows(articles, lambda art, root: ({"art": art, "position": i, **d} for i, d in enumerate(derivations(root))), f"art string, position int, mrk string, headword string, senses array<{SENSE}>"))
 
 
 def parse_senses(articles: DataFrame) -> DataFrame:
     """One row per key of an article: `art`, `key`, `senses`. Articles are parsed once, when they come in."""
+    return _good(_keyed(articles))
+
+
+def _keyed(articles: DataFrame) -> DataFrame:
     return _rows(articles, lambda art, root: ({"art": art, "key": k, "senses": s} for k, s in keyed_senses(root).items()), f"art string, key string, senses array<{SENSE}>")
 
 
+def failures(articles: DataFrame) -> DataFrame:
+    """`art`, `error` of the articles that cannot be parsed; all others give their rows regardless."""
+    return _keyed(articles).where("error is not null").select("art", "error")
+
+
 def build_examples(articles: DataFrame, profile: str = "dictionary") -> DataFrame:
     """The example corpus. `position` counts an article's examples from 0; rid follows article hash and position."""
     find = {"dictionary": article_examples, "page": page_examples}[profile]
@@ -248,5 +288,5 @@ def build_examples(articles: DataFrame, profile: str = "dictionary") -> DataFram
     def make(art: str, root: Node) -> Iterator[dict]:
         return ({"art": art, "drv_mrk": d, "sense_mrk": s, "ekz_md": md, "position": i} for i, (d, s, md) in enumerate(find(root)))
 
-    rows = _rows(articles, make, "art string, drv_mrk string, sense_mrk string, ekz_md string, position int")
+    rows = _good(_rows(articles, make, "art string, drv_mrk string, sense_mrk string, ekz_md string, position int"))
     return rows.withColumn("rid", F.shiftleft(F.pmod(F.xxhash64("art"), F.lit(1 << 40)), 20).bitwiseOR(F.col("position").cast("bigint")))

@@ -38,6 +38,15 @@ def test_lenient_parser():
     assert html.parse("").text() == ""
 
 
+def test_deep_pages(spark):
+    deep = "<div>" * 3000 + '<section class="drv"><h2 id="k">w</h2><dd><span class="dif">d<i class="ekz">e <b class="nom">N</b></i></span></dd></section>'
+    root = html.parse(deep)
+    assert [d["headword"] for d in html.derivations(root)] == ["w"] and html.article_examples(root) == [("k", None, "e **N**")] and root.text().startswith("w")
+    pages = spark.createDataFrame([("good", deep), ("bad", "<div>" * 20_000), ("closed", "<p></p>" * 20_000 + deep)], "mrk string, txt string")
+    assert sorted(r.art for r in html.parse_articles(pages).collect()) == ["closed", "good"]
+    assert [tuple(r) for r in html.failures(pages).collect()] == [("bad", "ValueError: nested more than 10000 levels deep")]
+
+
 def test_frames(spark):
     articles = spark.createDataFrame([("amik", ARTICLE), ("none", None), ("empty", "")], "mrk string, txt string")
     assert [(r.mrk, len(r.senses)) for r in html.parse_articles(articles).orderBy("position").collect()] == [("amik.0o", 3), ("amik.0a", 1), ("amik.mal0o", 1), ("", 1)]
