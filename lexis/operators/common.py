@@ -12,9 +12,10 @@ def ranked(df: DataFrame, *order: Column | str, by: tuple[str, ...] = ("qid",),
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def top(df: DataFrame, k: int | Column, *order: Column | str, by: tuple[str, ...] = ("qid",), name: str = "ord") -> DataFrame:
-    """The first k rows of each query, numbered."""
-    return ranked(df, *order, by=by, name=name).where(F.col(name) <= k)
+def top(df: DataFrame, k: int | Column | None, *order: Column | str, by: tuple[str, ...] = ("qid",), name: str = "ord") -> DataFrame:
+    """The first k rows of each query (all, if k is None), numbered."""
+    numbered = ranked(df, *order, by=by, name=name)
+    return numbered if k is None else numbered.where(F.col(name) <= k)
 
 
 def first_tier(hits: DataFrame) -> DataFrame:
@@ -34,10 +35,12 @@ def subtree(keys: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows whose key equals or lies below `drv` of the left side.
 
     A dotted drv is a derivation's key, and its subtree the rows with that drv_mrk; a dotless one stands for a whole
-    article. So each row is offered under both of its stored keys and met by equality, where the range of strings
+    article, and its subtree has that root_mrk. So each kind meets a stored key by equality, where the range of strings
     would be a nested loop.
     """
-    return keys.join(rows.withColumn("drv", F.explode(F.array_distinct(F.array("drv_mrk", "root_mrk")))), "drv")
+    dotted = F.instr("drv", ".") > 0
+    own, whole = keys.where(dotted), keys.where(~dotted)
+    return own.join(rows, F.col("drv") == F.col("drv_mrk")).unionByName(whole.join(rows, F.col("drv") == F.col("root_mrk")))
 
 
 def nodes_of(trds: DataFrame, tables: Tables, limit: int) -> DataFrame:

@@ -19,6 +19,12 @@ def lengths(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("rid", F.size(tokens(F.col(text))).cast("bigint").alias("dl"))
 
 
+def grams(rows: DataFrame, text: str) -> DataFrame:
+    """`lng`, `gram`, `rid`: the distinct pieces of three characters of every row's text."""
+    pieces = F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(F.col(text), i, F.lit(3))))
+    return rows.select("lng", "rid", F.explode(F.array_distinct(pieces)).alias("gram"))
+
+
 def corpus_stats(own_lengths: DataFrame) -> DataFrame:
     """One row: `n_docs`, `avgdl`."""
     return own_lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -51,10 +57,10 @@ def prefix_hits(queries: DataFrame, posts: DataFrame) -> DataFrame:
     return met.groupBy("qid", "rid").agg(F.count("*").alias("tf"))
 
 
-def bm25(hits: DataFrame, own_lengths: DataFrame) -> DataFrame:
-    """Add `rank` (smaller is better) by the lengths of all rows (`rid`, `dl`): a phrase or prefix counts as one term of which as many rows have it as hits."""
+def bm25(hits: DataFrame, own_lengths: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Add `rank` (smaller is better) by the lengths of all rows (`rid`, `dl`) and their stored statistics: a phrase or prefix counts as one term of which as many rows have it as hits."""
     found = hits.groupBy("qid").agg(F.count("*").alias("df"))
-    stats = corpus_stats(own_lengths).withColumn("one", F.lit(1))
+    stats = (corpus_stats(own_lengths) if stats is None else stats).withColumn("one", F.lit(1))
     idf = F.log((F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -43,21 +43,27 @@ def stem(words: DataFrame, tables: Tables) -> DataFrame:
 def prefix(words: DataFrame, tables: Tables, limit: int) -> DataFrame:
     """The `limit * 5` shortest headwords that begin with the word, in which % and _ are wildcards.
 
-    Words and headwords meet by their first character; only words that begin with a wildcard go past all headwords.
+    Words and headwords meet by their first three characters, words of which fewer come before a wildcard or the end by
+    the first one; only words that begin with a wildcard go past all headwords.
     """
-    wild = F.left("word", F.lit(1)).isin("%", "_")
-    heads = tables.nodo.withColumn("initial", F.explode(F.array(F.left("kap_norm", F.lit(1)), F.lit(""))))
-    begun = words.withColumn("initial", F.when(wild, "").otherwise(F.left("word", F.lit(1))))
-    met = begun.join(heads, "initial").where(like(F.col("kap_norm"), F.concat("word", F.lit("%"))))
+    begun = words.withColumn("literal", F.length(F.regexp_extract("word", "^[^%_]{0,3}", 0)))
+
+    def by_first(chosen: DataFrame, n: int) -> DataFrame:
+        return chosen.withColumn("initial", F.left("word", F.lit(n))).join(tables.nodo.withColumn("initial", F.left("kap_norm", F.lit(n))), "initial")
+
+    met = by_first(begun.where("literal = 3"), 3).unionByName(by_first(begun.where("literal in (1, 2)"), 1)).unionByName(by_first(begun.where("literal = 0"), 0))
+    met = met.where(like(F.col("kap_norm"), F.concat("word", F.lit("%"))))
     return top(distinct_nodes(met), limit * 5, F.length("kap"), "kap", "rid")
 
 
 def token_prefix(words: DataFrame, tables: Tables, limit: int) -> DataFrame:
     """Nodes whose headword (or a variant) has tokens, the last of which begins with the word's last one."""
     entries = tables.nodo.select("kap_norm", "rid").unionByName(tables.var.select("kap_norm", "rid"))
-    heads = entries.select("kap_norm", "rid", F.explode(tokens(F.col("kap_norm"))).alias("token")).withColumn("initial", F.left("token", F.lit(1)))
+    heads = entries.select("kap_norm", "rid", F.explode(tokens(F.col("kap_norm"))).alias("token"))
     asked = words.withColumn("token_asked", F.element_at(F.concat(F.array(F.lit("")), tokens(F.col("word"))), -1)).where("token_asked <> ''")
-    met = asked.withColumn("initial", F.left("token_asked", F.lit(1))).join(heads, "initial").where(F.startswith("token", "token_asked"))
+    begun = lambda df, column, n: df.withColumn("initial", F.left(column, F.lit(n)))
+    met = begun(asked.where(F.length("token_asked") >= 3), "token_asked", 3).join(begun(heads, "token", 3), "initial")
+    met = met.unionByName(begun(asked.where(F.length("token_asked") < 3), "token_asked", 1).join(begun(heads, "token", 1), "initial")).where(F.startswith("token", "token_asked"))
     kaps = top(met.groupBy("qid", "kap_norm").agg(F.min("rid").alias("rid")), limit, "rid", name="nth").select("qid", F.col("nth"), F.col("kap_norm").alias("word"))
     found = distinct_nodes(kaps.join(tables.nodo, F.col("word") == F.col("kap_norm")), "nth")
     return ranked(found, "nth", F.length("mrk"), "rid").drop("nth")

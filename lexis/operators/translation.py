@@ -27,7 +27,7 @@ def quoted_phrases(words: DataFrame) -> DataFrame:
     return words.where(valid).select("qid", F.posexplode(F.split(F.replace("word", F.lit('""'), F.lit(" ")), '"')).alias("phrase", "text"))
 
 
-def matching_rows(words: DataFrame, traduko: DataFrame, posts: DataFrame, most: int = 100) -> DataFrame:
+def matching_rows(words: DataFrame, traduko: DataFrame, posts: DataFrame, most: int | None = 100) -> DataFrame:
     """The first `most` translation rows, over all languages, in which all phrases of the query stand."""
     parts = phrases(quoted_phrases(words))
     wanted = parts.select("qid", "phrase").distinct().groupBy("qid").agg(F.count("*").alias("all_phrases"))
@@ -39,15 +39,26 @@ def matching_rows(words: DataFrame, traduko: DataFrame, posts: DataFrame, most:
 
 def exact_rows(words: DataFrame, traduko: DataFrame, most: int, same_language: bool) -> DataFrame:
     on: Column = ascii_fold(F.col("word")) == F.col("trd_fold")
-    rows = traduko.select("rid", "mrk", "lng", "trd", ascii_fold(F.col("trd")).alias("trd_fold"))
+    rows = traduko.select("rid", "mrk", "lng", "trd", "trd_fold")
     if same_language:
         on = on & (F.col("lang") == F.col("lng"))
     return top(words.join(rows, on), most, "rid")
 
 
-def substring_rows(words: DataFrame, traduko: DataFrame, most: int = 50) -> DataFrame:
-    """Translations of the language that contain the query, in which % and _ are wildcards."""
-    rows = words.join(traduko.select("rid", "mrk", "lng", "trd"), F.col("lang") == F.col("lng"))
+def substring_rows(words: DataFrame, traduko: DataFrame, grams: DataFrame | None = None, most: int = 50) -> DataFrame:
+    """Translations of the language that contain the query, in which % and _ are wildcards.
+
+    Queries with three characters in a row that are no wildcards meet the stored pieces of translations by one such
+    piece; only shorter ones go past all translations of their language.
+    """
+    every = traduko.select("rid", "mrk", "lng", "trd")
+    piece = words.withColumn("gram", F.regexp_extract(ascii_fold(F.col("word")), "[^%_]{3}", 0))
+    long = piece.where("gram <> ''")
+    if grams is not None:
+        near = long.join(grams.select("gram", F.col("lng").alias("lang"), "rid"), ["gram", "lang"]).join(every, "rid")
+    else:
+        near = long.join(every, F.col("lang") == F.col("lng"))
+    rows = near.drop("gram").unionByName(piece.where("gram = ''").drop("gram").join(every, F.col("lang") == F.col("lng")))
     return top(rows.where(like(F.col("trd"), F.concat(F.lit("%"), "word", F.lit("%")))), most, "rid")
 
 
@@ -69,10 +80,10 @@ def translation_rows(queries: DataFrame, tables: Tables, parity: bool = True) ->
     if not parity:
         asked_languages = words.select(F.col("lang").alias("lng")).distinct()
         per_language = tables.traduko.join(asked_languages, "lng", "left_semi")
-        phrase = top(matching_rows(words, per_language, postings(per_language, "trd"), 1 << 30).drop("ord").join(words.select("qid", "lang"), "qid").where("lng = lang"), 100, "rid")
+        phrase = top(matching_rows(words, per_language, postings(per_language, "trd"), None).drop("ord").join(words.select("qid", "lang"), "qid").where("lng = lang"), 100, "rid")
     found = _tier(1, exact_rows(words, tables.traduko, 50, True)).unionByName(_tier(2, phrase))
     left = words.join(found.select("qid").distinct(), "qid", "left_anti")
-    return first_tier(found.unionByName(_tier(3, substring_rows(left, tables.traduko))))
+    return first_tier(found.unionByName(_tier(3, substring_rows(left, tables.traduko, tables.indexed().trd_grams))))
 
 
 def all_language_rows(queries: DataFrame, tables: Tables) -> DataFrame:

@@ -5,7 +5,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import drv_key, root_key
+from ..functions.text import ascii_fold, drv_key, root_key
 
 #: Columns of the stored tables. `rid` orders rows as they were ingested.
 SCHEMAS = {
@@ -19,10 +19,19 @@ SCHEMAS = {
 }
 
 
+#: What is stored, and by which columns it is sorted.
+STORED = {
+    "nodo": ("kap_norm",), "var": ("kap_norm",), "traduko": ("lng", "trd_fold"), "referenco": ("drv_mrk",), "uzo": ("drv_mrk",), "ekzemplo": ("drv_mrk",), "artikolo": ("mrk",),
+    "senses": ("art",), "failures": ("art",), "first": ("mrk",), "trd_grams": ("lng", "gram"), "trd_posts": ("term",), "ekz_posts": ("term",), "ekz_lengths": ("rid",), "ekz_stats": ("n_docs",),
+}
+
+
 def with_keys(name: str, df: DataFrame) -> DataFrame:
     """The derived columns that make every search an equality on a stored key."""
     if name in ("nodo", "var"):
         df = df.withColumn("kap_norm", F.lower("kap"))
+    if name == "traduko":
+        df = df.withColumn("trd_fold", ascii_fold(F.col("trd")))
     if name in ("nodo", "traduko", "referenco", "uzo"):
         df = df.withColumns({"drv_mrk": drv_key(F.col("mrk")), "root_mrk": root_key(F.col("mrk"))})
     return df
@@ -32,8 +41,10 @@ def with_keys(name: str, df: DataFrame) -> DataFrame:
 class Tables:
     """The tables as DataFrames with keys.
 
-    Optional ones are built when data comes in: `senses` has the parsed articles (`art`, `key`, `senses`), the others
-    the inverted indexes of translations and examples. Where an index is missing, searches tokenise as they go.
+    Optional ones are built when data comes in: `senses` has the parsed articles (`art`, `key`, `senses`), `failures`
+    (`art`, `error`) those that could not be parsed, `first` the
+    first node of each key, `trd_grams` the three-character pieces of translations, the others the inverted indexes of
+    translations and examples. Where one is missing, searches make it as they go.
     """
 
     nodo: DataFrame
@@ -44,9 +55,13 @@ class Tables:
     ekzemplo: DataFrame
     artikolo: DataFrame
     senses: DataFrame | None = None
+    failures: DataFrame | None = None
+    first: DataFrame | None = None
+    trd_grams: DataFrame | None = None
     trd_posts: DataFrame | None = None
     ekz_posts: DataFrame | None = None
     ekz_lengths: DataFrame | None = None
+    ekz_stats: DataFrame | None = None
 
     @classmethod
     def of(cls, **frames: DataFrame) -> "Tables":
@@ -55,24 +70,30 @@ class Tables:
     @property
     def nodo_first(self) -> DataFrame:
         """One row per key: the first ingested one."""
+        if self.first is not None:
+            return self.first
         first = F.min_by(F.struct("art", "kap", "num", "rid"), "rid").alias("n")
         return self.nodo.groupBy("mrk").agg(first).select("mrk", "n.*")
 
     def indexed(self) -> "Tables":
         """The tables with the inverted indexes that they lack."""
-        from ..operators.fulltext import lengths, postings
+        from ..operators.fulltext import corpus_stats, grams, lengths, postings
 
+        own_lengths = self.ekz_lengths or lengths(self.ekzemplo, "ekz_md")
         return replace(
-            self, trd_posts=self.trd_posts or postings(self.traduko, "trd"), ekz_posts=self.ekz_posts or postings(self.ekzemplo, "ekz_md"), ekz_lengths=self.ekz_lengths or lengths(self.ekzemplo, "ekz_md")
-        )
+            self, first=self.nodo_first, trd_grams=self.trd_grams or grams(self.traduko, "trd_fold"), trd_posts=self.trd_posts or postings(self.traduko, "trd"), ekz_posts=self.ekz_posts or postings(self.ekzemplo, "ekz_md"),
+            ekz_lengths=own_lengths, ekz_stats=self.ekz_stats or corpus_stats(own_lengths),
+        )
 
     def write(self, folder: str) -> None:
-        """Store the tables as Parquet, range-sorted by the column that searches use, so that row groups are skipped."""
-        keys = {"nodo": "kap_norm", "var": "kap_norm", "traduko": "trd", "referenco": "drv_mrk", "uzo": "drv_mrk", "ekzemplo": "drv_mrk", "artikolo": "mrk", "senses": "art", "trd_posts": "term", "ekz_posts": "term", "ekz_lengths": "rid"}
-        for name, key in keys.items():
+        """Store the tables as Parquet, range-sorted by the columns that searches use, so that row groups are skipped."""
+        for name, keys in STORED.items():
             if (df := getattr(self, name)) is not None:
-                df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{folder}/{name}")
+                df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{folder}/{name}")
 
     @classmethod
-    def read(cls, spark: SparkSession, folder: str, names: tuple[str, ...] = (*SCHEMAS, "senses", "trd_posts", "ekz_posts", "ekz_lengths")) -> "Tables":
-        return cls(**{n: spark.read.parquet(f"{folder}/{n}") for n in names})
+    def read(cls, spark: SparkSession, folder: str) -> "Tables":
+        """The tables of a folder; what was not stored is None."""
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        there = {f.getPath().getName() for f in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)}
+        return cls(**{n: spark.read.parquet(f"{folder}/{n}") for n in STORED if n in there})

@@ -54,7 +54,7 @@ class SQLiteSource(DataSource):
 
 def read_lexicon(spark: SparkSession, path: str, parts: int = 8) -> Tables:
     """All tables of a lexicon file, with keys; `ekzemplo` is built from the articles if the file has none."""
-    from ..operators.html import build_examples, parse_senses
+    from ..operators.html import build_examples, failures, parse_senses
 
     spark.dataSource.register(SQLiteSource)
 
@@ -63,4 +63,4 @@ def read_lexicon(spark: SparkSession, path: str, parts: int = 8) -> Tables:
 
     articles = read("artikolo")
     frames = {n: read(n) for n in ("nodo", "var", "traduko", "referenco", "uzo")}
-    return Tables.of(**frames, artikolo=articles, ekzemplo=build_examples(articles), senses=parse_senses(articles)).indexed()
+    return Tables.of(**frames, artikolo=articles, ekzemplo=build_examples(articles), senses=parse_senses(articles), failures=failures(articles)).indexed()

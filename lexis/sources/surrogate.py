@@ -1,10 +1,9 @@
 """A lexicon made from the driver's tables: parts are headwords, document tokens translations, and so on."""
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_path
 from .lexicon import Tables, with_keys
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -26,11 +25,15 @@ def nodo(spark: SparkSession, sf_dir: str) -> DataFrame:
 def var(nodo: DataFrame) -> DataFrame:
     words = F.split("kap", " ")
     swapped = F.concat_ws(" ", F.get(words, F.lit(1)), F.get(words, F.lit(0)))
-    return with_keys("var", nodo.where("rid % 3 = 0").select("mrk", swapped.alias("kap"), "rid"))
+    return with_keys("var", nodo.select("mrk", swapped.alias("kap"), "rid"))
 
 
 def traduko(spark: SparkSession, sf_dir: str, nodo: DataFrame) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.array_distinct(F.split(F.lower("text"), WORD_BREAK))).alias("trd")).where("trd <> ''")
+    """Every distinct word of a document, and the first three words of each of its sentences together."""
+    words = lambda text: F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
+    sentences = F.filter(F.transform(F.split(F.lower("text"), r"[.\n]+"), words), lambda ws: F.size(ws) >= 3)
+    begun = F.transform(sentences, lambda ws: F.array_join(F.slice(ws, 1, 3), " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.array_distinct(F.concat(words(F.lower("text")), begun))).alias("trd"))
     rows = nodo.join(docs, nodo["rid"] == docs["doc_id"]).select("mrk", F.col("lang").alias("lng"), "trd", F.concat_ws("\x01", F.lpad(F.col("rid").cast("string"), 12, "0"), "trd").alias("rid"))
     return with_keys("traduko", rows)
 
@@ -64,11 +67,17 @@ def artikolo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("mrk"), F.col("html").alias("txt"))
 
 
+def ingested(spark: SparkSession, sf_dir: str) -> Tables:
+    """The lexicon of a folder as it comes in, with its indexes; nothing is stored yet."""
+    heads = nodo(spark, sf_dir)
+    return Tables(heads, var(heads), traduko(spark, sf_dir, heads), referenco(spark, sf_dir, heads), uzo(spark, sf_dir, heads), ekzemplo(spark, sf_dir, heads), artikolo(spark, sf_dir)).indexed()
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The lexicon of a folder. Its largest table, the translations, is made once for each session and folder and kept
-    in memory as far as that goes, the rest on disk."""
-    kept = spark.sparkContext.__dict__.setdefault("_lexis_lexicons", {})
-    if (spark, sf_dir) not in kept:
-        heads = nodo(spark, sf_dir)
-        kept[spark, sf_dir] = Tables(heads, var(heads), traduko(spark, sf_dir, heads).persist(), referenco(spark, sf_dir, heads), uzo(spark, sf_dir, heads), ekzemplo(spark, sf_dir, heads), artikolo(spark, sf_dir))
-    return replace(kept[spark, sf_dir])
+    """The stored lexicon of a folder: written once for each Spark application and folder, then read by every search."""
+    stored = spark.sparkContext.__dict__.setdefault("_lexis_lexicons", {})
+    if sf_dir not in stored:
+        folder = new_path(spark, "lexicon")
+        ingested(spark, sf_dir).write(folder)
+        stored[sf_dir] = folder
+    return Tables.read(spark, stored[sf_dir])
