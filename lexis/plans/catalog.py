@@ -1,31 +1,36 @@
 """The query catalogue: every operator on the driver's tables, with DuckDB SQL for the same result."""
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fold, stems, text
 from ..operators import assemble, common, examples, family, fulltext, headword, html, render, translation, wildcard
+from ..shared import new_path
 from ..sources import surrogate
-from ..sources.lexicon import Tables
+from ..sources.lexicon import Tables, with_keys
 from .api import Lexicon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-FOLD_FROM, FOLD_TO = fold.fold_table()
-TOKENS = f"list_filter(string_split_regex(translate(%s, '{FOLD_FROM}', '{FOLD_TO}'), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda t: t <> '')"
-RULE_ROWS = ", ".join(f"('{e}', '{s}', {i})" for i, (e, s) in enumerate(stems.rules(), 1))
+# The statements take nothing from the code that they check: folding, endings and names are written out here again.
+TOKENS = r"list_filter(string_split_regex(strip_accents(lower(%s)), '[^\p{L}\p{N}\p{Co}]+'), lambda t: t <> '')"
+NAME_OF = "CASE %s WHEN 'de' THEN 'Germana' WHEN 'en' THEN 'Angla' WHEN 'es' THEN 'Hispana' WHEN 'fr' THEN 'Franca' ELSE %s END"
+LABEL_OF = "CASE tip WHEN 'sin' THEN 'Synonym' WHEN 'vid' THEN 'See' WHEN 'super' THEN 'Broader' END"
 
 #: Common table expressions, in order of dependence.
 CTES = {
     "nodo": """SELECT concat_ws('.', p_brand, p_type, p_partkey::VARCHAR) mrk, p_brand art, p_name kap, p_size::VARCHAR num, p_partkey::BIGINT rid,
         lower(p_name) kap_norm, concat_ws('.', p_brand, p_type) drv_mrk, p_brand root_mrk FROM part""",
     "var": """SELECT mrk, concat_ws(' ', split_part(kap, ' ', 2), split_part(kap, ' ', 1)) kap, rid,
-        lower(concat_ws(' ', split_part(kap, ' ', 2), split_part(kap, ' ', 1))) kap_norm FROM nodo WHERE rid % 3 = 0""",
+        lower(concat_ws(' ', split_part(kap, ' ', 2), split_part(kap, ' ', 1))) kap_norm FROM nodo""",
     "traduko": r"""SELECT n.mrk, d.lang lng, d.trd, concat_ws(chr(1), lpad(n.rid::VARCHAR, 12, '0'), d.trd) rid, n.drv_mrk, n.root_mrk FROM nodo n JOIN
-        (SELECT DISTINCT doc_id, lang, trd FROM (SELECT doc_id, lang, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) trd FROM documents) WHERE trd <> '') d ON d.doc_id = n.rid""",
+        (SELECT DISTINCT doc_id, lang, trd FROM (SELECT doc_id, lang, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) trd FROM documents UNION ALL
+          SELECT doc_id, lang, array_to_string(l[1:3], ' ') FROM (SELECT doc_id, lang, list_filter(string_split_regex(s, '[^\p{L}\p{N}]+'), lambda w: w <> '') l FROM
+            (SELECT doc_id, lang, unnest(string_split_regex(lower(text), '[.\n]+')) s FROM documents)) WHERE len(l) >= 3) WHERE trd <> '') d ON d.doc_id = n.rid""",
     "referenco": """SELECT a.mrk, b.mrk cel, l.tip, concat_ws(chr(1), a.mrk, b.mrk, l.tip) rid, a.drv_mrk, a.root_mrk FROM
         (SELECT DISTINCT l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN 'sin' WHEN 'N' THEN 'vid' ELSE 'super' END tip FROM lineitem) l
         JOIN nodo a ON a.rid = l_partkey JOIN nodo b ON b.rid = l_suppkey""",
@@ -34,7 +39,9 @@ CTES = {
     "ekzemplo": r"""SELECT n.art, n.drv_mrk, n.mrk sense_mrk, s.ekz_md, s.p position, s.doc_id * 100000 + s.p rid FROM
         (SELECT doc_id, unnest(l) ekz_md, generate_subscripts(l, 1) - 1 p FROM
           (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.\n]+'), lambda x: trim(x)), lambda x: x <> '') l FROM documents)) s JOIN nodo n ON n.rid = s.doc_id""",
-    "rules": f"SELECT * FROM (VALUES {RULE_ROWS}) r(ending, instead, r)",
+    "rules": """SELECT ending, instead, row_number() OVER (ORDER BY g, i, j) r FROM (SELECT g, i, es[i] ending, unnest(ins) instead, generate_subscripts(ins, 1) j FROM
+        (SELECT g, es, ins, unnest(range(1, len(es) + 1)) i FROM (VALUES (1, ['anta', 'inta', 'onta', 'ata', 'ita', 'ota'], ['i', '']), (2, ['ojn', 'ajn'], ['', 'o', 'a']),
+          (3, ['oj', 'aj', 'on', 'an'], ['', 'o', 'a']), (4, ['as', 'is', 'os', 'us'], ['i', '']), (5, ['o', 'a', 'e', 'i', 'u'], ['']), (6, ['n'], ['', 'o', 'a']), (7, ['j'], [''])) v(g, es, ins)))""",
     "posts": f"SELECT rid, unnest(l) term, generate_subscripts(l, 1) - 1 pos FROM (SELECT rid, {TOKENS % 'ekz_md'} l FROM ekzemplo)",
     "dl": "SELECT e.rid, count(p.term) dl FROM ekzemplo e LEFT JOIN posts p ON p.rid = e.rid GROUP BY e.rid",
     "nodo_first": "SELECT mrk, arg_min(art, rid) art, arg_min(kap, rid) kap, arg_min(num, rid) num, min(rid) rid FROM nodo GROUP BY mrk",
@@ -120,7 +127,7 @@ def norm_headwords(t: Tables) -> DataFrame:
 
 
 X_SQL = "text"
-for _pair, _letter in text.x_pairs():
+for _pair, _letter in zip("cx Cx CX gx Gx GX hx Hx HX jx Jx JX sx Sx SX ux Ux UX".split(), "ĉĈĈĝĜĜĥĤĤĵĴĴŝŜŜŭŬŬ"):
     X_SQL = f"replace({X_SQL}, '{_pair}', '{_letter}')"
 #: The tables hold no white space beyond ASCII, for which \s does.
 CLEAN_SQL = r"regexp_replace(regexp_replace(%s, '[\s\x0B]+', ' ', 'g'), '^ | $', '', 'g')"
@@ -166,12 +173,12 @@ def stem_candidates(t: Tables) -> DataFrame:
     return t.traduko.select(F.col("trd").alias("word")).distinct().select("word", F.array_join(stems.stems(F.col("word")), ",").alias("stems"))
 
 
-@query(sql("nodo traduko", f"SELECT lng, CASE lng {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in text.LANGUAGE_NAMES.items())} ELSE lng END name FROM (SELECT DISTINCT lng FROM traduko)"))
+@query(sql("nodo traduko", f"SELECT lng, {NAME_OF % ('lng', 'lng')} name FROM (SELECT DISTINCT lng FROM traduko)"))
 def language_names(t: Tables) -> DataFrame:
     return t.traduko.select("lng").distinct().select("lng", text.language_name(F.col("lng")).alias("name"))
 
 
-@query(sql("nodo referenco", f"SELECT tip, CASE tip {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in text.REF_LABELS.items())} ELSE tip END label FROM (SELECT DISTINCT tip FROM referenco)"))
+@query(sql("nodo referenco", f"SELECT tip, {LABEL_OF} label FROM (SELECT DISTINCT tip FROM referenco)"))
 def ref_labels(t: Tables) -> DataFrame:
     return t.referenco.select("tip").distinct().select("tip", text.ref_label(F.col("tip")).alias("label"))
 
@@ -259,7 +266,7 @@ def trans_exact_all(t: Tables) -> DataFrame:
 
 @query(sql("nodo traduko", "SELECT 0 qid, mrk, lng, trd, row_number() OVER (ORDER BY rid)::INT ord FROM traduko WHERE trd LIKE '%ent%' AND lng = 'fr' QUALIFY ord <= 50"))
 def trans_substring(t: Tables) -> DataFrame:
-    return translation.substring_rows(translation.asked(asked(t.nodo, ("ent", "fr"))), t.traduko).selectExpr(*TRD.split(", "))
+    return translation.substring_rows(translation.asked(asked(t.nodo, ("ent", "fr"))), t.traduko, t.trd_grams).selectExpr(*TRD.split(", "))
 
 
 FTS_TRD = f"SELECT *, row_number() OVER (ORDER BY rid)::INT ord FROM traduko WHERE list_contains({TOKENS % 'trd'}, 'un') QUALIFY ord <= 100"
@@ -293,6 +300,7 @@ def translation_results(queries: str, rows: str, language: str) -> dict[str, str
     """Steps from translation rows (`qid`, `ord`, ...) to results."""
     return dict(
         qs=f"SELECT * FROM (VALUES {queries}) b(qid, q, lang)",
+        **PHRASE_ROWS,
         r=rows,
         k="SELECT qid, mrk, min(ord) ord FROM r GROUP BY qid, mrk QUALIFY row_number() OVER (PARTITION BY qid ORDER BY min(ord)) <= 15",
         n="SELECT k.qid, k.ord, f.*, array_to_string(list_slice(string_split(k.mrk, '.'), 1, 2), '.') drv FROM k JOIN nodo_first f ON f.mrk = k.mrk",
@@ -303,18 +311,25 @@ def translation_results(queries: str, rows: str, language: str) -> dict[str, str
     )
 
 
+#: The first 100 rows with the query's words in a row, in any language.
+PHRASE_ROWS = dict(
+    tt=f"SELECT *, concat(' ', array_to_string({TOKENS % 'trd'}, ' '), ' ') line FROM traduko",
+    ph=f"SELECT qs.qid, qs.lang, tt.*, row_number() OVER (PARTITION BY qs.qid ORDER BY rid) ord FROM qs JOIN tt ON contains(line, concat(' ', array_to_string({TOKENS % 'q'}, ' '), ' ')) QUALIFY ord <= 100",
+)
 TRANSLATION_ROWS = """SELECT * FROM (
       SELECT qs.qid, 1 tier, t.*, row_number() OVER (PARTITION BY qs.qid ORDER BY rid) ord FROM qs JOIN traduko t ON t.trd = lower(trim(q)) AND lng = lang QUALIFY ord <= 50
+      UNION ALL SELECT qid, 2, mrk, lng, trd, rid, drv_mrk, root_mrk, ord FROM ph WHERE lng = lang
       UNION ALL SELECT qs.qid, 3, t.*, row_number() OVER (PARTITION BY qs.qid ORDER BY rid) ord FROM qs JOIN traduko t ON contains(t.trd, lower(trim(q))) AND lng = lang QUALIFY ord <= 50)
     QUALIFY tier = min(tier) OVER (PARTITION BY qid)"""
 
 
-@query(sql("nodo traduko nodo_first", "SELECT * FROM trd_results", **translation_results("(0, ' In ', 'en'), (1, 'ent', 'fr'), (2, 'zzzz', 'de')", TRANSLATION_ROWS, "qs.lang")))
+@query(sql("nodo traduko nodo_first", "SELECT * FROM trd_results", **translation_results("(0, ' In ', 'en'), (1, 'ent', 'fr'), (2, 'zzzz', 'de'), (3, 'And attion', 'en')", TRANSLATION_ROWS, "qs.lang")))
 def lookup_translation(t: Tables) -> DataFrame:
-    return translation.lookup_translations(asked(t.nodo, (" In ", "en"), ("ent", "fr"), ("zzzz", "de")), t)
+    return translation.lookup_translations(asked(t.nodo, (" In ", "en"), ("ent", "fr"), ("zzzz", "de"), ("And attion", "en")), t)
 
 
-ALL_ROWS = "SELECT qs.qid, t.*, row_number() OVER (PARTITION BY qs.qid ORDER BY rid) ord FROM qs JOIN traduko t ON t.trd = lower(trim(q)) QUALIFY ord <= 100"
+ALL_ROWS = """SELECT * FROM (SELECT qs.qid, 1 tier, t.*, row_number() OVER (PARTITION BY qs.qid ORDER BY rid) ord FROM qs JOIN traduko t ON t.trd = lower(trim(q)) QUALIFY ord <= 100
+      UNION ALL SELECT qid, 2, mrk, lng, trd, rid, drv_mrk, root_mrk, ord FROM ph) QUALIFY tier = min(tier) OVER (PARTITION BY qid)"""
 MERGED = dict(
     either="SELECT *, 0 src FROM results UNION ALL SELECT *, 1 FROM trd_results",
     kept="SELECT * FROM either QUALIFY row_number() OVER (PARTITION BY qid, mrk ORDER BY src, pos) = 1",
@@ -324,14 +339,14 @@ MERGED = dict(
 def merge_sql(queries: tuple[str, ...]) -> str:
     rows = ", ".join(f"({i}, '{q}')" for i, q in enumerate(queries))
     three = ", ".join(f"({i}, '{q}', '')" for i, q in enumerate(queries))
-    steps = WATERFALL | {"ws": f"SELECT * FROM (VALUES {rows}) b(qid, w)"} | translation_results(three, ALL_ROWS, "coalesce(h.lng, '?')") | MERGED
+    steps = WATERFALL | {"ws": f"SELECT qid, lower(w) w FROM (VALUES {rows}) b(qid, w)"} | translation_results(three, ALL_ROWS, "coalesce(h.lng, '?')") | MERGED
     body = "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY src, pos)::INT pos, headword, article, mrk, matched_via FROM kept QUALIFY row_number() OVER (PARTITION BY qid ORDER BY src, pos) <= 5"
     return sql("nodo var traduko nodo_first rules", body.replace("pos)::INT pos", "kept.pos)::INT pos").replace("src, pos) <= 5", "src, kept.pos) <= 5"), **steps)
 
 
-@query(merge_sql(("red rod", "in", "zzzz")))
+@query(merge_sql(("red rod", "in", "zzzz", "And attion")))
 def lookup_all(t: Tables) -> DataFrame:
-    return translation.lookup_all(asked(t.nodo, "red rod", "in", "zzzz"), t)
+    return translation.lookup_all(asked(t.nodo, "red rod", "in", "zzzz", "And attion"), t)
 
 
 @query(merge_sql(("la", "un")))
@@ -438,30 +453,33 @@ def subtree_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.subtree(keys, rows).groupBy("drv").agg(F.count("*").alias("n"))
 
 
-@on_tables(f"WITH h AS ({HIERARCHY}) SELECT mrk FROM h WHERE mrk = '1.2' OR (mrk >= '1.2.' AND mrk < '1.2/')")
+@on_tables(f"WITH h AS ({HIERARCHY}) SELECT mrk FROM h WHERE mrk = '1.1' OR (mrk >= '1.1.' AND mrk < '1.1/')")
 def subtree_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy(spark, sf_dir).where("mrk = '1.2' or (mrk >= '1.2.' and mrk < '1.2/')").select("mrk")
+    return hierarchy(spark, sf_dir).where("mrk = '1.1' or (mrk >= '1.1.' and mrk < '1.1/')").select("mrk")
 
 
 # Assembly.
 
-SUBTREES = "SELECT DISTINCT drv_mrk drv FROM nodo WHERE art = 'Brand#2' UNION SELECT 'Brand#2'"
-BELOW = "ON (contains(drv, '.') AND x.drv_mrk = drv) OR (NOT contains(drv, '.') AND x.root_mrk = drv)"
+SUBTREES = "SELECT DISTINCT drv_mrk drv FROM nodo UNION SELECT DISTINCT root_mrk FROM nodo"
+
+
+def below(name: str) -> str:
+    """Rows of a table joined to the keys whose subtree they are in."""
+    return f"k JOIN (SELECT *, unnest([drv_mrk, root_mrk]) sub FROM {name}) x ON x.sub = k.drv"
 
 
 def subtree_results(t: Tables) -> DataFrame:
-    """Results for every derivation of one article, and for the article's own key."""
-    keys = t.nodo.where("art = 'Brand#2'").select(F.col("drv_mrk").alias("mrk")).distinct()
-    whole = t.nodo.sparkSession.createDataFrame([("Brand#2",)], "mrk string")
-    return keys.unionByName(whole).select(F.lit(0).alias("qid"), F.lit(1).alias("pos"), F.lit("x").alias("headword"), F.lit("Brand#2").alias("article"), "mrk", F.lit(None).cast("string").alias("matched_via"))
+    """Results for every derivation of every article, and for each article's own key."""
+    keys = t.nodo.select("art", F.explode(F.array("drv_mrk", "root_mrk")).alias("mrk")).distinct()
+    return keys.select(F.lit(0).alias("qid"), F.lit(1).alias("pos"), F.lit("x").alias("headword"), F.col("art").alias("article"), "mrk", F.lit(None).cast("string").alias("matched_via"))
 
 
-@query(sql("nodo traduko", "SELECT drv, md5(string_agg(lng || ':' || trd, ';' ORDER BY lng, rid)) digest FROM k JOIN traduko x " + BELOW + " GROUP BY drv", k=SUBTREES))
+@query(sql("nodo traduko", f"SELECT drv, md5(string_agg(lng || ':' || trd, ';' ORDER BY lng, rid)) digest FROM {below('traduko')} GROUP BY drv", k=SUBTREES))
 def assemble_translations(t: Tables) -> DataFrame:
     return assemble.translations(subtree_results(t), t).select("drv", listed("translations", "lng", "trd")).select("drv", F.md5("translations").alias("digest"))
 
 
-CROSS = dict(k=SUBTREES, x2="SELECT drv, x.rid, x.cel, x.tip, f.kap FROM k JOIN referenco x " + BELOW + " LEFT JOIN nodo_first f ON f.mrk = x.cel")
+CROSS = dict(k=SUBTREES, x2=f"SELECT drv, x.rid, x.cel, x.tip, f.kap FROM {below('referenco')} LEFT JOIN nodo_first f ON f.mrk = x.cel")
 
 
 @query(sql("nodo referenco nodo_first", "SELECT drv, md5(string_agg(concat_ws(':', cel, tip, kap), ';' ORDER BY rid)) digest FROM x2 GROUP BY drv", **CROSS))
@@ -475,12 +493,12 @@ def crossrefs_meaningful(t: Tables) -> DataFrame:
     return found.select("drv", listed("refs", "target", "type", "target_kap"))
 
 
-@query(sql("nodo uzo", "SELECT drv, string_agg(uzo, ';' ORDER BY rid) domains FROM (SELECT drv, uzo, min(x.rid) rid FROM k JOIN uzo x " + BELOW + " GROUP BY drv, uzo) GROUP BY drv", k=SUBTREES))
+@query(sql("nodo uzo", f"SELECT drv, string_agg(uzo, ';' ORDER BY rid) domains FROM (SELECT drv, uzo, min(x.rid) rid FROM {below('uzo')} GROUP BY drv, uzo) GROUP BY drv", k=SUBTREES))
 def assemble_domains(t: Tables) -> DataFrame:
     return assemble.usage_domains(subtree_results(t), t).select("drv", F.array_join("usage_domains", ";").alias("domains"))
 
 
-SHOWN = dict(k=SUBTREES, s="SELECT drv, lng, trd, rid FROM k JOIN traduko x " + BELOW + " WHERE lng IN ('en', 'es')")
+SHOWN = dict(k=SUBTREES, s=f"SELECT drv, lng, trd, rid FROM {below('traduko')} WHERE lng IN ('en', 'es')")
 
 
 @query(sql("nodo traduko", "SELECT drv, count(*) n FROM s GROUP BY drv", **SHOWN))
@@ -664,7 +682,7 @@ def build_examples(t: Tables) -> DataFrame:
     return html.build_examples(t.artikolo, "page")
 
 
-@query(sql("nodo", f"SELECT drv_mrk drv, {SENSE_SQL} FROM nodo WHERE art = 'Brand#2'"))
+@query(sql("nodo", f"SELECT drv_mrk drv, {SENSE_SQL} FROM nodo"))
 def assemble_senses(t: Tables) -> DataFrame:
     t.senses = html.parse_senses(articles(t))
     found = assemble.senses(subtree_results(t), t).select("drv", F.explode("senses").alias("s"))
@@ -677,7 +695,7 @@ def assemble_senses(t: Tables) -> DataFrame:
 LOOKUP_MD = dict(
     WATERFALL,
     trd="SELECT mrk, lng, string_agg(trd, ', ' ORDER BY r) trds FROM (SELECT x.mrk, lng, trd, min(t.rid) r FROM (SELECT DISTINCT mrk FROM results) x JOIN traduko t ON t.drv_mrk = x.mrk GROUP BY x.mrk, lng, trd) GROUP BY mrk, lng",
-    a=f"SELECT mrk, string_agg('- **' || CASE lng {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in text.LANGUAGE_NAMES.items())} ELSE lng END || '** (' || lng || '): ' || trds, chr(10) ORDER BY lng) s FROM trd GROUP BY mrk",
+    a=f"SELECT mrk, string_agg('- **' || {NAME_OF % ('lng', 'lng')} || '** (' || lng || '): ' || trds, chr(10) ORDER BY lng) s FROM trd GROUP BY mrk",
     d="SELECT drv_mrk mrk, string_agg('**' || num || '.** ' || kap || ' & more *(' || num || ')*' || chr(10) || '  - *A ' || kap || ' & name*' || chr(10), chr(10) ORDER BY rid) s FROM nodo GROUP BY drv_mrk",
     u="SELECT mrk, string_agg(uzo, ', ' ORDER BY r) s FROM (SELECT drv_mrk mrk, uzo, min(rid) r FROM uzo GROUP BY drv_mrk, uzo) GROUP BY mrk",
     x="SELECT r.drv_mrk mrk, CASE tip WHEN 'sin' THEN 'Synonym' WHEN 'vid' THEN 'See' END label, f.kap, r.rid FROM referenco r JOIN nodo_first f ON f.mrk = r.cel WHERE tip <> 'super' QUALIFY row_number() OVER (PARTITION BY r.drv_mrk ORDER BY r.rid) <= 5",
@@ -728,7 +746,7 @@ def render_examples(t: Tables) -> DataFrame:
     return render.render_examples(queries, examples.lookup_examples(queries, t))
 
 
-LANGUAGE_ROWS = f"SELECT lng, count(*) c, CASE lng {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in text.LANGUAGE_NAMES.items())} ELSE lng END name FROM traduko GROUP BY lng"
+LANGUAGE_ROWS = f"SELECT lng, count(*) c, {NAME_OF % ('lng', 'lng')} name FROM traduko GROUP BY lng"
 
 
 @query(
@@ -757,29 +775,52 @@ def render_family(t: Tables) -> DataFrame:
     return render.render_family(queries, Lexicon(t.nodo.sparkSession, t).family(queries), ["en", "fr"])
 
 
-ALL_HEADS = dict(
-    f="SELECT kap_norm, arg_min(drv_mrk, lpad(length(mrk)::VARCHAR, 6, '0') || lpad(rid::VARCHAR, 12, '0')) drv FROM nodo GROUP BY kap_norm",
-    s="SELECT n.rid, CASE WHEN EXISTS (SELECT 1 FROM traduko t WHERE t.drv_mrk = f.drv) THEN 'ok' ELSE 'no-senses' END kind FROM nodo n JOIN f USING (kap_norm)",
+# Every headword looked up and rendered, over a lexicon with a planted fault of each kind.
+
+FAULTS = dict(
+    n2="SELECT rid, kap, art, mrk, drv_mrk, kap_norm FROM nodo UNION ALL SELECT -1, ' ', 'blank', 'blank.0.-1', 'blank.0', ' '",
+    f="SELECT kap_norm, arg_min(drv_mrk, o) drv, arg_min(art, o) art FROM (SELECT *, lpad(length(mrk)::VARCHAR, 6, '0') || lpad(rid::VARCHAR, 12, '0') o FROM nodo) GROUP BY kap_norm",
+    ends="SELECT min(art) broken, max(art) bare FROM nodo",
+    s="""SELECT n.kap, n.art, n.mrk, CASE WHEN trim(n.kap) = '' THEN 'empty' WHEN f.art = broken THEN 'crash' WHEN f.art = bare THEN 'no-senses' ELSE 'ok' END kind,
+      CASE WHEN f.art = broken THEN 'ValueError: nested more than 10000 levels deep' END message FROM n2 n LEFT JOIN f USING (kap_norm), ends""",
 )
 
 
-def rendered_heads(t: Tables) -> DataFrame:
-    """Every headword of the lexicon looked up and rendered, once per distinct headword, counted per node."""
-    heads = t.nodo.select(F.col("kap").alias("q")).distinct()
-    queries = heads.select(F.xxhash64("q").alias("qid"), "q")
-    kinds = Lexicon(t.nodo.sparkSession, t).render_all(queries)
-    return t.nodo.select(F.xxhash64("kap").alias("qid"), "kap").join(kinds, "qid")
+def faulty(t: Tables) -> Tables:
+    """The lexicon with a blank headword, an article that nests too deeply (the first), and one without senses and
+    translations (the last)."""
+    first, last = t.nodo.agg(F.min("art"), F.max("art")).first()
+    written = articles(t)
+    text = F.when(F.col("mrk") == first, F.concat(F.repeat(F.lit("<div>"), 10_001), "txt")).when(F.col("mrk") == last, "").otherwise(F.col("txt"))
+    pages = written.select("mrk", text.alias("txt"))
+    blank = t.nodo.sparkSession.createDataFrame([("blank.0.-1", "blank", " ", "1", -1)], "mrk string, art string, kap string, num string, rid bigint")
+    return replace(t, nodo=t.nodo.unionByName(with_keys("nodo", blank)), traduko=t.traduko.where(F.col("root_mrk") != last), senses=html.parse_senses(pages), failures=html.failures(pages))
 
 
-@query(sql("nodo traduko", "SELECT kind, count(*) n FROM s GROUP BY kind", **ALL_HEADS))
+def rendered(t: Tables) -> DataFrame:
+    """`kap`, `art`, `mrk`, `kind`, `message` of every node, read back from the report where they are failures."""
+    spark = t.nodo.sparkSession
+    folder = new_path(spark, "render-all-failures")
+    done = Lexicon(spark, faulty(t)).failure_report(folder)
+    failed = spark.read.schema("kap string, art string, mrk string, kind string, message string").json(folder)
+    return done.where("kind = 'ok'").unionByName(failed)
+
+
+@query(sql("nodo", "SELECT kind, count(*) n FROM s GROUP BY kind", **FAULTS))
 def render_all_status(t: Tables) -> DataFrame:
-    return rendered_heads(t).groupBy("kind").agg(F.count("*").alias("n"))
+    return rendered(t).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(sql("nodo", "SELECT kap, art, mrk, kind, message FROM s WHERE kind <> 'ok'", **FAULTS))
+def render_all_failures(t: Tables) -> DataFrame:
+    """The failure report, as its JSON has it."""
+    return rendered(t).where("kind <> 'ok'")
 
 
-@query(sql("nodo", "SELECT kap AS message, 0::BIGINT n FROM nodo WHERE false"))
+@query(sql("nodo", "SELECT message, count(*) n FROM s WHERE kind = 'crash' GROUP BY message", **FAULTS))
 def render_all_top_failures(t: Tables) -> DataFrame:
-    """The ten commonest messages of crashes; there are none."""
-    return rendered_heads(t).where("kind = 'crash'").groupBy("message").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "message").limit(10)
+    """The ten commonest messages of crashes."""
+    return rendered(t).where("kind = 'crash'").groupBy("message").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "message").limit(10)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
+import json
 import sqlite3
+from dataclasses import replace
 
 import pytest
 
-from lexis.operators import render
+from lexis.operators import headword, html, render, translation, wildcard
 from lexis.plans import sqlfuncs
 from lexis.plans.api import Lexicon
 from lexis.sources.lexicon import SCHEMAS, Tables
@@ -95,14 +97,53 @@ def test_render_all(spark, lex):
     assert len(kinds) == len(data.NODO) and kinds[0] == "ok" and kinds[12] == "no-senses" and set(kinds.values()) <= {"ok", "no-senses", "empty"}
 
 
+def test_failures_are_counted_and_reported(spark, lex, tmp_path):
+    deep = spark.createDataFrame([("hund", "<div>" * 20_000), ("amik", data.ARTICLE)], "mrk string, txt string")
+    broken = Lexicon(spark, replace(lex.tables, senses=html.parse_senses(deep), failures=html.failures(deep)))
+    done = broken.failure_report(str(tmp_path / "report"))
+    assert done.count() == len(data.NODO)
+    report = [json.loads(line) for f in (tmp_path / "report").glob("*.json") for line in f.read_text().splitlines()]
+    assert {(r["kap"], r["message"]) for r in report if r["kind"] == "crash"} == {(k, "ValueError: nested more than 10000 levels deep") for k in ("hundo", "hundido")}
+    assert len(report) == done.where("kind <> 'ok'").count() and {r["kind"] for r in report} >= {"crash", "no-senses"}
+
+
 def test_sql_functions(spark, lex):
     sqlfuncs.register(spark, lex.tables)
     assert spark.sql("SELECT h.mrk FROM VALUES ('Hundo'), ('zzz') q(w), LATERAL lexis_headword(q.w) h").collect()[0].mrk == "hund.0o"
     assert spark.sql("SELECT kap FROM lexis_variant('hundeto')").first().kap == "hundo"
-    assert spark.sql("SELECT mrk FROM lexis_translation('dog', 'en')").first().mrk == "hund.0o"
+    assert spark.sql("SELECT kap FROM lexis_headword('cxambro')").first().kap == "Ĉambro"
+    assert spark.sql("SELECT headword, matched_via FROM lexis_translation('Hund', 'de')").first() == ("hundo", "translation:de:Hund")
     assert spark.sql("SELECT sum(count) n FROM lexis_languages()").first().n == len(data.TRADUKO)
 
 
+WORDS = ("amiko", "Hundojn", " amikojn\t", "hundeto", "ami", "a%", "cxambro", "zzz", "", "österreich")
+
+
+def test_sql_searches_are_those_of_the_interface(spark, lex):
+    t = lex.tables
+    sqlfuncs.register(spark, t)
+    asked = lambda *rows: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "qid int, q string" + ", lang string" * (len(rows[0]) - 1))
+
+    def same(call: str, wanted, rows: list[tuple], names: str) -> None:
+        asked(*rows).createOrReplaceTempView("asked")
+        got = spark.sql(f"SELECT qid, h.* FROM asked, LATERAL {call} h").selectExpr("qid", *names.split(", ")).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, wanted.selectExpr("qid", *names.split(", ")).collect()), key=str)
+
+    results = "pos, headword, article, mrk, matched_via"
+    one = [(w,) for w in WORDS]
+    same("lexis_lookup(q)", headword.lookup_headwords(asked(*one), t), one, results)
+    same("lexis_all(q, 3)", translation.lookup_all(asked(*one, ("dog",), ("small",)), t, 3), [*one, ("dog",), ("small",)], results)
+    by_language = [("Hund", "de"), ("small", "en"), ('"a book"', "en"), ('read "a', "en"), ("o%k", "en"), ("end", "en"), ("zzz", "xx"), ("dog", "de")]
+    same("lexis_translation(q, lang)", translation.lookup_translations(asked(*by_language), t), by_language, results)
+    phrases = [("bona amiko",), ("abelojn",), ("mohéli",), ("malamikoj",), ("viron",), ("zzz",)]
+    same("lexis_examples(q)", lex.examples(asked(*phrases)), phrases, "ord, art, drv_mrk, sense_mrk, headword, ekz_md, matched_via")
+    roots = [("hundojn",), ("amik",), ("bela",), ("zzz",)]
+    same("lexis_family(q)", lex.family(asked(*roots)), roots, "ord, root, drv, headword, translations")
+    for pattern in ("hund*", "*ami*", "h*t*", "zq*"):
+        got = spark.sql(f"SELECT * FROM lexis_wildcard('{pattern}')").collect()
+        assert [tuple(r)[:5] for r in got] == [tuple(r) for r in wildcard.lookup_wildcard(t, pattern).select(*results.split(", ")).orderBy("pos").collect()]
+
+
 def test_sqlite(spark, tmp_path):
     path = str(tmp_path / "lex.db")
     db = sqlite3.connect(path)
