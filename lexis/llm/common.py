@@ -2,58 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialise, new_path, shared_dir  # noqa: F401  for the operators
+
 #: A word of the whitespace-separated contracts; bytes.split() without arguments cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set (tests), a local one is."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark.sparkContext, "_lexis_dir", None)
-        if path is None:
-            path = "file://" + tempfile.mkdtemp(prefix="lexis-")
-            spark.sparkContext.setCheckpointDir(path)
-            spark.sparkContext._lexis_dir = path
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def clean() -> None:
-        try:
-            fs.delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            pass
-
-    atexit.register(clean)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back.
-
-    Later jobs read files that survive the loss of any executor, and read only the columns they use.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def own(df: DataFrame, name: str) -> Column:
+    """The column of df with this name, whatever characters it has."""
+    return df["`" + name.replace("`", "``") + "`"]
 
 
 def remainder(id_col: Column, modulus: int) -> Column:
@@ -64,13 +29,17 @@ def remainder(id_col: Column, modulus: int) -> Column:
 def least_hashed(rows: DataFrame, most: int, *keys: str) -> DataFrame:
     """At most `most` rows: those with the smallest hashes of `keys`, a sample that reruns agree on.
 
-    A count tells below which hash about twice as many rows lie; only these are sorted, so that what the sort gathers
-    does not grow with the number of tasks.
+    Only rows below a hash are sorted, so that what the sort gathers does not grow with the number of tasks. With
+    distinct keys about twice as many rows as wanted lie below it; where repeated keys leave too few, it is raised.
     """
-    n, h = rows.count(), F.xxhash64(*keys)
-    if n > 2 * most:
-        rows = rows.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * most / n))
-    return rows.orderBy(F.pmod(h, F.lit(1 << 40)), *keys).limit(most)
+    n, h = rows.count(), F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    share = 2 * most / n if n else 1
+    while share < 1:
+        fewer = rows.where(h < int((1 << 40) * share))
+        if fewer.count() >= most:
+            return fewer.orderBy(h, *keys).limit(most)
+        share *= 4
+    return rows.orderBy(h, *keys).limit(most)
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:
@@ -93,6 +62,32 @@ def pieces(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int
         yield begin, len(texts)
 
 
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """2^26 bits, in words of 64, with those of the leading bits of every `h` set: bounded, and it forgets none."""
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 38) & 63 as int))")
+    found = hashes.select(F.shiftrightunsigned("h", 44).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << 20, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def inside(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes have their bit in the bitmap."""
+    return (bits[h >> np.uint64(44)] >> (h >> np.uint64(38) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+class Once(set):
+    """Digests met in a task: copies need not be worked on again. Emptied when it holds `most`, so a copy may pass."""
+
+    def new(self, key: bytes, most: int = 100_000) -> bool:
+        if key in self:
+            return False
+        if len(self) >= most:
+            self.clear()
+        self.add(key)
+        return True
+
+
 class WordHashes(dict):
     """Memo of 64-bit hashes by word; emptied when it holds `most` words."""
 

@@ -4,7 +4,7 @@ import random
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, as extra columns of the input.
-CLASHES = ("size", "bucket", "mix", "missing", "fp", "h", "score", "id", "word", "row", "label", "position", "target", "spans", "n_words", "payload", "digest", "salt", "__cut", "stratum")
+CLASHES = ("size", "bucket", "mix", "missing", "fp", "h", "score", "id", "word", "row", "label", "position", "target", "spans", "n_words", "payload", "digest", "salt", "__cut", "stratum", "gone_id", "a.b", "doc", "k1", "n", "text_hash", "passage", "tick`s")
 
 
 def prose(rng: random.Random, n: int) -> str:
