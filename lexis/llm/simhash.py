@@ -63,37 +63,43 @@ def block_keys(fp: Column) -> Column:
 def near_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (`a`, `b`, a < b) among the distinct fingerprints `fp` (column `id`: the class) that connect all pairs within two bits.
 
-    Fingerprints meet in buckets of two equal 16-bit blocks, which no pair within two bits escapes. In a bucket of at
-    most `bucket` members, pairs are compared: the table of distances to PIVOTS discards a pair if any coordinate
-    differs by more than two (the triangle inequality), and the exact distance decides on the rest. Members of larger
-    buckets are linked through common neighbours: two fingerprints lie within two bits just if some value lies within
-    one bit of both, so each is sent to its 65 such values and joined with the smallest one there. That is linear in
-    the bucket and connects all that its pairs would.
+    The table of distances to PIVOTS is computed once for each fingerprint and stored. Fingerprints meet in buckets of
+    two equal 16-bit blocks, which no pair within two bits escapes. In a bucket of at most `bucket` members, all pairs
+    are candidates. Members of larger buckets, which clusters make, meet through common neighbours: two fingerprints
+    lie within two bits just if some value lies within one bit of both, so each is sent to its 65 such values and is a
+    candidate with the smallest one there. That is linear in the bucket and connects all that its pairs would. Every
+    candidate then passes the same test: discarded if any pivot coordinate differs by more than two (the triangle
+    inequality), else verified by the exact distance.
     """
-    keyed = prints.select("id", "fp", F.explode(block_keys(F.col("fp"))).alias("key"))
+    pivots = F.array(*[distance(F.col("fp"), F.lit(p).cast("long")).cast("byte") for p in PIVOTS])
+    table = materialise(prints.select("id", "fp", pivots.alias("pivots")), "simhash-pivots")
+    keyed = table.select("id", "fp", "pivots", F.explode(block_keys(F.col("fp"))).alias("key"))
     sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
     met = materialise(keyed.join(sizes, "key"), "simhash-members")
-    table = F.array(*[distance(F.col("fp"), F.lit(p).cast("long")).cast("byte") for p in PIVOTS])
-    small = met.where(F.col("n") <= bucket).select("key", "id", "fp", table.alias("pivots"))
-    left, right = small.toDF("key", "a", "fa", "pa"), small.toDF("key", "b", "fb", "pb")
-    spread = F.greatest(*[F.abs(F.get("pa", F.lit(i)) - F.get("pb", F.lit(i))) for i in range(len(PIVOTS))])
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (spread <= 2)).where(distance(F.col("fa"), F.col("fb")) <= 2).select("a", "b")
+    small = met.where(F.col("n") <= bucket).select("key", "id", "fp", "pivots")
+    pairs = close(small.toDF("key", "a", "fa", "pa").join(small.toDF("key", "b", "fb", "pb"), "key").where("a < b"))
     hot = met.where(F.col("n") > bucket).select("id", "fp").distinct()
     values = F.concat(F.array("fp"), F.array(*[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), i)) for i in range(64)]))
     near = hot.select("id", F.explode(values).alias("value"))
-    centres = near.groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").drop("most")
-    through = near.join(centres, "value").where("a < id").select("a", F.col("id").alias("b"))
-    return pairs.unionByName(through).distinct()
+    centres = materialise(near.groupBy("value").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a < most").drop("most"), "simhash-centres")
+    through = near.join(centres, "value").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    known = through.join(table.toDF("a", "fa", "pa"), "a").join(table.toDF("b", "fb", "pb"), "b")
+    return pairs.unionByName(close(known)).distinct()
+
+
+def close(pairs: DataFrame) -> DataFrame:
+    """The candidate pairs (`a`, `b`, fingerprints `fa`, `fb`, pivot distances `pa`, `pb`) within two bits."""
+    spread = F.greatest(*[F.abs(F.get("pa", F.lit(i)) - F.get("pb", F.lit(i))) for i in range(len(PIVOTS))])
+    return pairs.where(spread <= 2).where(distance(F.col("fa"), F.col("fb")) <= 2).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """Fingerprint and component of every row: `doc_id`, `fingerprint` (16 hexadecimal digits), `component_id`.
 
     Texts with equal fingerprints are one class; classes within two bits link; `component_id` is the smallest id that
-    links reach. Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows get
-    equal results. A class without any id (all null) links to nothing and has no
-    component. An empty table gives no rows;
-    other columns are ignored. Only classes meet in buckets, so copies cost one row, and no bucket is capped.
+    links reach. Null, empty and blank texts have fingerprint zero and are linked like any other; long ones are read
+    whole. Repeated rows get equal results. A class without any id (all null) links to nothing and has no component. An
+    empty table gives no rows; other columns are ignored. Only classes meet in buckets, so copies cost one row, and no bucket is capped.
     """
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp")), "simhash-rows")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
