@@ -94,30 +94,34 @@ def read_records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
             yield head, block
 
 
-def planned(pages: DataFrame, least: int = 1000, salts: int = 16) -> DataFrame:
+def planned(pages: DataFrame, least: int = 1000, hot: int = 10_000) -> DataFrame:
     """Pages with payload, digest, and the page that a revisit refers to.
 
-    Groups of equal payloads come as one row each from partial aggregates, and are joined back under `salts` salts,
-    so a group of copies spreads over as many tasks.
+    Groups of equal payloads come as one row each from partial aggregates. Those with one in `hot` of the grouped rows
+    or more, at most `hot` groups, are broadcast, so that their copies stay where they are, however many; all other
+    pages meet their groups in an exchange, in which no key is large.
     """
     payload = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     groups = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    spread = groups.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    joined = rows.join(spread, ["digest", "salt"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("first").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first")))
+    groups = materialise(groups, "warc-groups")
+    bound = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / hot
+    large, small = groups.where(F.col("n") >= bound).drop("n"), groups.where(F.col("n") < bound).drop("n")
+    of_large = rows.join(F.broadcast(large), "digest")
+    others = rows.join(F.broadcast(large.select("digest")), "digest", "left_anti").join(small, "digest", "left")
+    refers = F.when(F.col("first").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first"))
+    return of_large.unionByName(others).withColumn("refers_to", refers)
 
 
 def write_archives(pages: DataFrame, folder: str, roll: int = 256_000_000, samples: int = 500, sample_bytes: int = 65_536) -> DataFrame:
     """Write every page as a record to archives under `folder`; returns the manifest (`uri`, `records`, `bytes`).
 
-    The dictionary comes from the `samples` pages with the smallest hashes, at most `sample_bytes` of each: that bounds
-    what reaches the driver. Each attempt of a task writes files of its own name; only the manifest, which has those
+    The dictionary comes from the `samples` pages with the smallest hashes among those of at most `sample_bytes`, whole:
+    that bounds what reaches the driver. If all pages are longer, records are compressed without a dictionary. Each attempt of a task writes files of its own name; only the manifest, which has those
     of the attempts that counted, says what belongs to the archive, so repeated tasks do no harm.
     """
-    least = pages.where("html is not null").select(F.substring("html", 1, sample_bytes).alias("html"), "page_id", "url")
-    taken = least_hashed(least, samples, "page_id", "url").collect()
+    short = pages.where(F.octet_length("html") <= sample_bytes).select("html", "page_id", "url")
+    taken = least_hashed(short, samples, "page_id", "url").collect()
     shared = pages.sparkSession.sparkContext.broadcast(dictionary([record(r.page_id, None, r.html.encode(), "00" * 20, None) for r in taken]))
 
     def write(batches):
@@ -141,11 +145,12 @@ def write_archives(pages: DataFrame, folder: str, roll: int = 256_000_000, sampl
     return materialise(rows.mapInArrow(write, "uri string, records long, bytes long"), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
+def read_archives(manifest: DataFrame, task_bytes: int = 64_000_000) -> DataFrame:
     """One row per record: `page_id`, `payload_bytes`, `payload_digest`, `record_type`, `refers_to`.
 
     A response's payload is hashed again and must agree with its header; a revisit has the full payload's figures
-    from its header.
+    from its header. Archives are dealt to as many tasks as there are cores, and beyond that to one for each
+    `task_bytes`.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     schema = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))))
@@ -174,7 +179,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         held = []
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in held], schema)
 
-    return manifest.select("uri").repartition("uri").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    held = manifest.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-held.bytes // task_bytes))
+    return manifest.select("uri").repartition(max(1, min(held.n, tasks))).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -183,6 +190,6 @@ def archived(pages: DataFrame) -> DataFrame:
     Payload: the html in UTF-8 (null: empty). Among equal payloads of at least 1000 bytes, the rows of the largest
     page_id are responses and the others revisits of it; smaller ones are all responses. A null page_id is less than
     any other; if a group has no other, its rows are responses. Repeated rows are records each. Null and odd urls are
-    left out or percent-encoded. Empty tables give no rows; other columns are ignored.
+    left out or percent-encoded; long payloads are written whole. Empty tables give no rows; other columns are ignored.
     """
     return read_archives(write_archives(pages, new_path(pages.sparkSession, "warc")))

@@ -73,3 +73,20 @@ def test_dictionary_helps_and_falls_back():
     plain = len(zstandard.compress(rng[5]))
     assert len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(shared)).compress(rng[5])) < plain
     assert warc.dictionary([b"one"]) == b"one" and warc.dictionary([]) == b"" and warc.dictionary([b""]) == b""
+
+
+def test_large_groups_and_long_pages(spark):
+    """Groups that are broadcast and groups that are met give the same; an html longer than the sample's bound is written whole."""
+    rows = ROWS + [(300 + i, "u", html("huge", 200_000)) for i in range(3)]
+    for hot in (10_000, 2, 0.5):  # all groups large, some, none
+        planned = warc.planned(pages(spark, rows), hot=hot).collect()
+        assert sorted(((r.page_id, r.refers_to) for r in planned), key=str) == sorted(((r[0], r[4]) for r in brute(rows)), key=str)
+    manifest = warc.write_archives(pages(spark, rows).repartition(3), new_path(spark, "t"), sample_bytes=100)
+    assert sorted(map(tuple, warc.read_archives(manifest).collect()), key=str) == brute(rows)
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    manifest = warc.write_archives(pages(spark, ROWS), new_path(spark, "t"), roll=500)
+    n = manifest.count()
+    assert n > 20 and warc.read_archives(manifest, task_bytes=1000).rdd.getNumPartitions() > 10
+    assert warc.read_archives(manifest, task_bytes=1).rdd.getNumPartitions() == n
