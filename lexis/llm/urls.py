@@ -5,15 +5,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed
+from .common import least_hashed, materialise
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the url's path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 NAMES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "fragment", "secure", "top_suffix", "second_suffix")
 BINS = 32
+#: Block rates of suffixes are kept in so many slots by hash: a table of fixed size that leaves no suffix out.
+SLOTS = 1 << 16
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -39,6 +42,11 @@ def suffixes(host: str) -> tuple[str, str]:
     return labels[-1], ".".join(labels[-2:])
 
 
+def slot(suffix: str) -> int:
+    """The slot of a suffix, as pmod(xxhash64(suffix), SLOTS) has it."""
+    return xxhash.xxh64_intdigest(suffix.encode("utf-8", "surrogatepass"), 42) % SLOTS
+
+
 @dataclass
 class Trees:
     """Boosted trees of fixed depth: node i has children 2 i + 1 and 2 i + 2; the last level holds the leaves."""
@@ -46,8 +54,7 @@ class Trees:
     depth: int
     base: float = 0.0
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    rates: dict[str, float] = field(default_factory=dict)
-    prior: float = 0.5
+    rates: np.ndarray = field(default_factory=lambda: np.full(SLOTS, 0.5))
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         out, inner = np.full(len(x), self.base), 2**self.depth - 1
@@ -67,25 +74,24 @@ class Trees:
             share = counts / max(1, len(url))
             query = url.partition("#")[0].partition("?")[2]
             top, second = suffixes(host)
-            top_rate = self.rates.get(top, self.prior)
             out[i] = (
                 len(url), len(host), len(path), path.strip("/").count("/") + (path.strip("/") != ""), sum(map(url.count, "0123456789")) / max(1, len(url)),
                 -(share * np.log2(share)).sum() if url else 0, query.count("&") + (query != ""), host.count("-"), host.count(".") + (host != ""), "#" in url, url.startswith("https:"),
-                top_rate, self.rates.get(second, top_rate),
+                self.rates[slot(top)], self.rates[slot(second)],
             )
         return out
 
 
-def suffix_rates(hosts: list[str], blocked: np.ndarray, prior: float, weight: float = 20.0, most: int = 2000) -> dict[str, float]:
-    """Block rates of the `most` commonest suffixes of one and two labels, drawn towards the prior by `weight` urls."""
-    seen: dict[str, list[float]] = {}
-    for host, y in zip(hosts, blocked.tolist()):
-        for s in set(suffixes(host)):
-            n = seen.setdefault(s, [0, 0.0])
-            n[0] += 1
-            n[1] += y
-    common = sorted(seen.items(), key=lambda kv: (-kv[1][0], kv[0]))[:most]
-    return {s: (y + weight * prior) / (n + weight) for s, (n, y) in common}
+def suffix_rates(labelled: DataFrame, weight: float = 20.0) -> np.ndarray:
+    """Block rates by SLOTS of the suffixes of one and two labels over all labelled urls (`host`, `y`), drawn towards the
+    rate of all by `weight` urls. Only the sums of a slot leave the tasks."""
+    ends = F.array(F.substring_index("host", ".", -1), F.substring_index("host", ".", -2))
+    sums = labelled.select("y", F.explode(F.array_distinct(ends)).alias("s")).groupBy(F.pmod(F.xxhash64("s"), F.lit(SLOTS)).alias("slot"))
+    rows = sums.agg(F.count("*").alias("n"), F.sum("y").alias("y")).toArrow()
+    n, y = np.zeros(SLOTS), np.zeros(SLOTS)
+    n[rows["slot"].to_numpy()], y[rows["slot"].to_numpy()] = rows["n"].to_numpy(), rows["y"].to_numpy()
+    prior = y.sum() / n.sum() if n.sum() else 0.5
+    return (y + weight * prior) / (n + weight)
 
 
 def boost(model: Trees, x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.2, penalty: float = 1.0, least: float = 5.0) -> Trees:
@@ -124,26 +130,29 @@ def boost(model: Trees, x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: fl
 
 
 def train(judged: DataFrame, most: int = 20_000, depth: int = 3) -> Trees:
-    """Fit on at most `most` urls that a rule labels, those with the smallest hashes; without any, all are allowed."""
-    labelled = judged.where("fit is not null").select("url", "host", "path", (F.col("fit.verdict") == "block").cast("double").alias("y"))
+    """Fit on the urls that a rule labels; without any, all are allowed.
+
+    A url counts once, however often it occurs. Suffix rates come from all of them, the trees from at most `most`:
+    those with the smallest hashes.
+    """
+    labelled = judged.where("fit is not null").select("url", "host", "path", (F.col("fit.verdict") == "block").cast("double").alias("y")).distinct()
+    labelled = materialise(labelled, "url-labels")
     rows = least_hashed(labelled, most, "url").toArrow()
     y = rows["y"].to_numpy()
     model = Trees(depth, base=-1.0)
     if not len(y):
         return model
-    hosts = rows["host"].to_pylist()
-    model.prior = float(y.mean())
-    model.rates = suffix_rates(hosts, y, model.prior)
-    return boost(model, model.features(rows["url"].to_pylist(), hosts, rows["path"].to_pylist()), y)
+    model.rates = suffix_rates(labelled)
+    return boost(model, model.features(rows["url"].to_pylist(), rows["host"].to_pylist(), rows["path"].to_pylist()), y)
 
 
 def url_verdicts(pages: DataFrame, rules: tuple = RULES, most: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """Judge every url: `page_id`, `host`, `path`, `rule`, `verdict`, `score`.
 
     The longest fitting rule decides; other urls get the verdict of trees trained on the urls that rules label (the
-    labelled urls at hand), `score` being the chance of block. Rules are a parameter list that becomes one
+    labelled urls at hand), `score` being the chance of block. How often a url is repeated changes no other's verdict. Rules are a parameter list that becomes one
     expression: hundreds are fine, and lists beyond that belong in a joined table. Null, empty and odd urls have an
-    empty host and path, no rule, and the trees' verdict. Repeated rows are judged each; other columns are ignored.
+    empty host and path, no rule, and the trees' verdict. Long urls are read whole; an empty table gives no rows. Repeated rows are judged each; other columns are ignored.
     """
     host, path = parts(F.col("url"))
     judged = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))

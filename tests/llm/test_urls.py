@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexis.llm import urls
+from lexis.llm.common import least_hashed
 
 from .data import CLASHES
 
@@ -55,6 +56,65 @@ def test_trees_learn():
     assert ((model.margins(x[3000:]) > 0) == (y[3000:] > 0)).mean() > 0.95
 
 
+def brute_margin(model, row):
+    """One row down each tree, node by node."""
+    out = model.base
+    for feature, cut, leaf in model.trees:
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+        out += leaf[node - len(feature)]
+    return out
+
+
+def test_trees_against_a_walk():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, len(urls.NAMES)))
+    y = (x[:, 2] + x[:, 5] ** 2 > 1).astype(float)
+    model = urls.boost(urls.Trees(3), x, y, rounds=6)
+    assert np.allclose(model.margins(x), [brute_margin(model, row) for row in x])
+    # the first split is the best of all: no other cut of any feature has a smaller loss
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(f, cut):
+        left = x[:, f] <= cut
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1)
+
+    feature, cut, _ = model.trees[0]
+    best = max(gain(f, e) for f in range(x.shape[1]) for e in np.quantile(x[:, f], np.linspace(0, 1, urls.BINS + 1)[1:-1]))
+    assert np.isclose(gain(feature[0], cut[0]), best)
+
+
+def test_repeated_urls_change_nothing(spark):
+    """A url that makes up nearly all rows neither empties the sample nor turns verdicts."""
+    base = [f"http://{'ads-' * (i % 2)}h{i}.com/{'de' if i % 2 else 'fr'}/{i}" for i in range(120)] + ["http://zz.net/de/q", "http://ads-q.net/x"]
+    alone = {r.url: r.score for r in scored(spark, base)}
+    for hot in ("http://a.com/de/1", "http://b.com/fr/2"):
+        crowded = {r.url: r.score for r in scored(spark, base + [hot] + base[:1])}
+        many = {r.url: r.score for r in scored(spark, base + [hot] * 3000 + base[:1])}
+        assert many == crowded and len(many) == len(alone) + 1
+
+
+def scored(spark, samples):
+    df = pages(spark, samples)
+    return urls.url_verdicts(df, most=50).join(df.select("page_id", "url"), "page_id").select("url", "score").distinct().collect()
+
+
+def test_sample_of_repeated_keys(spark):
+    for key in range(4):
+        rows = spark.createDataFrame([(f"http://{key}",)] * 1000 + [(f"http://x{i}",) for i in range(20)], "url string")
+        assert least_hashed(rows, 50, "url").count() == 50
+    assert least_hashed(rows.limit(0), 50, "url").count() == 0
+
+
+def test_suffix_rates(spark):
+    labelled = spark.createDataFrame([("a.com", 1.0), ("b.com", 0.0), ("x.b.com", 1.0), ("", 0.0), ("org", 1.0)], "host string, y double")
+    rates = urls.suffix_rates(labelled, weight=2.0)
+    prior = (1 + 0 + 1 + 1 + 0 + 1 + 0 + 1) / 8  # eight pairs of a url and one of its suffixes
+    assert np.isclose(rates[urls.slot("com")], (2 + 2 * prior) / 5) and np.isclose(rates[urls.slot("b.com")], (1 + 2 * prior) / 4)
+
+
 def test_features():
     f = urls.Trees(3).features(["https://a-b.c.org/x/y/1?p=1&q=2#f", None], ["a-b.c.org", ""], ["/x/y/1", ""])
     row = dict(zip(urls.NAMES, f[0]))
