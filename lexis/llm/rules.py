@@ -54,17 +54,18 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def measures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The id and the MEASURES of every row's whole text; null is like empty."""
+    """The id, the MEASURES of every row's whole text and its 64-bit hash `text_hash`; null is like empty."""
     names = [m.split()[0] for m in MEASURES.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [measure(t) for t in bytes_of(b.column(1))]
             columns = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "text_hash", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, f"doc_id {kind}, {MEASURES}")
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(scan, f"doc_id {kind}, text_hash long, {MEASURES}")
 
 
 def thousandths(part: Column, whole: Column) -> Column:
@@ -117,40 +118,48 @@ def candidate(good: np.ndarray, bad: np.ndarray, cost: float = 10.0) -> tuple[fl
     return float(gain.max()), int(run[len(run) // 2])
 
 
-def thresholds(labelled: DataFrame, strata: list[str], risk: float = 0.05, error: float = 0.1) -> dict[str, dict[str, int]]:
-    """Cutoffs by stratum and rule: with confidence 1 - `error`, every stratum rejects at most `risk` of its good documents.
+def loosest(good: np.ndarray, proposed: int, risk: float, level: float) -> int | None:
+    """The lowest cutoff, down to `proposed`, that the holdout's good documents (a histogram of their values) allow.
 
-    `labelled` has `doc_id`, `stratum`, `good` and a column per rule. Half of it (by hash of doc_id) proposes a cutoff
-    for each rule and an order of the rules by gain. On the other half, the sets of the first 1, 2, ... rules are tested in this order by the
-    exact binomial bound at level error / strata: Bonferroni between strata, fixed-sequence testing within, which
-    ends at the first set whose bound exceeds the risk. The driver sees histograms and counts of a fixed size.
+    Cutoffs are tested in a fixed order, from 1000, which rejects nothing, downwards; testing ends at the first whose
+    exact bound on the rate of false rejection, at `level`, exceeds the risk. So the cutoff found is wrong with
+    probability `level` at most. None if not even the first passes.
     """
-    design = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
+    n, found, rejected = int(good.sum()), None, 0
+    for cut in range(1000, proposed - 1, -1):
+        now = int(good[cut + 1 :].sum())
+        if found is None or now > rejected:
+            if upper_bound(now, n, level) > risk:
+                break
+            rejected = now
+        found = cut
+    return found
+
+
+def thresholds(labelled: DataFrame, strata: list[str], risk: float = 0.05, error: float = 0.1) -> dict[str, dict[str, int]]:
+    """Cutoffs by stratum and rule: with confidence 1 - `error`, every stratum rejects at most `risk` of its good texts.
+
+    `labelled` has `text_hash`, `stratum`, `good` and a column per rule. A text counts once, however many copies it has,
+    and is good only if all its labels say so. Half of the texts (by hash) propose: for each rule of a stratum the
+    cutoff that gains most, or that the rule is of no use there. The other half decides how far each proposed rule may
+    go (`loosest`). The risk of a stratum is shared by its rules in equal parts, so that the union of their false
+    rejections keeps to it; the error is shared over all rules of all strata (Bonferroni). A rule that fails does not
+    stop another. The driver sees histograms of a fixed size.
+    """
+    texts = labelled.groupBy("text_hash", "stratum", *RULES).agg(F.min("good").alias("good"))
+    design = F.pmod(F.xxhash64("text_hash", F.lit(1)), F.lit(2)) == 0
     values = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("v")) for r in RULES]))
-    rows = labelled.where(design).select("stratum", "good", values.alias("x")).groupBy("stratum", "good", "x.rule", "x.v").agg(F.count("*").alias("n")).collect()
-    histograms = {(s, r, g): np.zeros(1001) for s in strata for r in RULES for g in (True, False)}
+    rows = texts.select(design.alias("design"), "stratum", "good", values.alias("x")).groupBy("design", "stratum", "good", "x.rule", "x.v").agg(F.count("*").alias("n")).collect()
+    histograms = {(d, s, r, g): np.zeros(1001, np.int64) for d in (True, False) for s in strata for r in RULES for g in (True, False)}
     for r in rows:
-        histograms[r.stratum, r.rule, r.good][r.v] = r.n
-    proposed = {}
-    for s in strata:
-        found = [(c, r) for r in RULES if (c := candidate(histograms[s, r, True], histograms[s, r, False]))]
-        proposed[s] = [(r, cut) for (gain, cut), r in sorted(found, key=lambda x: (-x[0][0], x[1]))]
-    test = labelled.where(~design & F.col("good"))
-    counts = []
-    for i in range(1, len(RULES) + 1):
-        rejected = F.lit(False)
-        for s in strata:
-            for r, cut in proposed[s][:i]:
-                rejected = rejected | ((F.col("stratum") == s) & (F.col(r) > cut))
-        counts.append(F.sum(F.when(rejected, 1).otherwise(0)).alias(f"k{i}"))
-    tested = {r.stratum: r for r in test.groupBy("stratum").agg(F.count("*").alias("n"), *counts).collect()}
-    out: dict[str, dict[str, int]] = {}
-    for s in strata:
-        out[s] = {}
-        for i, (r, cut) in enumerate(proposed[s], 1):
-            if s not in tested or upper_bound(tested[s][f"k{i}"], tested[s].n, error / len(strata)) > risk:
-                break
-            out[s][r] = cut
+        histograms[r.design, r.stratum, r.rule, r.good][r.v] = r.n
+    proposed = {(s, r): c[1] for s in strata for r in RULES if (c := candidate(histograms[True, s, r, True], histograms[True, s, r, False]))}
+    out: dict[str, dict[str, int]] = {s: {} for s in strata}
+    for (s, r), cut in proposed.items():
+        share = risk / sum(t == s for t, _ in proposed)
+        found = loosest(histograms[False, s, r, True], cut, share, error / len(proposed))
+        if found is not None:
+            out[s][r] = found
     return out
 
 
@@ -161,8 +170,8 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rest, cutoffs of RULES are learned from all labelled documents (quality 1 is good; repeated labels: the smallest)
     by `thresholds`, with strata of word counts below each of `bands` and above. A stratum with too few labels to
     prove the risk keeps every document. Null texts are like empty ones: no words, base failed. A null doc_id is
-    measured and judged but never matches a label. Repeated rows are judged each; empty tables give no rows, or no
-    learned rules; other columns are ignored.
+    measured and judged but never matches a label. Repeated rows are judged each; long texts are measured whole; empty
+    tables give no rows, or no learned rules; other columns are ignored.
     """
     rows = materialise(measures(docs, id_col, text_col), "rule-measures")
     strata = [f"below {b} words" for b in bands] + ["long"]
@@ -172,7 +181,7 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("stratum", stratum).withColumns({r: VALUES[r]() for r in RULES})
     known = labels.where("quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    cutoffs = thresholds(materialise(rows.where("not base_failed").join(known, "doc_id").select("doc_id", "stratum", "good", *RULES), "rule-labelled"), strata, risk, error)
+    cutoffs = thresholds(materialise(rows.where("not base_failed").join(known, "doc_id").select("text_hash", "stratum", "good", *RULES), "rule-labelled"), strata, risk, error)
     broken = F.array(*[F.when((F.col("stratum") == s) & (F.col(r) > cut), r) for s in strata for r, cut in cutoffs[s].items()], F.lit(None).cast("string"))
     judged = rows.withColumn("failed_rules", F.array_compact(broken))
     kept = ~F.col("base_failed") & (F.size("failed_rules") == 0)

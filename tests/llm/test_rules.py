@@ -1,6 +1,7 @@
 import math
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,6 +49,48 @@ def test_exact_bound(k, n):
         assert bound == 1
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(980, 1000), st.integers(0, 40)), max_size=8), st.integers(975, 999), st.sampled_from([0.02, 0.05, 0.2]))
+def test_loosest_cutoff(counts, proposed, risk):
+    """The lowest cutoff that every stricter one, itself included, passes: by binomial sums."""
+    good = np.zeros(1001, np.int64)
+    for v, n in counts:
+        good[v] += n
+    n, wanted = int(good.sum()), None
+    for cut in range(1000, proposed - 1, -1):
+        k = int(good[cut + 1 :].sum())
+        at_risk = sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+        if k == n or at_risk > 0.1:  # so many or fewer would be no surprise at this rate
+            break
+        wanted = cut
+    assert rules.loosest(good, proposed, risk, 0.1) == wanted
+
+
+def test_verdicts_follow_the_cutoffs(spark):
+    good = [(i, t + " " + t[::-1], *r) for i, t, *r in documents(10, 300)]
+    bad = [(1000 + i, junk(i), "en", "s0", 1) for i in range(200)] + [(2000 + i, t.upper(), *r) for i, t, *r in documents(12, 120)]
+    docs = frame(spark, good + bad)
+    known = labels(spark, [(d[0], 1, 0) for d in good] + [(d[0], 0, 0) for d in bad])
+    got = rules.rule_verdicts(docs, known, bands=(100,)).collect()
+    cutoffs = {}
+    for r in got:
+        values = dict(zip(rules.RULES, (1000 * a / b if b else 0 for a, b in ((r.n_symbols, r.word_chars), (r.n_dup_lines, r.n_lines), (r.n_repeat_words, r.n_words), (r.n_capitals, r.word_chars)))))
+        failed = set(r.failed_rules)
+        for name, v in values.items():
+            low, high = cutoffs.get((r.stratum, name), (-1, 1001))
+            cutoffs[r.stratum, name] = (max(low, int(v)), high) if name not in failed else (low, min(high, int(v)))
+        assert r.kept == (not r.base_failed and not failed) and r.stratum == ("below 100 words" if r.n_words < 100 else "long")
+    assert all(low < high for low, high in cutoffs.values())  # one cutoff a rule and stratum explains all verdicts
+    assert any(r.failed_rules for r in got)
+
+
+def test_copies_are_no_trials(spark):
+    """Four texts, copied two hundred times each, prove nothing about a risk."""
+    docs = [(i, " ".join(f"a{i % 4}b{j}" for j in range(60)), "en", "s", 1) for i in range(800)] + [(900 + i, junk(i), "en", "s", 1) for i in range(200)]
+    got = rules.rule_verdicts(frame(spark, docs), labels(spark, [(d[0], int(d[0] < 900), 0) for d in docs])).collect()
+    assert all(r.kept for r in got)
+
+
 def junk(i):
     return " ".join(f"w{i}x{j}###" for j in range(80))
 
