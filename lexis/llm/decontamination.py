@@ -1,18 +1,25 @@
 """Operator 6: benchmark decontamination with a generalised suffix automaton."""
 
-import hashlib
-from collections.abc import Iterator
+import pickle
+import uuid
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, materialise
+from .common import bytes_of, materialise, new_path, own, pieces
 from .toxicity import FOLD
 
-#: Words of test items in one automaton; longer benchmarks take several, each run against all documents.
-BLOCK = 200_000
+#: A word of items and documents.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+#: Words of test items in one automaton, on average; longer benchmarks take several.
+BLOCK = 50_000
+#: Automata that a task keeps in memory; if there are more, each is loaded again for each batch of documents.
+KEPT = 4
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -130,68 +137,77 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def automata(benchmark: DataFrame, item_col: str, text_col: str, width: int, block: int) -> Iterator[Automaton]:
-    """One automaton for each `block` words of items, built from an ordered stream of the items."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null").orderBy("item", "text")
-    held, n = [], 0
-    for r in rows.toLocalIterator():
-        words = words_of(r.text.encode())
-        held.append((r.item if r.item is not None else "", words))
-        n += len(words)
-        if n >= block:
-            yield Automaton(width).build(held)
-            held, n = [], 0
-    if held:
-        yield Automaton(width).build(held)
+def automata(benchmark: DataFrame, item_col: str, text_col: str, width: int, block: int) -> list[str]:
+    """Files in the shared folder, with an automaton each, for about `block` words of items.
+
+    Distinct items are dealt to blocks by hash and each automaton is built in a task of its own; the driver sees the
+    names alone, of the attempts that counted.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
+    words = items.select(F.sum(F.regexp_count("text", F.lit(WORD))).alias("n")).first().n or 0
+    parts, folder = max(1, -(-words // block)), new_path(spark, "automata")
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["item", "text"])
+        made = Automaton(width).build([("" if i is None else i, words_of(t.encode())) for i, t in zip(rows["item"], rows["text"])])
+        uri = f"{folder}/{uuid.uuid4().hex}"
+        system, path = fs.FileSystem.from_uri(uri)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(path, compression=None) as file:
+            file.write(pickle.dumps(made))
+        return pd.DataFrame({"uri": [uri]})
+
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(parts))).groupBy("block").applyInPandas(build, "uri string")
+    return [r.uri for r in materialise(blocks, "automata-list").orderBy("uri").collect()]
+
+
+_loaded: dict[str, Automaton] = {}
+
+
+def automaton_at(uri: str) -> Automaton:
+    """The automaton of a file; a worker keeps the last KEPT."""
+    if uri not in _loaded:
+        while len(_loaded) >= KEPT:
+            _loaded.pop(next(iter(_loaded)))
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_stream(path, compression=None) as file:
+            _loaded[uri] = pickle.loads(file.read())
+    return _loaded[uri]
+
+
+def spans_of(uris: list[str], lists: list[list[bytes]], least: int = 1) -> list[tuple[list[tuple[int, int]], set]]:
+    """Merged spans and items of each word list under all automata, one automaton after the other."""
+    found: list[tuple[list, set]] = [([], set()) for _ in lists]
+    for uri in uris:
+        automaton = automaton_at(uri)
+        for (spans, items), words in zip(found, lists):
+            s, i = automaton.spans(words, least)
+            spans += s
+            items |= i
+    return [(merged(s), i) for s, i in found]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block: int = BLOCK) -> DataFrame:
     """Per row of `docs`: the id, `n_words`, `spans` (merged word ranges inside occurring windows) and `items`.
 
-    All documents stream past each automaton; an automaton holds `block` words and the one item that goes beyond, which
-    bounds what is broadcast. With several, rows are written once with a key of their own, by which their spans are
-    united afterwards; so repeated and null ids are judged row by row, as with one.
+    Documents are scanned once, whatever the size of the benchmark, and each row is judged where it stands.
     """
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("row"))
-
-    def against(automaton: Automaton, rows: DataFrame) -> DataFrame:
-        shared = context.broadcast(automaton)
-
-        def scan(batches):
-            for b in batches:
-                n, spans, items = [], [], []
-                for text in bytes_of(b.column(1)):
-                    words = words_of(text)
-                    s, i = shared.value.spans(words)
-                    n.append(len(words))
-                    spans.append([{"begin": x, "end": y} for x, y in s])
-                    items.append(sorted(i))
+    uris = automata(benchmark, item_col, item_text_col, width, block)
+
+    def scan(batches):
+        for b in batches:
+            texts = bytes_of(b.column(1))
+            for i, j in pieces(texts, 10_000_000):
+                lists = [words_of(t) for t in texts[i:j]]
+                found = spans_of(uris, lists)
+                columns = ([len(w) for w in lists], [[{"begin": x, "end": y} for x, y in s] for s, _ in found], [sorted(i) for _, i in found])
                 kinds = (pa.int64(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(v, k) for v, k in zip((n, spans, items), kinds)]], ["id", "row", "n_words", "spans", "items"])
-
-        kind = docs.schema[id_col].dataType.simpleString()
-        return rows.mapInArrow(scan, f"id {kind}, row long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>")
-
-    blocks = automata(benchmark, item_col, item_text_col, width, block)
-    first, second = next(blocks, Automaton(width)), next(blocks, None)
-    if second is None:
-        return against(first, rows).drop("row")
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
-    parts = [against(first, rows), against(second, rows), *[against(a, rows) for a in blocks]]
-    done = parts[0]
-    for p in parts[1:]:
-        done = done.unionByName(p)
-    every = done.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    empty = F.array().cast("array<struct<begin:int,end:int>>")
-
-    def join(acc, x):
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.named_struct(F.lit("begin"), last["begin"], F.lit("end"), F.greatest(last["end"], x["end"]))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["begin"]), grown).otherwise(F.concat(acc, F.array(x)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *[pa.array(v, k) for v, k in zip(columns, kinds)]], ["id", "n_words", "spans", "items"])
 
-    spans = F.aggregate(F.array_sort("s"), empty, join)
-    return every.select("id", "n_words", spans.alias("spans"), "items")
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(own(docs, id_col).alias("id"), own(docs, text_col).alias("text"))
+    return rows.mapInArrow(scan, f"id {kind}, n_words long, spans array<struct<begin:int,end:int>>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int = BLOCK) -> DataFrame:
@@ -199,7 +215,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block:
 
     A window is `width` consecutive words of an item; an item with fewer, but some, is one window. A document word
     inside an occurrence of a window is hit. Null and empty texts have no words and no hits; items without words
-    never occur. Repeated rows are judged each. Empty tables give no rows, or no hits; other columns are ignored.
+    never occur, and a null item id is an empty one. Repeated rows are judged each, long texts whole. Empty tables give
+    no rows, or no hits; other columns are ignored.
     `items_sha256` is of the item ids sorted as strings and joined by commas (of the empty string without any).
     """
     found = hits(docs, benchmark, width=width, block=block)
@@ -230,33 +247,37 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 10, coverage: fl
     A document goes as a whole if more than `coverage` of its words are hit. Items of fewer than `least` words are cut out
     but do not count there; only a document of which they leave no word goes. Cutting can bring words together that
     form a window again, so a text is cut until no window is left. `n_chars` follows the text; clean rows stay as
-    they are. Columns are those of `docs`. A benchmark of several blocks is cut block by block.
+    they are, null and blank texts too. Repeated rows are judged each, long texts whole; empty tables give no rows, or
+    leave all. Columns are those of `docs`, whatever their names.
     """
-    for automaton in automata(benchmark, "item_id", "text", width, block):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        @F.arrow_udf("struct<gone:boolean,text:string>")
-        def cut(text: pa.Array) -> pa.Array:
-            gone, out = [], []
-            for t, null in zip(bytes_of(text), text.is_null().to_pylist()):
-                words = words_of(t)
-                spans, _ = shared.value.spans(words)
-                judged = spans if least == 1 or not spans else shared.value.spans(words, least)[0]
-                n = sum(b - a for a, b in judged)
-                gone.append(bool(n > coverage * len(words)))
+    uris = automata(benchmark, "item_id", "text", width, block)
+
+    @F.arrow_udf("struct<gone:boolean,text:string>")
+    def cut(text: pa.Array) -> pa.Array:
+        gone, out, texts = [], [], bytes_of(text)
+        for i, j in pieces(texts, 10_000_000):
+            for t, words, spans, judged in zip(texts[i:j], *judge(texts[i:j])):
+                gone.append(sum(b - a for a, b in judged) > coverage * len(words))
                 rest = t
                 while spans and not gone[-1]:
                     rest = without_spans(rest, spans)
                     left = words_of(rest)
-                    spans, _ = shared.value.spans(left)
+                    spans = spans_of(uris, [left])[0][0]
                     gone[-1] = not left
-                out.append(rest.decode() if rest != t and not null else None)
-            return pa.StructArray.from_arrays([pa.array(gone), pa.array(out, pa.string())], ["gone", "text"])
-
-        cut = cut.asNondeterministic()  # keeps the filter from asking for the same cut a second time
-        row, done = F.struct(*[docs[c] for c in docs.columns]), F.col("cut")
-        judged = docs.select(row.alias("row"), cut(F.col("text")).alias("cut")).where(~done["gone"])
-        text = F.coalesce(done["text"], F.col("row.text"))
-        length = F.when(done["text"].isNotNull(), F.length(done["text"]).cast("long")).otherwise(F.col("row.n_chars"))
-        docs = judged.select(*[{"text": text, "n_chars": length}.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
-    return docs
+                out.append(rest.decode() if rest != t else None)
+        return pa.StructArray.from_arrays([pa.array(gone, pa.bool_()), pa.array(out, pa.string())], ["gone", "text"])
+
+    def judge(texts: list[bytes]) -> tuple[list, list, list]:
+        """Words, spans, and those of the spans' items that count for the coverage."""
+        lists = [words_of(t) for t in texts]
+        spans = [s for s, _ in spans_of(uris, lists)]
+        hit = [k for k, s in enumerate(spans) if s]
+        judged = dict(zip(hit, spans_of(uris, [lists[k] for k in hit], least))) if least > 1 else {}
+        return lists, spans, [judged[k][0] if k in judged else s for k, s in enumerate(spans)]
+
+    cut = cut.asNondeterministic()  # keeps the filter from asking for the same cut a second time
+    row, done = F.struct(*[own(docs, c).alias(c) for c in docs.columns]), F.col("cut")
+    judged = docs.select(row.alias("row"), cut(own(docs, "text")).alias("cut")).where(~done["gone"])
+    text = F.coalesce(done["text"], F.col("row")["text"])
+    changes = {"text": text, "n_chars": F.when(done["text"].isNotNull(), F.length(done["text"]).cast("long")).otherwise(F.col("row")["n_chars"])} if "n_chars" in docs.columns else {"text": text}
+    return judged.select(*[changes.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -97,6 +97,20 @@ def test_awkward_rows(spark):
     assert several.count() == len(messy())
 
 
+def test_a_long_benchmark_takes_one_scan(spark, tmp_path):
+    """A million words of items in many automata: documents are read once."""
+    rng = random.Random(3)
+    items = [(i, " ".join(f"v{rng.randrange(50_000)}" for _ in range(500))) for i in range(2000)]
+    hit = " ".join(items[7][1].split()[100:112])
+    docs = [(1, f"none here {hit} end", "en", "s", 1), (2, "nothing", "en", "s", 1), (3, " ".join([*items[1999][1].split()[:10], "x", *items[0][1].split()[-10:]]), "en", "s", 1)]
+    frame(spark, docs).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    found = dc.hits(read, bench(spark, items), block=40_000)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    got = {r.id: (r.n_words, [(s.begin, s.end) for s in r.spans], r["items"]) for r in found.collect()}
+    assert got == {1: (15, [(2, 14)], ["7"]), 2: (1, [], []), 3: (21, [(0, 10), (11, 21)], ["0", "1999"])}
+
+
 def test_blocks_judge_rows_alone(spark):
     _, items = fixture()
     hit, clean = items[0][1], " ".join(f"none{i}" for i in range(len(words(items[0][1]))))
