@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, own
 
 #: Weight schedules at equally spaced training times from 0 to 1, linear in between, taken in turn by the sources'
 #: weight class: sources of weight 1 fade out, those of weight 2 stay level, those of weight 3 grow.
@@ -107,8 +107,8 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns id, `size` (words), `source_size`, `target`, `taken`, `copies` and `positions` (ascending, in words of the
     whole mix), range-sorted by first position, rows not taken last. A null source is a source of its own, after all
     others. Rows without words are taken 0 times. Repeated rows count each. Reruns agree: the order depends on id and
-    size alone, and rows equal in both are interchangeable. An empty table gives no rows; other columns are ignored.
-    Prefix sums run in 16^digits parts per source, so no source meets in one task.
+    size alone, and rows equal in both are interchangeable. An empty table gives no rows; other columns are ignored;
+    long texts are counted whole. Prefix sums run in 16^digits parts per source, so no source meets in one task.
     """
     rows = materialise(prepared(docs, id_col, text_col, source_col, digits, seed), "mix-rows")
     parts = materialise(rows.groupBy("missing", "source", "bucket").agg(F.sum("size").alias("part_size")), "mix-parts")
@@ -121,9 +121,10 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: tuple[tuple[float, ...], ...] = CURRICULUM, digits: int = 3, seed: int = 17) -> DataFrame:
     """The documents in training order, each as often as the mix takes it, with their own columns.
 
-    The same mix as `curriculum_mix`, whose cases apply; here the documents travel with their places.
+    The same mix as `curriculum_mix`, whose cases apply; here the documents travel with their places. The columns are
+    those of `docs`, whatever their names; long texts are counted whole.
     """
     parts = materialise(prepared(docs, id_col, text_col, source_col, digits, seed).groupBy("missing", "source", "bucket").agg(F.sum("size").alias("part_size")), "mix-parts")
-    rows = prepared(docs, id_col, text_col, source_col, digits, seed, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = prepared(docs, id_col, text_col, source_col, digits, seed, F.struct(*[own(docs, c).alias(c) for c in docs.columns]).alias("row"))
     copies = placed(rows, parts, curriculum).select("row", "doc_id", F.explode("positions").alias("position"))
     return copies.orderBy("position", "doc_id").select("row.*")

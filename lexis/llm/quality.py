@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, m
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), label.slice(i, j - i).cast(pa.float64()), *entries], ["doc_id", "label", "index", "value"])
 
     sample = training_sample(docs, labels, "quality", modulus, held, most, ["text", "n_chars"])
-    got = sample.mapInArrow(sparse, "doc_id long, label double, index array<int>, value array<float>").toArrow().sort_by("doc_id")
+    got = sample.mapInArrow(sparse, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label double, index array<int>, value array<float>").toArrow().sort_by("doc_id")
     index, value = got["index"].combine_chunks(), got["value"].combine_chunks()
     sizes = np.diff(index.offsets.to_numpy()) if len(index) else np.zeros(0, np.int64)
     return fit(Rows(np.cumsum(sizes), index.values.to_numpy(), value.values.to_numpy()), got["label"].to_numpy())
@@ -176,7 +176,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     Inputs of a score are hashed words, structure statistics and the recorded length `n_chars`; never labels, lang,
     source or doc_id. Training takes at most `most` labelled rows whose crc32(doc_id) mod 5 is not 0 (repeated labels
     of a document: the smallest). Null and empty texts, and null n_chars, are scored like others. A null doc_id is
-    scored and not held out. Repeated rows are scored each; other columns are ignored; no labels: all scores 0.5.
+    scored and not held out. Repeated rows are scored each, long texts whole; empty tables give no rows; other columns
+    are ignored; no labels: all scores 0.5.
     """
     score = scorer(docs, train(docs, labels, most=most))
     held = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -185,7 +186,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 6000) -> DataFrame:
-    """The documents that the machine accepts, with their own columns."""
+    """The documents that the machine accepts, with their own columns.
+
+    Scores are those of `quality_scores`, whose cases apply: null, empty and long texts and rows with a null doc_id are
+    judged like others, repeated rows each alike; without labels all stay. Empty tables give no rows.
+    """
     score = scorer(docs, train(docs, labels, most=most))
     keep: Column = score(F.col("text"), F.col("n_chars").cast("long")) >= threshold
     return docs.where(keep)

@@ -119,7 +119,7 @@ def minimax_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns id, `size` (UTF-8 bytes + 1), `text_crc32`, `law`, `shard`, `slot` (gapless from 0 in each shard),
     `grown_shard` (null under this law) and `capacity` (the minimax bound). A null text has size 1 and crc32 0, and
-    all null texts are one group apart from the empty ones. Repeated rows each get a slot. An empty table gives no
+    all null texts are one group apart from the empty ones; long texts are read whole. Repeated rows each get a slot. An empty table gives no
     rows; other columns of `docs` are ignored, whatever their names.
     """
     text = F.col(text_col)

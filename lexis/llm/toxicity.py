@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, m
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("label").slice(i, j - i).cast(pa.float64()), lists], ["doc_id", "label", "index"])
 
     sample = training_sample(docs, labels, "toxic", modulus, held, most, ["text"])
-    got = sample.mapInArrow(sparse, "doc_id long, label double, index array<int>").toArrow().sort_by("doc_id")
+    got = sample.mapInArrow(sparse, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label double, index array<int>").toArrow().sort_by("doc_id")
     lists = got["index"].combine_chunks()
     rows = np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1]) if len(lists) else []
     return ftrl(rows, got["label"].to_numpy())
@@ -113,8 +113,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
     Inputs of a score are the hashed n-grams and skip-grams of the text alone. Training takes at most `most` labelled
     rows whose crc32(doc_id) mod 4 is not 2 (repeated labels of a document: the smallest). Null and empty texts score
-    the bias. A null doc_id is scored and not held out. Repeated rows are scored each; other columns are ignored;
-    without labels all scores are 0.5. The broadcast weights are at most DIMENSIONS floats, few after L1.
+    the bias, long ones are read whole. A null doc_id is scored and not held out. Repeated rows are scored each; empty
+    tables give no rows; other columns are ignored; without labels all scores are 0.5. The broadcast weights are at most DIMENSIONS floats, few after L1.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most=most))
 

@@ -74,6 +74,39 @@ def test_lang_and_source_have_no_influence(spark):
         assert a == b
 
 
+def test_ftrl_against_plain_updates():
+    """The published per-coordinate update, coordinate by coordinate; and scores feature by feature."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{rng.integers(60)}" for _ in range(30)) + (" vile" if i % 3 == 0 else "") for i in range(40)]
+    rows = [np.unique(toxicity.grams([t.encode()])[1]) for t in texts]
+    labels_ = np.array([float(i % 3 == 0) for i in range(40)])
+    alpha, beta, l1, l2, epochs = 0.7, 1.0, 0.3, 0.5, 2
+    got = toxicity.ftrl(rows, labels_, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    z, n, order = {}, {}, np.random.default_rng(7)
+    share = labels_.mean()
+    bias, g_bias = float(np.log(share / (1 - share))), 1.0
+
+    def weight(i):
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - np.sign(v) * l1) / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for d in order.permutation(40):
+            margin = bias + sum(weight(i) for i in rows[d].tolist())
+            error = 1 / (1 + np.exp(-margin)) - labels_[d]
+            for i in rows[d].tolist():
+                w, sigma = weight(i), ((n.get(i, 0.0) + error**2) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + error - sigma * w, n.get(i, 0.0) + error**2
+            g_bias += error**2
+            bias -= 0.05 * error / g_bias**0.5
+    wanted = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(got.index.tolist(), got.weight.tolist())).keys() == wanted.keys() and got.bias == pytest.approx(bias)
+    assert all(w == pytest.approx(wanted[i], rel=1e-4, abs=1e-6) for i, w in zip(got.index.tolist(), got.weight.tolist()))
+    scored = toxicity.scores([t.encode() for t in [*texts, ""]], got.bias, got.dense())
+    margins = [got.bias + sum(wanted.get(i, 0.0) for i in r.tolist()) for r in rows] + [got.bias]
+    assert scored == pytest.approx(1 / (1 + np.exp(-np.array(margins))), rel=1e-4)
+
+
 def test_ftrl_is_sparse():
     rng = np.random.default_rng(1)
     rows = [np.unique(np.concatenate([rng.integers(0, 5000, 40), [7] if i % 3 == 0 else []]).astype(np.int64)) for i in range(600)]
