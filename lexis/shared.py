@@ -51,4 +51,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._lexis_path = path
+    return stored
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised DataFrame that nothing reads any more; others are left alone."""
+    if path := getattr(df, "_lexis_path", None):
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
