@@ -283,6 +283,16 @@ def trans_fts_lang(t: Tables) -> DataFrame:
     return translation.matching_rows(translation.asked(asked(t.nodo, "un")), t.traduko, t.indexed().trd_posts).where("lng = 'fr'").selectExpr(*TRD.split(", "))
 
 
+QUOTED_SQL = "SELECT {0} qid, mrk, lng, trd, row_number() OVER (ORDER BY rid)::INT ord FROM tt WHERE {1} QUALIFY ord <= 100"
+QUOTED_BATCH = ('"the and" attion', 'the "and', 'the""and')
+
+
+@query(sql("nodo traduko", QUOTED_SQL.format(0, "contains(line, ' the and ') AND contains(line, ' attion ')") + " UNION ALL " + QUOTED_SQL.format(2, "contains(line, ' the and ')"), tt=f"SELECT *, concat(' ', array_to_string({TOKENS % 'trd'}, ' '), ' ') line FROM traduko"))
+def trans_fts_quoted(t: Tables) -> DataFrame:
+    """Parts between marks must all stand; a stray mark finds nothing; doubled marks separate."""
+    return translation.matching_rows(translation.asked(asked(t.nodo, *QUOTED_BATCH)), t.traduko, t.trd_posts).selectExpr(*TRD.split(", "))
+
+
 TRD_NODES = dict(
     r="SELECT *, row_number() OVER (ORDER BY rid) ord FROM traduko WHERE trd = 'in' AND lng = 'en' QUALIFY ord <= 50",
     k="SELECT mrk, min(ord) ord FROM r GROUP BY mrk QUALIFY row_number() OVER (ORDER BY min(ord)) <= 15",
