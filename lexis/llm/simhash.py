@@ -3,11 +3,11 @@
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import bytes_of, materialise
+from .common import bytes_of, materialise, own
 from .components import components
 
 #: A bucket with more members than this is linked through shared neighbours instead of pair by pair.
@@ -113,19 +113,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The documents without near-duplicates: of each component one row stays, that with the smallest doc_id (null is last).
 
-    Rows are told apart by a key of their own, so copies of a row go too, a null id is judged like any other, and rows that
-    share an id are judged each by its own text. Ties are broken by a hash of the row. Texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more (`similar`).
+    Texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more (`similar`). Rows
+    are told apart by 96 bits of hashes of all their columns: a null id is judged like any other, rows that share an id
+    each by its own text, and of equal rows one stays; between rows of one id and component a hash decides. Null, empty
+    and blank texts make up one component. Long texts are compared whole. Empty tables give no rows; the columns are
+    those of `docs`, whatever their names.
+
+    No document is copied or exchanged before the last step, where rows meet the keys of those that stay. Keys of which
+    a thousandth of all rows are equal copies, at most 1000, are broadcast there, and their copies collapse in each
+    task before they meet.
     """
-    from .similar import similar_roots, words_digest
-
-    rows = materialise(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "simhash-documents")
-    tie = F.xxhash64(*[F.col("doc")[c] for c in docs.columns])
-    marked = rows.select("row", F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("doc_id"), tie.alias("tie"), words_digest(F.col("doc.text")).alias("digest"))
-    marked = materialise(marked, "simhash-digests")
-    classes = materialise(marked.groupBy("digest").agg(F.min("row").alias("class")), "simhash-classes")
-    texts = materialise(rows.join(classes, F.col("row") == F.col("class"), "left_semi").select(F.col("row").alias("id"), F.col("doc.text").alias("text")), "simhash-texts")
-    roots = similar_roots(texts, bucket)
-    placed = classes.join(roots, classes["class"] == roots["node"], "left").select("digest", F.coalesce("root", "class").alias("root"))
-    kept = marked.join(placed, "digest").groupBy("root").agg(F.min(F.struct("unnamed", "doc_id", "tie", "row")).alias("first"))
-    kept = materialise(kept.select(F.col("first.row").alias("row")), "simhash-kept")
-    return rows.join(kept, "row", "left_semi").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+    from .similar import similar_roots, sketch
+
+    whole = docs.select(F.struct(*[own(docs, c) for c in docs.columns]).alias("doc"))
+    rows = whole.select("doc", F.xxhash64(hashable(whole)).alias("k1"), F.hash(hashable(whole)).alias("k2"))
+    marked = rows.select("k1", "k2", F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("doc_id"), sketch(F.col("doc.text")).alias("s"))
+    marked = materialise(marked.select("k1", "k2", "unnamed", "doc_id", "s.id", "s.fp"), "simhash-rows")
+    keys = materialise(marked.groupBy(*marked.columns).agg(F.count("*").alias("n")), "simhash-keys")
+    roots = similar_roots(rows.select(F.col("doc.text").alias("text")), keys.select("id", "fp").distinct(), bucket)
+    placed = keys.join(roots, keys["id"] == roots["node"], "left").select("k1", "k2", "unnamed", "doc_id", "n", F.coalesce("root", "id").alias("root"))
+    first = F.min(F.struct("unnamed", "doc_id", "k1", "k2", "n")).alias("first")
+    kept = materialise(placed.groupBy("root").agg(first).select("first.k1", "first.k2", "first.n"), "simhash-kept")
+    most = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / 1000
+    hot = keys.where((F.col("n") > 1) & (F.col("n") >= most)).select("k1", "k2")
+    copied = rows.join(F.broadcast(kept.join(F.broadcast(hot), ["k1", "k2"], "left_semi")), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("doc").alias("doc")).select("doc")
+    met = rows.join(F.broadcast(hot), ["k1", "k2"], "left_anti").join(kept, ["k1", "k2"])
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("n"))  # sorted by the join already
+    single = met.withColumn("nth", nth).where("nth = 1").select("doc")
+    return single.unionByName(copied).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+
+
+def hashable(rows: DataFrame) -> Column:
+    """`doc` in a form that can be hashed: as text if it holds maps."""
+    return F.to_json("doc") if "map<" in rows.schema["doc"].dataType.simpleString() else F.col("doc")

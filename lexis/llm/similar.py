@@ -1,22 +1,23 @@
-"""Pairs of texts with similar sets of word shingles, complete, for the near-dedup stage of the corpus pipeline."""
+"""Pairs of texts with similar sets of word shingles, for the near-dedup stage of the corpus pipeline."""
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, LongType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from .common import WordHashes, bytes_of, least_hashed, materialise
+from .common import Once, WordHashes, bitmap, bytes_of, inside, materialise
 from .components import components
 from .simhash import BUCKET, fingerprint, near_links
 
 #: Words in a shingle, and the least Jaccard similarity of near-duplicates as a fraction.
 WIDTH, OVER, UNDER = 5, 4, 5
-#: Documents whose shingles are counted to tell common ones, and how many of these are remembered. Both change only the order of shingles, not the pairs.
-COUNTED, COMMON = 20_000, 50_000
+#: Bands of a MinHash signature and values in a band. A pair of similarity s shares a band but for a chance of
+#: (1 - s^ROWS)^BANDS: 5e-8 at 0.8, less above.
+BANDS, ROWS = 32, 4
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_SCALE, _SHIFT = (np.random.default_rng(k).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (51, 52))
 
 
 def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -36,77 +37,70 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
-@F.arrow_udf(BinaryType())
-def words_digest(text: pa.Array) -> pa.Array:
-    """128 bits that texts of equal lower-cased words share."""
-    return pa.array([xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in bytes_of(text)], pa.binary())
+def digest(text: bytes) -> bytes:
+    """128 bits for a text in lower case; all blank ones share theirs."""
+    low = text.lower()
+    return xxhash.xxh3_128_digest(low) if low and not low.isspace() else bytes(16)
 
 
-@F.arrow_udf(LongType())
-def wide_fingerprint(text: pa.Array) -> pa.Array:
-    return pa.array([fingerprint(t, WIDTH) for t in bytes_of(text)], pa.int64())
+@F.arrow_udf(StructType([StructField("id", BinaryType()), StructField("fp", LongType())]))
+def sketch(text: pa.Array) -> pa.Array:
+    """The digest of a text and its five-word SimHash."""
+    texts = bytes_of(text)
+    ids, prints = [digest(t) for t in texts], [fingerprint(t, WIDTH) for t in texts]
+    return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(prints, pa.int64())], ["id", "fp"])
 
 
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a bounded sample of `texts` (`id`, `text`) holds three times or more, sorted, and how often."""
+def tag(key: bytes) -> int:
+    """64 bits of a digest, as xxhash64() makes them of the column."""
+    return xxhash.xxh64_intdigest(key, 42)
 
-    @F.arrow_udf("array<long>")
-    def all_of(text: pa.Array) -> pa.Array:
-        hashes = WordHashes()
-        return pa.array([shingles(t, hashes).view(np.int64) for t in bytes_of(text)], pa.list_(pa.int64()))
 
-    chosen = least_hashed(texts.select("id"), COUNTED, "id")
-    counts = texts.join(chosen, "id", "left_semi").select(F.explode(all_of("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    rows = counts.where("n >= 3").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def signature(own: np.ndarray, step: int = 128) -> np.ndarray:
+    """For each of BANDS * ROWS hash functions the least value of a set."""
+    least, held = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64), np.empty((step, BANDS * ROWS), np.uint64)
+    for k in range(0, len(own), step):
+        some = own[k : k + step, None]
+        values = np.multiply(some, _SCALE, out=held[: len(some)])
+        values += _SHIFT
+        np.minimum(least, values.min(axis=0), out=least)
+    return least
 
 
-def together(held: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "id", "size", "at"])
+def bands(texts: DataFrame) -> DataFrame:
+    """`h` (64 bits of a band's number and values) and `tag` (64 bits of the digest) for each band of every text; texts
+    without words have none."""
 
+    def scan(batches):
+        hashes, met = WordHashes(), Once()
+        for batch in batches:
+            keys, tags = [], []
+            for text in bytes_of(batch.column(0)):
+                key = digest(text)
+                if met.new(key) and len(own := shingles(text, hashes)):
+                    line = signature(own).reshape(BANDS, ROWS)
+                    keys += [xxhash.xxh3_64_intdigest(values.tobytes(), seed=i) for i, values in enumerate(line)]
+                    tags += [tag(key)] * BANDS
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in (keys, tags)], ["h", "tag"])
 
-def prefixes(texts: DataFrame, common: Broadcast, among: Broadcast | None = None) -> DataFrame:
-    """The rarest shingles of every text: `h`, `id`, `size` (of the set), `at` (place in the order of rarity).
+    return texts.select("text").mapInArrow(scan, "h long, tag long")
 
-    Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles of each, whatever the order, as long as it is
-    the same for all: so pairs meet without loss. Common shingles stand last, where few prefixes reach. Shingles
-    outside the bitmap `among` are left out.
-    """
+
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """`id`, `text` of the texts in the pairs (and the few that share their bits in a bitmap); only these are exchanged."""
+    ids = pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("h"))
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(ids))
 
     def scan(batches):
-        known, counts = common.value
-        hashes, held = WordHashes(), []
+        met = Once()
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
-                own = shingles(text, hashes)
-                n = len(own)
-                if not n:
-                    continue
-                at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-                often = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(n, np.int64)
-                first = own[np.lexsort((own, often))[: n - -(-OVER * n // UNDER) + 1]]
-                places = np.arange(len(first), dtype=np.int32)
-                if among is not None:
-                    places = places[(among.value[first >> np.uint64(44)] >> (first >> np.uint64(38) & np.uint64(63)) & np.uint64(1)).astype(bool)]
-                held.append((first[places].view(np.int64), np.full(len(places), key, np.int64), np.full(len(places), n, np.int32), places))
-                if len(held) == 500:
-                    yield together(held)
-                    held = []
-        if held:
-            yield together(held)
-
-    return texts.select("id", "text").mapInArrow(scan, "h long, id long, size int, at int")
-
-
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """2^26 bits, in words of 64, with those of the leading bits of every `h` set: bounded, and it forgets none."""
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 38) & 63 as int))")
-    found = hashes.select(F.shiftrightunsigned("h", 44).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << 20, np.uint64)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return out
+            column = batch.column(0)
+            keys = [digest(t) for t in bytes_of(column)]
+            held = np.flatnonzero(inside(wanted.value, np.fromiter(map(tag, keys), np.uint64, len(keys)))).tolist()
+            taken = [i for i in held if met.new(keys[i])]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in taken], pa.binary()), column.take(pa.array(taken, pa.int64()))], ["id", "text"])
+
+    return materialise(texts.select("text").mapInArrow(scan, "id binary, text string").groupBy("id").agg(F.first("text").alias("text")), "similar-texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -117,42 +111,46 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         hashes = WordHashes()
         return pa.array([alike(shingles(x, hashes), shingles(y, hashes)) for x, y in zip(bytes_of(one), bytes_of(other))], pa.bool_())
 
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "similar-ids")
-    texts = materialise(texts.join(ids, "id", "left_semi"), "similar-texts")  # only these are exchanged
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("one")), texts.select(F.col("id").alias("b"), F.col("text").alias("other"))
-    return pairs.join(left, "a").join(right, "b").where(near("one", "other")).select("a", "b")
-
-
-def could(one: str, other: str) -> Column:
-    """Whether the rest of the smaller set, from the shared shingle on, can hold the overlap that the two sizes need."""
-    rest = F.least(F.col(f"size_{one}") - F.col(f"at_{one}"), F.col(f"size_{other}") - F.col(f"at_{other}"))
-    return rest * (OVER + UNDER) >= (F.col(f"size_{one}") + F.col(f"size_{other}")) * OVER
+    chosen = texts_of(pairs, texts)
+    left, right = chosen.select(F.col("id").alias("a"), F.col("text").alias("one")), chosen.select(F.col("id").alias("b"), F.col("text").alias("other"))
+    return pairs.join(right, "b").join(left, "a").where(near("one", "other")).select("a", "b")
 
 
-def similar_roots(texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """`node`, `root` for every text (`id` long, `text`) that has another one with a Jaccard similarity of OVER / UNDER or more.
+def similar_roots(texts: DataFrame, prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """`node`, `root` for every text that has another one with a Jaccard similarity of OVER / UNDER or more.
 
-    Verified pairs link. First come those that SimHash finds within two bits and those of every member of a prefix
-    bucket with its smallest one; both are linear in a cluster of near copies. Then all pairs of a bucket that these
-    links left apart are compared, if their sizes and places allow the similarity, so no pair is lost.
+    `texts` has `text`, `prints` the distinct `id` (digest) and `fp` (SimHash) of them. Texts meet where SimHash finds
+    them within two bits and where they share a band of their MinHash signatures, and are linked if the whole sets
+    of shingles, compared exactly, are similar enough. In a bucket, three steps link them: each text with the one smallest
+    text that it meets anywhere; then, of each component in a bucket, the smallest text with the bucket's smallest;
+    then all texts of a bucket that are still apart. The first two are linear in a cluster of near copies and leave to
+    the third what meets in a band without being similar.
     """
-    prints = materialise(texts.select("id", wide_fingerprint("text").alias("fp")), "similar-prints")
     firsts = materialise(prints.groupBy("fp").agg(F.min("id").alias("id")), "similar-firsts")
     equal = prints.join(firsts.withColumnRenamed("id", "a"), "fp").where("a < id").select("a", F.col("id").alias("b"))
-    context = texts.sparkSession.sparkContext
-    common = context.broadcast(common_shingles(texts))
-    # Most prefix shingles are one text's own. Making the others anew, by a bitmap, is less than writing and exchanging all.
-    held = materialise(prefixes(texts, common).groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "size", "at")).alias("s")).where("n > 1").select("h", *[F.col("s")[c].alias(f"{c}_a") for c in ("id", "size", "at")]), "similar-buckets")
-    met = materialise(prefixes(texts, common, context.broadcast(bitmap(held))).join(held, "h"), "similar-members")
-    whole = met.withColumnsRenamed({c: f"{c}_b" for c in ("id", "size", "at")})
-    stars = whole.where("id_a < id_b").where(could("a", "b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    tried = materialise(near_links(firsts, bucket).unionByName(equal).unionByName(stars).distinct(), "similar-tried")
+    keyed = materialise(bands(texts), "similar-bands")
+    shared = materialise(keyed.groupBy("h").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high").select("h"), "similar-shared")
+    names = prints.select(F.xxhash64("id").alias("tag"), "id")
+    met = materialise(keyed.join(shared, "h").distinct().join(names, "tag").select("h", "id"), "similar-members")
+    centres = materialise(met.groupBy("h").agg(F.min("id").alias("a")), "similar-centres")
+    nearest = met.join(centres, "h").where("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    tried = materialise(near_links(firsts, bucket).unionByName(equal).unionByName(nearest).distinct(), "similar-tried")
     links = materialise(verified(tried, texts), "similar-links")
-    roots = components(links).withColumnRenamed("node", "id")
-    placed = materialise(met.drop("id_a", "size_a", "at_a").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "similar-placed")
-    apart = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    open_ = materialise(placed.join(apart, "h"), "similar-open")
-    left, right = open_.toDF(*["h" if c == "h" else f"{c}_a" for c in open_.columns]), open_.toDF(*["h" if c == "h" else f"{c}_b" for c in open_.columns])
-    pairs = left.join(right, "h").where("id_a < id_b").where("root_a != root_b").where(could("a", "b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    more = materialise(verified(materialise(pairs, "similar-pairs"), texts), "similar-more")
-    return components(links.unionByName(more))
+    open_ = apart(met, components(links))
+    heads = materialise(open_.groupBy("h", "root").agg(F.min("id").alias("id")), "similar-heads")
+    least = materialise(heads.groupBy("h").agg(F.min("id").alias("a")), "similar-least")
+    second = heads.join(least, "h").where("a < id").select("a", F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    second = materialise(second, "similar-second")
+    links = materialise(links.unionByName(verified(second, texts)), "similar-more")
+    left, right = (apart(open_.drop("root"), components(links)).toDF("h", x, f"root_{x}") for x in "ab")
+    pairs = left.join(right, "h").where("a < b and root_a != root_b").select("a", "b").distinct()
+    third = materialise(pairs.join(tried.unionByName(second), ["a", "b"], "left_anti"), "similar-third")
+    return components(links.unionByName(verified(third, texts)))
+
+
+def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """`h`, `id`, `root` of the buckets whose texts are not all in one component yet."""
+    placed = met.join(roots.withColumnRenamed("node", "id"), "id", "left").select("h", "id", F.coalesce("root", "id").alias("root"))
+    placed = materialise(placed, "similar-placed")
+    several = materialise(placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h"), "similar-several")
+    return materialise(placed.join(several, "h"), "similar-apart")

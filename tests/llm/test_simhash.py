@@ -1,11 +1,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexis.llm import simhash
+from lexis.llm import similar, simhash
 from lexis.llm.components import components
 
 from .data import documents, frame, messy
@@ -134,6 +135,43 @@ def jaccard_roots(texts):
     return root
 
 
+def test_similar_sets_share_a_band():
+    """Sets of every size just at the similarity of 0.8 meet; those at 0.1 seldom do."""
+    rng = np.random.default_rng(8)
+
+    def shares(n, common):
+        base = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
+        lines = [similar.signature(x).reshape(similar.BANDS, similar.ROWS) for x in (base[:n], base[n - common : 2 * n - common])]
+        return bool((lines[0] == lines[1]).all(axis=1).any())
+
+    assert all(shares(n, -(-8 * n // 9)) for n in (9, 45, 450, 1800) for _ in range(60))
+    assert sum(shares(450, 82) for _ in range(200)) < 10
+
+
+def test_a_cluster_is_linked_by_few_comparisons(spark):
+    """Members of a large group of near copies are not compared pair by pair."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    texts = []
+    for i in range(150):
+        own = list(base)
+        own[rng.randrange(200)] = f"x{i}"
+        texts.append(" ".join(own))
+    compared = []
+    verified = similar.verified
+
+    def counted(pairs, texts):
+        compared.append(pairs.count())
+        return verified(pairs, texts)
+
+    similar.verified = counted
+    try:
+        kept = simhash.one_of_each(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()
+    finally:
+        similar.verified = verified
+    assert [r.doc_id for r in kept] == [0] and sum(compared) < 10 * len(texts)
+
+
 def test_stage_links_what_jaccard_does(spark):
     texts = near_copies(4)
     docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
@@ -154,3 +192,4 @@ def test_one_row_of_each_stays(spark):
     assert len(got) == len(best)
     roots = {(r[0], r[1]): root for r, root in zip(rows, wanted)}
     assert {roots[x]: (x[0] is None, x[0] or 0) for x in got} == best
+
