@@ -16,6 +16,8 @@ WIDTH, OVER, UNDER = 5, 4, 5
 #: Bands of a MinHash signature and values in a band. A pair of similarity s shares a band but for a chance of
 #: (1 - s^ROWS)^BANDS: 5e-8 at 0.8, less above.
 BANDS, ROWS = 32, 4
+#: Longs in the parity sketch of a set.
+LONGS = 16
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SCALE, _SHIFT = (np.random.default_rng(k).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (51, 52))
 
@@ -103,6 +105,36 @@ def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(texts.select("text").mapInArrow(scan, "id binary, text string").groupBy("id").agg(F.first("text").alias("text")), "similar-texts")
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set: bit b says whether an odd number of its members falls into slot b.
+
+    The sketches of two sets differ in at most as many bits as the sets have members apart.
+    """
+    slots = (own * _FACTOR >> np.uint64(64 - (64 * LONGS - 1).bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=64 * LONGS).astype(np.uint8) & 1).view(np.int64)
+
+
+def sketches_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """`id`, `size` of the set of shingles and its parity sketch `s0`, `s1`, ... for the texts with these ids (and the few that
+    share their bits in a bitmap)."""
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("h"))))
+    names = ["size", *[f"s{k}" for k in range(LONGS)]]
+
+    def scan(batches):
+        hashes, met = WordHashes(), Once()
+        for batch in batches:
+            keys, rows = [], [np.zeros((0, 1 + LONGS), np.int64)]
+            for text in bytes_of(batch.column(0)):
+                key = digest(text)
+                if inside(wanted.value, np.array([tag(key)], np.uint64))[0] and met.new(key):
+                    own = shingles(text, hashes)
+                    keys.append(key)
+                    rows.append(np.concatenate([[len(own)], parities(own)])[None])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *map(pa.array, np.concatenate(rows).T)], ["id", *names])
+
+    return texts.select("text").mapInArrow(scan, "id binary, " + ", ".join(f"{n} long" for n in names)).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (`a`, `b`) whose texts are alike."""
 
@@ -123,8 +155,9 @@ def similar_roots(texts: DataFrame, prints: DataFrame, bucket: int = BUCKET) ->
     them within two bits and where they share a band of their MinHash signatures, and are linked if the whole sets
     of shingles, compared exactly, are similar enough. In a bucket, three steps link them: each text with the one smallest
     text that it meets anywhere; then, of each component in a bucket, the smallest text with the bucket's smallest;
-    then all texts of a bucket that are still apart. The first two are linear in a cluster of near copies and leave to
-    the third what meets in a band without being similar.
+    then all texts of a bucket that are still apart. The first two are linear in a cluster of near copies. The third
+    leaves out the pairs that parity sketches tell apart: sets of a similarity of OVER / UNDER differ in a ninth of their two
+    sizes at most, and so their sketches in no more bits. No similar pair is lost by that.
     """
     firsts = materialise(prints.groupBy("fp").agg(F.min("id").alias("id")), "similar-firsts")
     equal = prints.join(firsts.withColumnRenamed("id", "a"), "fp").where("a < id").select("a", F.col("id").alias("b"))
@@ -142,8 +175,13 @@ def similar_roots(texts: DataFrame, prints: DataFrame, bucket: int = BUCKET) ->
     second = heads.join(least, "h").where("a < id").select("a", F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     second = materialise(second, "similar-second")
     links = materialise(links.unionByName(verified(second, texts)), "similar-more")
-    left, right = (apart(open_.drop("root"), components(links)).toDF("h", x, f"root_{x}") for x in "ab")
-    pairs = left.join(right, "h").where("a < b and root_a != root_b").select("a", "b").distinct()
+    rest = apart(open_.drop("root"), components(links))
+    rest = materialise(rest.join(materialise(sketches_of(rest.select("id").distinct(), texts), "similar-sketches"), "id"), "similar-rest")
+    left, right = (rest.toDF(*[c if c == "h" else f"{c}_{x}" for c in rest.columns]) for x in "ab")
+    differ = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(LONGS)), F.lit(0))
+    near = differ * (OVER + UNDER) <= (F.col("size_a") + F.col("size_b")) * (UNDER - OVER)
+    pairs = left.join(right, (left["h"] == right["h"]) & (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & near)
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     third = materialise(pairs.join(tried.unionByName(second), ["a", "b"], "left_anti"), "similar-third")
     return components(links.unionByName(verified(third, texts)))
 

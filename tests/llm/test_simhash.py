@@ -193,3 +193,13 @@ def test_one_row_of_each_stays(spark):
     roots = {(r[0], r[1]): root for r, root in zip(rows, wanted)}
     assert {roots[x]: (x[0] is None, x[0] or 0) for x in got} == best
 
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        base = np.unique(rng.integers(0, 1 << 63, 600, dtype=np.uint64))
+        a, b = base[: rng.integers(1, 400)], base[rng.integers(0, 300) :]
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(similar.parities(a).view(np.uint64).tolist(), similar.parities(b).view(np.uint64).tolist()))
+        assert bits <= len(np.setxor1d(a, b)) and not (similar.parities(a) ^ similar.parities(a)).any()
+    one = np.array([5], np.uint64)
+    assert sum(int(x).bit_count() for x in similar.parities(one).view(np.uint64).tolist()) == 1
