@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, repeats, rules, sharding, simhash, toxicity, urls, warc
+from . import decontamination, importance, mixing, phrases, quality, repeats, rules, sharding, simhash, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("position", F.round(F.get("positions", F.lit(0))).cast("long")).drop("positions")
 
 
-QUERIES = {f.__name__: f for f in (op1_rules, op2_warc, op3_sharding, op4_quality, op5_simhash, op6_decontamination, op7_toxicity, op8_repeats, op9_urls, op10_mixing)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_rules, op2_warc, op3_sharding, op4_quality, op5_simhash, op6_decontamination, op7_toxicity, op8_repeats, op9_urls, op10_mixing, op11_importance, op13_phrases)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BENCHMARK_WORDS = rf"regexp_extract_all({FOLDED}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
@@ -117,4 +125,34 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target, (size * copies)::BIGINT taken, copies,
           CASE WHEN copies > 0 THEN round((CASE rk % 3 WHEN 0 THEN {_time_sql(mixing.CURRICULUM[0])} WHEN 1 THEN {_time_sql(mixing.CURRICULUM[1])} ELSE {_time_sql(mixing.CURRICULUM[2])} END)
             * (SELECT sum(size) FROM d))::BIGINT END AS position FROM c""",
+    "op11_importance": f"""
+        WITH tab AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) tab),
+        d AS (SELECT doc_id, {BENCHMARK_WORDS} w FROM documents),
+        feats AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) g FROM d),
+        wanted AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) g FROM (SELECT {BENCHMARK_WORDS} w FROM benchmark)),
+        bytes AS (SELECT g, list_transform(range(strlen(g)), lambda i: ((strpos('123456789ABCDEF', hex(g)[2 * i + 1]) * 16) + strpos('123456789ABCDEF', hex(g)[2 * i + 2]))::BIGINT) b FROM (SELECT g FROM feats UNION SELECT g FROM wanted)),
+        buckets AS (SELECT g, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1])), 4294967295) % 10000 k FROM bytes, tab),
+        s AS (SELECT k, count(*) n FROM feats JOIN buckets USING (g) GROUP BY k),
+        t AS (SELECT k, count(*) n FROM wanted JOIN buckets USING (g) GROUP BY k),
+        gain AS (SELECT k, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE) / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT gain FROM s LEFT JOIN t USING (k)),
+        weights AS (SELECT doc_id, count(*) n, sum(gain)::BIGINT total FROM feats JOIN buckets USING (g) JOIN gain USING (k) GROUP BY doc_id),
+        scored AS (SELECT d.doc_id, len(w) n_words, coalesce(n, 0)::BIGINT n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT weight,
+          floor(-1000 * ln(-ln((('0x' || sha256('7:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT noise FROM d LEFT JOIN weights USING (doc_id)),
+        able AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) nth, 25 * count(*) OVER () // 100 quota FROM scored WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN nth <= quota THEN nth END::BIGINT AS rank, n_words::BIGINT n_words FROM scored LEFT JOIN able USING (doc_id)""",
+    "op13_phrases": rf"""
+        WITH pc AS (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array({FOLDED}, '[.,;:!?\x0A-\x0D]')) piece FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') w FROM pc),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) i FROM p, (SELECT unnest(range(1, 6)) k) WHERE len(w) >= k)),
+        f AS (SELECT lang, k, phrase, count(*) a FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(a)::BIGINT n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') w FROM f WHERE a >= 100 AND k > 1),
+        cuts AS (SELECT c.*, j, array_to_string(w[1:j], ' ') head, array_to_string(w[j + 1:], ' ') tail FROM (SELECT *, unnest(range(1, k)) j FROM c) c),
+        s AS (SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, j, x.a l, y.a r, n.n, (1000::HUGEINT * cuts.a * n.n) // (x.a::HUGEINT * y.a) score FROM cuts JOIN n USING (lang)
+          JOIN f x ON x.lang = cuts.lang AND x.phrase = head AND x.k = j JOIN f y ON y.lang = cuts.lang AND y.phrase = tail AND y.k = cuts.k - j),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        o AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN c y ON y.lang = b.lang AND y.k > b.k AND contains(' ' || y.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * y.a >= 100 * b.a),
+        z AS (SELECT * FROM b ANTI JOIN o USING (lang, phrase)),
+        t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT a, l::BIGINT l, r::BIGINT r, n, score::BIGINT score FROM t WHERE rank <= 2000""",
 }
