@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, importance, mixing, phrases, quality, repeats, rules, sharding, simhash, toxicity, urls, warc
+from . import decontamination, importance, mixing, phrases, pii, quality, repeats, rules, sharding, simhash, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,15 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rules, op2_warc, op3_sharding, op4_quality, op5_simhash, op6_decontamination, op7_toxicity, op8_repeats, op9_urls, op10_mixing, op11_importance, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_rules, op2_warc, op3_sharding, op4_quality, op5_simhash, op6_decontamination, op7_toxicity, op8_repeats, op9_urls, op10_mixing, op11_importance, op12_pii, op13_phrases)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BENCHMARK_WORDS = rf"regexp_extract_all({FOLDED}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
