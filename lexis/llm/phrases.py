@@ -26,9 +26,9 @@ from ..shared import discard
 from .common import bitmap, bytes_of, materialise, new_path, own, pieces
 
 #: Pairs in a perfect hash, counts in a block of an array, arrays that one step of a tree sums, ids that a task counts at once.
-SLICE, BLOCK, FAN, FLUSH = 1 << 19, 1 << 13, 32, 1 << 21
+SLICE, BLOCK, FAN, FLUSH = 1 << 19, 1 << 13, 32, 1 << 20
 #: Buckets (as a power of two) of the filter before the pairs of words.
-BUCKETS = 23
+BUCKETS = 22
 #: Lower case; separators become line ends, tabs blanks. A lone full stop, which no word holds, then stands for a break.
 FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -335,7 +335,7 @@ def lang_of(docs: DataFrame, lang_col: str) -> Column:
     return F.coalesce(own(docs, lang_col).cast("string"), F.lit("und"))
 
 
-def word_counts(rows: DataFrame, most: int = 200_000) -> DataFrame:
+def word_counts(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """`lang`, `word`, `f` of every word; a task adds up until it holds `most` words."""
 
     def count(batches):
@@ -373,7 +373,7 @@ def word_id(salt: str) -> Column:
 class Ids(dict):
     """Memo of the ids of a language's words; 0 of a break and of words that are not frequent. Emptied when it holds `most`."""
 
-    def __init__(self, lang: str, salt: str, bits: np.ndarray, most: int = 100_000):
+    def __init__(self, lang: str, salt: str, bits: np.ndarray, most: int = 50_000):
         super().__init__({b".": 0})
         self.seed, self.bits, self.most = xxhash.xxh64_intdigest(lang.encode(), xxhash.xxh64_intdigest(salt.encode(), 42)), bits, most
 
@@ -396,17 +396,17 @@ def encoded(rows: DataFrame, salt: str, bits: np.ndarray) -> DataFrame:
         memo: dict[str, Ids] = {}
         for b in batches:
             langs, texts = b.column(0).to_pylist(), bytes_of(b.column(1))
-            for i, j in pieces(texts, 10_000_000):
-                flat: list[int] = []
+            for i, j in pieces(texts, 2_000_000):
+                flat: list[np.ndarray] = []
                 for lang, text in zip(langs[i:j], texts[i:j]):
                     if lang not in memo:
-                        if len(memo) >= 32:
+                        if len(memo) >= 8:
                             memo.clear()
                         memo[lang] = Ids(lang, salt, known.value)
                     ids = memo[lang]
-                    flat.extend([ids[w] for w in tokens(text)])
-                    flat.append(0)
-                yield from rows_of(runs(np.array(flat, np.uint64)))
+                    flat.append(np.fromiter(map(ids.__getitem__, tokens(text)), np.uint64))
+                    flat.append(np.zeros(1, np.uint64))
+                yield from rows_of(runs(np.concatenate(flat)))
 
     return materialise(rows.mapInArrow(encode, "ids array<long>"), "phrase-ids")
 
