@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.lexicon import Tables
-from .common import subtree
+from .common import subtree_of
 from .html import SENSE
 
 EMPTY = {
@@ -19,7 +19,7 @@ def _keys(results: DataFrame) -> DataFrame:
 
 def translations(results: DataFrame, tables: Tables) -> DataFrame:
     """`drv`, `translations`: first those of the key itself, then those below, each by language."""
-    rows = subtree(_keys(results), tables.traduko.select("mrk", "drv_mrk", "root_mrk", "lng", "trd", "rid"))
+    rows = subtree_of(_keys(results), tables, "traduko")
     level = F.when(F.col("mrk") == F.col("drv"), 0).otherwise(1).alias("level")
     ordered = F.array_sort(F.collect_list(F.struct(level, "lng", "rid", "trd")))
     return rows.groupBy("drv").agg(F.transform(ordered, lambda x: F.struct(x["lng"].alias("lng"), x["trd"].alias("trd"))).alias("translations"))
@@ -27,8 +27,9 @@ def translations(results: DataFrame, tables: Tables) -> DataFrame:
 
 def cross_refs(results: DataFrame, tables: Tables) -> DataFrame:
     """`drv`, `cross_refs`: targets with the headword of their first node, or none."""
-    heads = tables.nodo_first.select(F.col("mrk").alias("head_mrk"), F.col("kap").alias("target_kap"))
-    rows = subtree(_keys(results), tables.referenco.select("drv_mrk", "root_mrk", "cel", "tip", "rid")).join(heads, F.col("cel") == F.col("head_mrk"), "left")
+    refs = subtree_of(_keys(results), tables, "referenco").select("drv", "cel", "tip", "rid")
+    heads = tables.near("first", "mrk", refs, "cel").select(F.col("mrk").alias("head_mrk"), F.col("kap").alias("target_kap"))
+    rows = refs.join(heads, F.col("cel") == F.col("head_mrk"), "left")
     ordered = F.array_sort(F.collect_list(F.struct("rid", "cel", "tip", "target_kap")))
     named = F.transform(ordered, lambda x: F.struct(x["cel"].alias("target"), x["tip"].alias("type"), x["target_kap"].alias("target_kap")))
     return rows.groupBy("drv").agg(named.alias("cross_refs"))
@@ -36,15 +37,15 @@ def cross_refs(results: DataFrame, tables: Tables) -> DataFrame:
 
 def usage_domains(results: DataFrame, tables: Tables) -> DataFrame:
     """`drv`, `usage_domains`: distinct ones, in the order in which they come first."""
-    rows = subtree(_keys(results), tables.uzo.select("drv_mrk", "root_mrk", "uzo", "rid")).groupBy("drv", "uzo").agg(F.min("rid").alias("rid"))
+    rows = subtree_of(_keys(results), tables, "uzo").groupBy("drv", "uzo").agg(F.min("rid").alias("rid"))
     return rows.groupBy("drv").agg(F.transform(F.array_sort(F.collect_list(F.struct("rid", "uzo"))), lambda x: x["uzo"]).alias("usage_domains"))
 
 
 def senses(results: DataFrame, tables: Tables) -> DataFrame:
     """`article`, `drv`, `senses` from the parsed articles."""
-    return tables.senses.select(F.col("art").alias("article"), F.col("key").alias("drv"), "senses").dropDuplicates(["article", "drv"]).join(
-        results.select("article", F.col("mrk").alias("drv")).distinct(), ["article", "drv"], "left_semi"
-    )
+    keys = results.select("article", F.col("mrk").alias("drv")).distinct()
+    parsed = tables.near("senses", "art", keys, "article").select(F.col("art").alias("article"), F.col("key").alias("drv"), "senses")
+    return parsed.join(keys, ["article", "drv"], "left_semi")
 
 
 def assemble(results: DataFrame, tables: Tables) -> DataFrame:

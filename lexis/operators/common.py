@@ -1,5 +1,7 @@
 """Pieces that several searches share."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,12 @@ def group_by_drv(hits: DataFrame, limit: int | Column) -> DataFrame:
     return top(first, limit, "ord", name="pos").select("qid", "pos", F.col("kap").alias("headword"), F.col("art").alias("article"), F.col("drv").alias("mrk"), "matched_via")
 
 
-def subtree(keys: DataFrame, rows: DataFrame) -> DataFrame:
+def subtree_of(keys: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """`subtree` of a stored table: the keys of derivations read their buckets of its copy by drv_mrk."""
+    return subtree(keys, getattr(tables, name), lambda own: tables.near(name, "drv_mrk", own, "drv"))
+
+
+def subtree(keys: DataFrame, rows: DataFrame, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows whose key equals or lies below `drv` of the left side.
 
     A dotted drv is a derivation's key, and its subtree the rows with that drv_mrk; a dotless one stands for a whole
@@ -40,11 +47,11 @@ def subtree(keys: DataFrame, rows: DataFrame) -> DataFrame:
     """
     dotted = F.instr("drv", ".") > 0
     own, whole = keys.where(dotted), keys.where(~dotted)
-    return own.join(rows, F.col("drv") == F.col("drv_mrk")).unionByName(whole.join(rows, F.col("drv") == F.col("root_mrk")))
+    return own.join(near(own) if near else rows, F.col("drv") == F.col("drv_mrk")).unionByName(whole.join(rows, F.col("drv") == F.col("root_mrk")))
 
 
 def nodes_of(trds: DataFrame, tables: Tables, limit: int) -> DataFrame:
     """First nodes of the first `limit * 3` distinct keys of translation rows (`qid`, `mrk`, `ord`); keys without node drop."""
     firsts = trds.groupBy("qid", "mrk").agg(F.min("ord").alias("ord"))
     keys = top(firsts, limit * 3, "ord", name="nth").select("qid", "mrk", "ord")
-    return keys.join(tables.nodo_first, "mrk")
+    return keys.join(tables.near("first", "mrk", keys, "mrk"), "mrk")

@@ -1,12 +1,20 @@
-"""Full-text search: postings, phrases, prefixes, BM25."""
+"""Full-text search: a term dictionary, blocks of postings, phrases, prefixes, BM25.
 
-from pyspark.sql import DataFrame
+Rows are dealt to blocks by their length and a hash, so that all terms of a row stand in blocks of the same number. A
+phrase starts from its rarest term; of the others only blocks of these numbers are met, and of these only the rows that
+the rarest term has. A block knows the most that one of its rows can weigh.
+"""
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fold import tokens
+from ..sources.lexicon import Tables
 
 #: Constants of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Rows for which a length class gets another block; characters by which a prefix finds its terms.
+BLOCK_ROWS, HEAD = 4096, 3
 
 
 def postings(docs: DataFrame, text: str) -> DataFrame:
@@ -30,39 +38,145 @@ def corpus_stats(own_lengths: DataFrame) -> DataFrame:
     return own_lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def blocks(docs: DataFrame, text: str, rows: int = 0) -> DataFrame:
+    """`term`, `block`, `n` (rows), `most` (occurrences in one), `least_dl`, `rows` (rid, dl, places), by one exchange.
+
+    A common term has as many blocks as there are, so that none of its groups grows with the input (of `rows` rows).
+    """
+    cut = docs.select("rid", tokens(F.col(text)).alias("ts")).withColumn("dl", F.size("ts").cast("bigint"))
+    length_class = F.least(F.lit(31), F.floor(2 * F.log2(F.col("dl")))).cast("int")
+    parts = rows // BLOCK_ROWS + 1
+    block = length_class * parts + F.pmod(F.xxhash64("rid"), F.lit(parts)).cast("int")
+    each = cut.where("dl > 0").select("rid", "dl", block.alias("block"), F.posexplode("ts").alias("pos", "term")).repartition("term", "block")
+    of_rows = each.groupBy("term", "block", "rid", "dl").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    return of_rows.groupBy("term", "block").agg(
+        F.count("*").alias("n"), F.max(F.size("places")).alias("most"), F.min("dl").alias("least_dl"), F.array_sort(F.collect_list(F.struct("rid", "dl", "places"))).alias("rows")
+    )
+
+
+def terms(of_blocks: DataFrame) -> DataFrame:
+    """The dictionary: `term`, `head` (its first characters), `df` (rows that have it)."""
+    return of_blocks.groupBy("term").agg(F.sum("n").alias("df")).withColumn("head", F.left("term", F.lit(HEAD)))
+
+
+def posts_of(of_blocks: DataFrame) -> DataFrame:
+    """The postings of blocks one by one: `term`, `rid`, `pos`."""
+    rows = of_blocks.select("term", F.explode("rows").alias("r"))
+    return rows.select("term", "r.rid", F.explode("r.places").alias("pos"))
+
+
 def phrases(queries: DataFrame) -> DataFrame:
     """`qid`, `phrase` (number), `i`, `term`, `n`: the tokens of each quoted phrase. Without tokens a phrase has no rows."""
     split = queries.select("qid", "phrase", tokens(F.col("text")).alias("ts"))
     return split.select("qid", "phrase", F.size("ts").alias("n"), F.posexplode("ts").alias("i", "term"))
 
 
-def phrase_hits(queries: DataFrame, posts: DataFrame) -> DataFrame:
-    """`qid`, `rid`, `tf`: rows with the phrase, its tokens on consecutive positions, and how often. `queries`: `qid`, `text`.
+def known_terms(asked: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """Phrases (`qid`, `phrase`, `n`, `i`, `term`) all of whose terms occur, with `df` and `nth`: 1 for the rarest term."""
+    headed = asked.withColumn("head", F.left("term", F.lit(HEAD)))
+    found = headed.join(tables.near(f"{name}_terms", "head", headed, "head").select("term", "df"), "term").drop("head")
+    of_phrase = Window.partitionBy("qid", "phrase")
+    counted = found.withColumn("got", F.count("*").over(of_phrase)).withColumn("nth", F.row_number().over(of_phrase.orderBy("df", "i")))
+    return counted.where("got = n").drop("got")
+
+
+def rarest_blocks(found: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The blocks of each phrase's rarest term."""
+    rarest = found.where("nth = 1")
+    return rarest.join(tables.near(f"{name}_blocks", "term", rarest, "term").withColumnRenamed("n", "block_rows"), "term")
 
-    Only postings of query terms take part; each votes for the position at which its phrase would begin.
-    """
-    asked = phrases(queries.withColumn("phrase", F.lit(0)))
-    votes = posts.join(asked, "term").groupBy("qid", "rid", "n", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("got"))
-    return votes.where("got = n").groupBy("qid", "rid").agg(F.count("*").alias("tf"))
 
+def hits_in(seeds: DataFrame, found: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """`qid`, `phrase`, `rid`, `dl`, `tf` of phrases, from blocks of their rarest terms (as `rarest_blocks` gives them).
 
-def prefix_hits(queries: DataFrame, posts: DataFrame) -> DataFrame:
-    """`qid`, `rid`, `tf`: rows with tokens that begin with the query's one token; they meet by three characters."""
+    The rows of the rarest term's blocks go to the blocks of the same number of the other terms, where all other rows are
+    left out before any is exchanged.
+    """
+    own = seeds.select("qid", "phrase", "n", "i", F.explode("rows").alias("r"))
+    own = own.select("qid", "phrase", "n", "i", "r.rid", "r.dl", "r.places")
+    others = found.where("nth > 1").select("qid", "phrase", "n", "i", "term")
+    wanted = seeds.where("n > 1").select("qid", "phrase", "block", F.transform("rows", lambda r: r["rid"]).alias("rids")).join(others, ["qid", "phrase"])
+    met = wanted.join(tables.near(f"{name}_blocks", "term", others, "term").select("term", "block", "rows"), ["term", "block"])
+    beside = met.select("qid", "phrase", "n", "i", F.explode(F.expr("filter(rows, r -> array_contains(rids, r.rid))")).alias("r"))
+    both = own.unionByName(beside.select("qid", "phrase", "n", "i", "r.rid", "r.dl", "r.places"))
+    begins = F.collect_list(F.expr("transform(places, p -> p - i)")).alias("begins")
+    aligned = both.groupBy("qid", "phrase", "rid", "dl", "n").agg(begins).where(F.size("begins") == F.col("n"))
+    tf = F.size(F.aggregate("begins", F.get("begins", F.lit(0)), F.array_intersect)).cast("bigint")
+    return aligned.select("qid", "phrase", "rid", "dl", tf.alias("tf")).where("tf > 0")
+
+
+def phrase_hits(queries: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """`qid`, `rid`, `dl`, `tf`: rows of an index with the phrase, its tokens on consecutive positions, and how often. `queries`: `qid`, `text`."""
+    found = known_terms(phrases(queries.withColumn("phrase", F.lit(0))), tables, name)
+    return hits_in(rarest_blocks(found, tables, name), found, tables, name).drop("phrase")
+
+
+def heads(tables_by_name: dict[str, DataFrame]) -> DataFrame:
+    """`of`, `begun`, `head`: which heads the tables (with a column `head`) have that begin so, for prefixes of any length."""
+    out = None
+    for name, df in tables_by_name.items():
+        begun = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda n: F.left("head", n)))).alias("begun")
+        own = df.select("head").distinct().select(F.lit(name).alias("of"), begun, "head")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def headed(asked: DataFrame, tables: Tables, name: str, column: str) -> DataFrame:
+    """The batch with the heads of a table that its prefixes can meet: one, or, for prefixes shorter than heads, some."""
+    own = tables.indexed().heads.where(F.col("of") == name).select("begun", "head")
+    return asked.withColumn("begun", F.left(column, F.lit(HEAD))).join(own, "begun").drop("begun")
+
+
+def prefix_terms(queries: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """`qid`, `term`: the dictionary's terms that begin with the query's last token."""
     asked = queries.select("qid", F.element_at(F.concat(F.array(F.lit("")), tokens(F.col("text"))), -1).alias("begins")).where("begins <> ''")
-    short = asked.withColumn("head", F.left("begins", F.lit(3)))
-    heads = posts.withColumn("head", F.left("term", F.lit(3)))
-    exact = short.where(F.length("begins") >= 3).join(heads, "head")
-    brief = short.where(F.length("begins") < 3).withColumn("head", F.left("begins", F.lit(1))).join(posts.withColumn("head", F.left("term", F.lit(1))), "head")
-    met = exact.unionByName(brief.select(*exact.columns)).where(F.startswith("term", "begins"))
-    return met.groupBy("qid", "rid").agg(F.count("*").alias("tf"))
-
-
-def bm25(hits: DataFrame, own_lengths: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Add `rank` (smaller is better) by the lengths of all rows (`rid`, `dl`) and their stored statistics: a phrase or prefix counts as one term of which as many rows have it as hits."""
-    found = hits.groupBy("qid").agg(F.count("*").alias("df"))
-    stats = (corpus_stats(own_lengths) if stats is None else stats).withColumn("one", F.lit(1))
+    near = headed(asked, tables, f"{name}_terms", "begins")
+    met = near.join(tables.near(f"{name}_terms", "head", near, "head").select("head", "term"), "head")
+    return met.where(F.startswith("term", "begins")).select("qid", "term")
+
+
+def prefix_hits(queries: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """`qid`, `rid`, `dl`, `tf`: rows with tokens that begin with the query's one token, by the blocks of the terms that do."""
+    found = prefix_terms(queries, tables, name)
+    met = found.join(tables.near(f"{name}_blocks", "term", found, "term").select("term", "rows"), "term").select("qid", F.explode("rows").alias("r"))
+    return met.groupBy("qid", "r.rid", "r.dl").agg(F.sum(F.size("r.places")).alias("tf"))
+
+
+def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a row counts besides its term's rarity: more with each occurrence, less with each token."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def bm25(hits: DataFrame, stats: DataFrame) -> DataFrame:
+    """Add `rank` (smaller is better) to hits (`qid`, `rid`, `dl`, `tf`), by the statistics of all rows: a phrase or prefix counts as one term of which as many rows have it as hits."""
+    found = hits.groupBy("qid").agg(F.count("*").alias("df")).withColumn("one", F.lit(1))
     idf = F.log((F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    own = hits.join(own_lengths, "rid").join(found.withColumn("one", F.lit(1)).join(F.broadcast(stats), "one").drop("one"), "qid")  # one row of statistics
-    return own.withColumn("rank", -(idf * weight)).drop("df", "n_docs", "avgdl")
+    own = hits.join(found.join(F.broadcast(stats.withColumn("one", F.lit(1))), "one").drop("one"), "qid")  # one row of statistics
+    return own.withColumn("rank", -(idf * weight(F.col("tf"), F.col("dl"), F.col("avgdl")))).drop("df", "n_docs", "avgdl")
+
+
+def best_phrase_hits(queries: DataFrame, tables: Tables, name: str, limit: int) -> DataFrame:
+    """The `limit` best rows (`qid`, `rid`, `dl`, `tf`, `value`, `ord`) of each query's phrase: heaviest first, to nine digits, then by rid.
+
+    A phrase's rarity is the same for all of its rows, so their weights alone order them. First the blocks are read that
+    can weigh most and have some four times as many rows as are wanted; their `limit`-th row sets what a row must weigh,
+    and of the other blocks only those are read whose most frequent, shortest row could reach it.
+    """
+    found = known_terms(phrases(queries.withColumn("phrase", F.lit(0))), tables, name)
+    stats = F.broadcast(tables.indexed().ekz_stats.select("avgdl").withColumn("phrase", F.lit(0)))  # one row of statistics
+    bound = F.round(weight(F.col("most"), F.col("least_dl"), F.col("avgdl")), 9)
+    seeds = rarest_blocks(found, tables, name).join(stats, "phrase").withColumn("bound", bound)
+    before = Window.partitionBy("qid").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = seeds.withColumn("rows_before", F.coalesce(F.sum("block_rows").over(before), F.lit(0)))
+    sharp = F.col("rows_before") < 4 * limit
+
+    def weighed(chosen: DataFrame) -> DataFrame:
+        hits = hits_in(chosen, found, tables, name).join(stats, "phrase")
+        return hits.withColumn("value", F.round(weight(F.col("tf"), F.col("dl"), F.col("avgdl")), 9)).select("qid", "rid", "dl", "tf", "value")
+
+    order = Window.partitionBy("qid").orderBy(F.desc("value"), "rid")
+    first = weighed(numbered.where(sharp))
+    needed = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == limit).select("qid", F.col("value").alias("needed"))
+    rest = numbered.where(~sharp).join(needed, "qid", "left").where("needed is null or bound >= needed").drop("needed")
+    return first.unionByName(weighed(rest)).withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= limit)

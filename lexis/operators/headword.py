@@ -3,11 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fold import tokens
 from ..functions.stems import stems
-from ..functions.text import like, normalize_query
+from ..functions.text import normalize_query
 from ..sources.lexicon import Tables
+from . import permuterm
 from .common import first_tier, group_by_drv, ranked, top
+from .fulltext import prefix_hits
 
 NODE = ("mrk", "art", "kap", "num")
 
@@ -23,50 +24,35 @@ def by_length(hits: DataFrame) -> DataFrame:
 
 def exact(words: DataFrame, tables: Tables) -> DataFrame:
     """Nodes whose headword is the word. `words` has `qid` and `word`, normalised."""
-    return by_length(distinct_nodes(words.join(tables.nodo, F.col("word") == F.col("kap_norm"))))
+    return by_length(distinct_nodes(words.join(tables.near("nodo", "kap_norm", words, "word"), F.col("word") == F.col("kap_norm"))))
 
 
 def variant(words: DataFrame, tables: Tables) -> DataFrame:
     """Nodes of which the word is a spelling variant; a variant without node yields nothing."""
-    keys = words.join(tables.var.select("mrk", "kap_norm"), F.col("word") == F.col("kap_norm")).select("qid", "mrk").distinct()
-    return by_length(distinct_nodes(keys.join(tables.nodo, "mrk")))
+    keys = words.join(tables.near("var", "kap_norm", words, "word").select("mrk", "kap_norm"), F.col("word") == F.col("kap_norm")).select("qid", "mrk").distinct()
+    return by_length(distinct_nodes(keys.join(tables.near("nodo", "mrk", keys, "mrk"), "mrk")))
 
 
 def stem(words: DataFrame, tables: Tables) -> DataFrame:
     """Nodes of the first stem, other than the word itself, that is a headword."""
     tried = words.select("qid", "word", F.posexplode(stems(F.col("word"))).alias("rank", "stem")).where("stem <> word")
-    hits = tried.join(tables.nodo, F.col("stem") == F.col("kap_norm"))
+    hits = tried.join(tables.near("nodo", "kap_norm", tried, "stem"), F.col("stem") == F.col("kap_norm"))
     found = distinct_nodes(hits, "rank", "stem").withColumnRenamed("rank", "tier")
     return by_length(first_tier(found))
 
 
 def prefix(words: DataFrame, tables: Tables, limit: int) -> DataFrame:
-    """The `limit * 5` shortest headwords that begin with the word, in which % and _ are wildcards.
-
-    Words and headwords meet by their first three characters, words of which fewer come before a wildcard or the end by
-    the first one; only words that begin with a wildcard go past all headwords.
-    """
-    begun = words.withColumn("literal", F.length(F.regexp_extract("word", "^[^%_]{0,3}", 0)))
-
-    def by_first(chosen: DataFrame, n: int) -> DataFrame:
-        return chosen.withColumn("initial", F.left("word", F.lit(n))).join(tables.nodo.withColumn("initial", F.left("kap_norm", F.lit(n))), "initial")
-
-    met = by_first(begun.where("literal = 3"), 3).unionByName(by_first(begun.where("literal in (1, 2)"), 1)).unionByName(by_first(begun.where("literal = 0"), 0))
-    met = met.where(like(F.col("kap_norm"), F.concat("word", F.lit("%"))))
+    """The `limit * 5` shortest headwords that begin with the word, in which % and _ are wildcards: by the rotations."""
+    met = permuterm.nodes(words.withColumn("like", F.concat("word", F.lit("%"))).select("qid", "like"), tables)
     return top(distinct_nodes(met), limit * 5, F.length("kap"), "kap", "rid")
 
 
 def token_prefix(words: DataFrame, tables: Tables, limit: int) -> DataFrame:
-    """Nodes whose headword (or a variant) has tokens, the last of which begins with the word's last one."""
-    entries = tables.nodo.select("kap_norm", "rid").unionByName(tables.var.select("kap_norm", "rid"))
-    heads = entries.select("kap_norm", "rid", F.explode(tokens(F.col("kap_norm"))).alias("token"))
-    asked = words.withColumn("token_asked", F.element_at(F.concat(F.array(F.lit("")), tokens(F.col("word"))), -1)).where("token_asked <> ''")
-    begun = lambda df, column, n: df.withColumn("initial", F.left(column, F.lit(n)))
-    met = begun(asked.where(F.length("token_asked") >= 3), "token_asked", 3).join(begun(heads, "token", 3), "initial")
-    met = met.unionByName(begun(asked.where(F.length("token_asked") < 3), "token_asked", 1).join(begun(heads, "token", 1), "initial")).where(F.startswith("token", "token_asked"))
-    kaps = top(met.groupBy("qid", "kap_norm").agg(F.min("rid").alias("rid")), limit, "rid", name="nth").select("qid", F.col("nth"), F.col("kap_norm").alias("word"))
-    found = distinct_nodes(kaps.join(tables.nodo, F.col("word") == F.col("kap_norm")), "nth")
-    return ranked(found, "nth", F.length("mrk"), "rid").drop("nth")
+    """Nodes whose headword (or a variant) has tokens, of which one begins with the word's last one: by the index of headwords."""
+    met = prefix_hits(words.select("qid", F.col("word").alias("text")), tables, "kap").select("qid", F.col("rid").alias("found"))
+    nodes = met.join(tables.near("nodo", "kap_norm", met, "found"), F.col("found") == F.col("kap_norm"))
+    kaps = top(nodes.groupBy("qid", "found").agg(F.min("rid").alias("first_rid")), limit, "first_rid", name="nth").select("qid", "nth", "found")
+    return ranked(distinct_nodes(nodes.join(kaps, ["qid", "found"]), "nth"), "nth", F.length("mrk"), "rid").drop("nth")
 
 
 def normalised(queries: DataFrame) -> DataFrame:
@@ -83,7 +69,7 @@ def headword_hits(queries: DataFrame, tables: Tables, limit: int = 5, fts_fallba
     forms = words.select("qid", "word", F.posexplode(stems(F.col("word"))).alias("rank", "form"))
     step = F.when(F.col("form") == F.col("word"), 1000).otherwise(3000 + F.col("rank"))
     via = F.when(F.col("form") != F.col("word"), F.concat(F.lit("stem:"), "form"))
-    direct = distinct_nodes(forms.join(tables.nodo, F.col("form") == F.col("kap_norm")).select("qid", step.alias("tier"), via.alias("matched_via"), *NODE, "rid"), "tier", "matched_via")
+    direct = distinct_nodes(forms.join(tables.near("nodo", "kap_norm", forms, "form"), F.col("form") == F.col("kap_norm")).select("qid", step.alias("tier"), via.alias("matched_via"), *NODE, "rid"), "tier", "matched_via")
     none = F.lit(None).cast("string")
     of_variants = variant(words, tables).drop("ord").select("qid", F.lit(2000).alias("tier"), none.alias("matched_via"), *NODE, "rid")
     keyed = by_length(first_tier(direct.unionByName(of_variants)))

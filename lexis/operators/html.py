@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -15,10 +16,7 @@ from ..functions.text import BLANKS
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _JS_BLANKS = re.sub(r"\\x\{(\w+)\}", lambda m: "\\u" + m[1].zfill(4), BLANKS)
-#: A page that nests deeper is taken as broken; it is counted as failed, and the others go on.
-DEEPEST = 10_000
 SENSE = "struct<mrk:string,num:string,definition:string,examples:array<string>,domain:string>"
-EXAMPLE_SCHEMA = "art string, drv_mrk string, sense_mrk string, ekz_md string, position int, rid bigint"
 
 
 @dataclass
@@ -29,6 +27,13 @@ class Node:
     attrs: dict[str, str] = field(default_factory=dict)
     parent: "Node | None" = None
     children: list = field(default_factory=list)
+    elements: list["Node"] = field(default_factory=list)  # of the children, and this one's place among its parent's
+    nth: int = 0
+
+    def add(self, node: "Node") -> None:
+        node.nth = len(self.elements)
+        self.elements.append(node)
+        self.children.append(node)
 
     @property
     def classes(self) -> list[str]:
@@ -36,11 +41,11 @@ class Node:
 
     def walk(self) -> Iterator["Node"]:
         """All elements below this one, in document order; by a stack, as pages nest to any depth."""
-        ahead = [c for c in reversed(self.children) if isinstance(c, Node)]
+        ahead = self.elements[::-1]
         while ahead:
             node = ahead.pop()
             yield node
-            ahead += [c for c in reversed(node.children) if isinstance(c, Node)]
+            ahead += node.elements[::-1]
 
     def all(self, *kinds: tuple[str, str | None]) -> list["Node"]:
         """Descendants of any of the (tag, class or None) kinds."""
@@ -58,14 +63,10 @@ class Node:
             node = node.parent
         return node
 
-    def siblings(self) -> list["Node"]:
-        return [c for c in self.parent.children if isinstance(c, Node)] if self.parent else [self]
-
     def beside(self, step: int) -> "Node | None":
         """The next (1) or previous (-1) sibling element."""
-        around = self.siblings()
-        at = next(i for i, n in enumerate(around) if n is self) + step
-        return around[at] if 0 <= at < len(around) else None
+        at = self.nth + step
+        return self.parent.elements[at] if self.parent is not None and 0 <= at < len(self.parent.elements) else None
 
     def raw(self, skip: Callable[["Node"], bool] = lambda n: False) -> str:
         out, ahead = [], self.children[::-1]
@@ -87,29 +88,24 @@ class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=False)
         self.root = self.at = Node("")
-        self.depth = 0
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in VOID:
-            self.depth += 1
-            if self.depth > DEEPEST:
-                raise ValueError(f"nested more than {DEEPEST} levels deep")
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
+        self.at.add(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+        self.at.add(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            while self.at is not node.parent:
-                self.at = self.at.parent
-                self.depth -= 1
+        while self.open[tag]:  # else nothing of the kind is open
+            self.open[self.at.tag] -= 1
+            closed, self.at = self.at, self.at.parent
+            if closed.tag == tag:
+                return
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -132,6 +128,10 @@ def clean(text: str) -> str:
     return re.sub(f"[{_JS_BLANKS}]+", " ", text).strip(" ")
 
 
+def trim(text: str) -> str:
+    return re.sub(f"^[{_JS_BLANKS}]+|[{_JS_BLANKS}]+$", "", text)
+
+
 def is_reference(n: Node) -> bool:
     return n.tag in ("span", "sup") and "fntref" in n.classes
 
@@ -147,7 +147,7 @@ def definition(dif: Node) -> str:
 
 def sense_of(dd: Node, key: str | None, num: str | None) -> dict:
     dif, domain = dd.first(("span", "dif")), dd.first(("abbr", "uzo"), ("span", "uzo"))
-    return {"mrk": key, "num": num, "definition": definition(dif) if dif else "", "examples": examples(dd), "domain": domain.text().strip() if domain else None}
+    return {"mrk": key, "num": num, "definition": definition(dif) if dif else "", "examples": examples(dd), "domain": trim(domain.text()) if domain else None}
 
 
 def senses_of(drv: Node, key: str) -> list[dict]:
@@ -155,7 +155,7 @@ def senses_of(drv: Node, key: str) -> list[dict]:
     numbered = [dt for dt in drv.all(("dt", None)) if "lng" not in dt.attrs.get("class", "")]
     if numbered:
         pairs = [(dt, dt.beside(1)) for dt in numbered]
-        return [sense_of(dd, dt.attrs.get("id"), dt.text().strip()) for dt, dd in pairs if dd is not None and dd.tag == "dd"]
+        return [sense_of(dd, dt.attrs.get("id"), trim(dt.text())) for dt, dd in pairs if dd is not None and dd.tag == "dd"]
     dd = drv.first(("dd", None))
     if dd is not None and not dd.attrs.get("lang"):
         return [sense_of(dd, key, None)]
@@ -181,10 +181,14 @@ def keyed_senses(root: Node) -> dict[str, list[dict]]:
             heads.add(key)
             if drv is not None:
                 out[key] = senses_of(drv, key)
+    tried: set[str] = set()
     for dt in root.all(("dt", None)):
         key, drv, dd = dt.attrs.get("id"), dt.closest("section", "drv"), dt.beside(1)
-        if key and key not in out and drv is not None and drv.first(("h2", None)) is not None and dd is not None:
-            out[key] = [sense_of(dd, key, dt.text().strip())]
+        if not key or key in tried:
+            continue  # only the first dt with an id stands for it
+        tried.add(key)
+        if key not in out and drv is not None and drv.first(("h2", None)) is not None and dd is not None:
+            out[key] = [sense_of(dd, key, trim(dt.text()))]
     return out
 
 
@@ -247,15 +251,15 @@ def _rows(articles: DataFrame, make: Callable[[str, Node], Iterator[dict]], sche
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = []
-            for mrk, txt in zip(f["mrk"], f["txt"]):
+            for mrk, rid, txt in zip(f["mrk"], f["rid"], f["txt"]):
                 if txt is not None:
                     try:
-                        found += list(make(mrk, parse(txt)))
+                        found += [row | {"rid": rid} for row in make(mrk, parse(txt))]
                     except Exception as e:  # noqa: BLE001  one bad page must not end the job
-                        found.append({"art": mrk, "error": f"{type(e).__name__}: {e}"[:500]})
+                        found.append({"art": mrk, "rid": rid, "error": f"{type(e).__name__}: {e}"[:500]})
             yield pd.DataFrame(found, columns=names).astype(object).where(lambda x: x.notna(), None)
 
-    return articles.select("mrk", F.col("txt").cast("string").alias("txt")).mapInPandas(scan, f"{schema}, error string")
+    return articles.select("mrk", "rid", F.col("txt").cast("string").alias("txt")).mapInPandas(scan, f"{schema}, error string")
 
 
 def _good(rows: DataFrame) -> DataFrame:
@@ -267,26 +271,44 @@ def parse_articles(articles: DataFrame) -> DataFrame:
     return _good(_rows(articles, lambda art, root: ({"art": art, "position": i, **d} for i, d in enumerate(derivations(root))), f"art string, position int, mrk string, headword string, senses array<{SENSE}>"))
 
 
-def parse_senses(articles: DataFrame) -> DataFrame:
-    """One row per key of an article: `art`, `key`, `senses`. Articles are parsed once, when they come in."""
-    return _good(_keyed(articles))
+def extracted(articles: DataFrame, profile: str = "dictionary") -> DataFrame:
+    """All that an article has, by one parse: `art`, `rid`, `keyed` (key and senses), `examples`, or `error`.
+
+    Store this, and take senses, examples and failures from what is stored.
+    """
+    find = {"dictionary": article_examples, "page": page_examples}[profile]
 
+    def make(art: str, root: Node) -> Iterator[dict]:
+        keyed = [{"key": k, "senses": s} for k, s in keyed_senses(root).items()] if profile == "dictionary" else []
+        yield {"art": art, "keyed": keyed, "examples": [{"drv_mrk": d, "sense_mrk": s, "ekz_md": md} for d, s, md in find(root)]}
 
-def _keyed(articles: DataFrame) -> DataFrame:
-    return _rows(articles, lambda art, root: ({"art": art, "key": k, "senses": s} for k, s in keyed_senses(root).items()), f"art string, key string, senses array<{SENSE}>")
+    return _rows(articles, make, f"art string, rid long, keyed array<struct<key:string,senses:array<{SENSE}>>>, examples array<struct<drv_mrk:string,sense_mrk:string,ekz_md:string>>")
 
 
-def failures(articles: DataFrame) -> DataFrame:
+def senses_in(found: DataFrame) -> DataFrame:
+    """`art`, `key`, `senses`; of an article's key that repeats, as of articles that do, the first."""
+    each = _good(found).select("art", "rid", F.explode("keyed").alias("k"))
+    return each.groupBy("art", F.col("k.key").alias("key")).agg(F.min_by("k.senses", "rid").alias("senses"))
+
+
+def failures_in(found: DataFrame) -> DataFrame:
     """`art`, `error` of the articles that cannot be parsed; all others give their rows regardless."""
-    return _keyed(articles).where("error is not null").select("art", "error")
+    return found.where("error is not null").select("art", "error")
 
 
-def build_examples(articles: DataFrame, profile: str = "dictionary") -> DataFrame:
-    """The example corpus. `position` counts an article's examples from 0; rid follows article hash and position."""
-    find = {"dictionary": article_examples, "page": page_examples}[profile]
+def examples_in(found: DataFrame) -> DataFrame:
+    """The example corpus. `position` counts an article's examples from 0; `rid` is the article's, then the position."""
+    rows = _good(found).select("art", "rid", F.posexplode("examples").alias("position", "e")).select("art", "e.*", "position", "rid")
+    return rows.withColumn("rid", F.shiftleft("rid", 20).bitwiseOR(F.col("position").cast("bigint")))
 
-    def make(art: str, root: Node) -> Iterator[dict]:
-        return ({"art": art, "drv_mrk": d, "sense_mrk": s, "ekz_md": md, "position": i} for i, (d, s, md) in enumerate(find(root)))
 
-    rows = _good(_rows(articles, make, "art string, drv_mrk string, sense_mrk string, ekz_md string, position int"))
-    return rows.withColumn("rid", F.shiftleft(F.pmod(F.xxhash64("art"), F.lit(1 << 40)), 20).bitwiseOR(F.col("position").cast("bigint")))
+def parse_senses(articles: DataFrame) -> DataFrame:
+    return senses_in(extracted(articles))
+
+
+def failures(articles: DataFrame) -> DataFrame:
+    return failures_in(extracted(articles))
+
+
+def build_examples(articles: DataFrame, profile: str = "dictionary") -> DataFrame:
+    return examples_in(extracted(articles, profile))

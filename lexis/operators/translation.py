@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_fold, like, strip
 from ..sources.lexicon import Tables
 from .common import first_tier, group_by_drv, nodes_of, top
-from .fulltext import phrases, postings
+from .fulltext import hits_in, known_terms, phrases, rarest_blocks
 from .headword import lookup_headwords
 
 
@@ -27,38 +27,47 @@ def quoted_phrases(words: DataFrame) -> DataFrame:
     return words.where(valid).select("qid", F.posexplode(F.split(F.replace("word", F.lit('""'), F.lit(" ")), '"')).alias("phrase", "text"))
 
 
-def matching_rows(words: DataFrame, traduko: DataFrame, posts: DataFrame, most: int | None = 100) -> DataFrame:
-    """The first `most` translation rows, over all languages, in which all phrases of the query stand."""
+def matching_rows(words: DataFrame, tables: Tables, most: int | None = 100, same_language: bool = False) -> DataFrame:
+    """The first `most` translation rows, over all languages, in which all phrases of the query stand.
+
+    With `same_language`, only rows of the query's `lang` count.
+    """
     parts = phrases(quoted_phrases(words))
     wanted = parts.select("qid", "phrase").distinct().groupBy("qid").agg(F.count("*").alias("all_phrases"))
-    votes = posts.join(parts, "term").groupBy("qid", "phrase", "rid", "n", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("got"))
-    whole = votes.where("got = n").select("qid", "phrase", "rid").distinct().groupBy("qid", "rid").agg(F.count("*").alias("got_phrases"))
+    found = known_terms(parts, tables, "trd")
+    whole = hits_in(rarest_blocks(found, tables, "trd"), found, tables, "trd").groupBy("qid", "rid").agg(F.count("*").alias("got_phrases"))
     rids = whole.join(wanted, "qid").where("got_phrases = all_phrases").select("qid", "rid")
-    return top(rids, most, "rid").join(traduko.select("rid", "mrk", "lng", "trd"), "rid")
+    if not same_language:
+        rids = top(rids, most, "rid")
+    rows = rids.join(tables.near("traduko", "rid", rids, "rid").select("rid", "mrk", "lng", "trd"), "rid")
+    return top(rows.join(words.select("qid", "lang"), "qid").where("lng = lang"), most, "rid") if same_language else rows
 
 
-def exact_rows(words: DataFrame, traduko: DataFrame, most: int, same_language: bool) -> DataFrame:
-    on: Column = ascii_fold(F.col("word")) == F.col("trd_fold")
-    rows = traduko.select("rid", "mrk", "lng", "trd", "trd_fold")
+def exact_rows(words: DataFrame, tables: Tables, most: int, same_language: bool) -> DataFrame:
+    asked_for = words.withColumn("folded", ascii_fold(F.col("word")))
+    on: Column = F.col("folded") == F.col("trd_fold")
+    rows = tables.near("traduko", "trd_fold", asked_for, "folded").select("rid", "mrk", "lng", "trd", "trd_fold")
     if same_language:
         on = on & (F.col("lang") == F.col("lng"))
-    return top(words.join(rows, on), most, "rid")
+    return top(asked_for.join(rows, on).drop("folded"), most, "rid")
 
 
-def substring_rows(words: DataFrame, traduko: DataFrame, grams: DataFrame | None = None, most: int = 50) -> DataFrame:
+def substring_rows(words: DataFrame, tables: Tables, most: int = 50) -> DataFrame:
     """Translations of the language that contain the query, in which % and _ are wildcards.
 
-    Queries with three characters in a row that are no wildcards meet the stored pieces of translations by one such
-    piece; only shorter ones go past all translations of their language.
+    Queries with three characters in a row that are no wildcards ask for the rows that hold all such pieces of theirs: the
+    rows of a piece come from its bucket, and a row must be there for each. Shorter ones go past all translations.
     """
-    every = traduko.select("rid", "mrk", "lng", "trd")
-    piece = words.withColumn("gram", F.regexp_extract(ascii_fold(F.col("word")), "[^%_]{3}", 0))
-    long = piece.where("gram <> ''")
-    if grams is not None:
-        near = long.join(grams.select("gram", F.col("lng").alias("lang"), "rid"), ["gram", "lang"]).join(every, "rid")
-    else:
-        near = long.join(every, F.col("lang") == F.col("lng"))
-    rows = near.drop("gram").unionByName(piece.where("gram = ''").drop("gram").join(every, F.col("lang") == F.col("lng")))
+    every = tables.traduko.select("rid", "mrk", "lng", "trd")
+    literals = F.filter(F.split(ascii_fold(F.col("word")), "[%_]"), lambda x: F.length(x) >= 3)
+    each = F.flatten(F.transform(literals, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3)))))
+    pieces = words.withColumn("pieces", F.array_distinct(each))
+    long = pieces.where(F.size("pieces") > 0)
+    asked_for = long.select("qid", F.col("lang").alias("lng"), F.size("pieces").alias("wanted"), F.explode("pieces").alias("gram"))
+    shared = asked_for.join(tables.near("trd_grams", "gram", asked_for, "gram"), ["gram", "lng"]).groupBy("qid", "rid", "wanted").agg(F.count("*").alias("got"))
+    rids = shared.where("got = wanted").select("qid", "rid")
+    near = long.drop("pieces").join(rids, "qid").join(tables.near("traduko", "rid", rids, "rid").select("rid", "mrk", "lng", "trd"), "rid")
+    rows = near.unionByName(pieces.where(F.size("pieces") == 0).drop("pieces").join(every, F.col("lang") == F.col("lng")))
     return top(rows.where(like(F.col("trd"), F.concat(F.lit("%"), "word", F.lit("%")))), most, "rid")
 
 
@@ -76,20 +85,19 @@ def translation_rows(queries: DataFrame, tables: Tables, parity: bool = True) ->
     without, after.
     """
     words = asked(queries).where("word <> ''").select("qid", "lang", "word")
-    phrase = matching_rows(words, tables.traduko, tables.indexed().trd_posts).join(words.select("qid", "lang"), "qid").where("lng = lang")
-    if not parity:
-        asked_languages = words.select(F.col("lang").alias("lng")).distinct()
-        per_language = tables.traduko.join(asked_languages, "lng", "left_semi")
-        phrase = top(matching_rows(words, per_language, postings(per_language, "trd"), None).drop("ord").join(words.select("qid", "lang"), "qid").where("lng = lang"), 100, "rid")
-    found = _tier(1, exact_rows(words, tables.traduko, 50, True)).unionByName(_tier(2, phrase))
+    if parity:
+        phrase = matching_rows(words, tables).join(words.select("qid", "lang"), "qid").where("lng = lang")
+    else:
+        phrase = matching_rows(words, tables, same_language=True)
+    found = _tier(1, exact_rows(words, tables, 50, True)).unionByName(_tier(2, phrase))
     left = words.join(found.select("qid").distinct(), "qid", "left_anti")
-    return first_tier(found.unionByName(_tier(3, substring_rows(left, tables.traduko, tables.indexed().trd_grams))))
+    return first_tier(found.unionByName(_tier(3, substring_rows(left, tables))))
 
 
 def all_language_rows(queries: DataFrame, tables: Tables) -> DataFrame:
     """Translation rows in any language: exact, else phrase."""
     words = asked(queries).select("qid", "word")
-    return first_tier(_tier(1, exact_rows(words, tables.traduko, 100, False)).unionByName(_tier(2, matching_rows(words, tables.traduko, tables.indexed().trd_posts))))
+    return first_tier(_tier(1, exact_rows(words, tables, 100, False)).unionByName(_tier(2, matching_rows(words, tables))))
 
 
 def results_of(rows: DataFrame, queries: DataFrame, tables: Tables, limit: int, language: Column) -> DataFrame:

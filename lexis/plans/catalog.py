@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fold, stems, text
 from ..operators import assemble, common, examples, family, fulltext, headword, html, render, translation, wildcard
-from ..shared import new_path
+from ..shared import materialise, new_path
 from ..sources import surrogate
 from ..sources.lexicon import Tables, with_keys
 from .api import Lexicon
@@ -108,7 +108,7 @@ def listed(column: str, *fields: str) -> Column:
 
 @query("SELECT page_id::VARCHAR mrk, html txt FROM pages")
 def scan_articles(t: Tables) -> DataFrame:
-    return t.artikolo
+    return t.artikolo.select("mrk", "txt")
 
 
 @query(sql("nodo", "SELECT kap, art, mrk FROM nodo"))
@@ -256,17 +256,17 @@ TRD = "qid, mrk, lng, trd, ord"
 
 @query(sql("nodo traduko", "SELECT 0 qid, mrk, lng, trd, row_number() OVER (ORDER BY rid)::INT ord FROM traduko WHERE trd = 'in' AND lng = 'en' QUALIFY ord <= 50"))
 def trans_exact(t: Tables) -> DataFrame:
-    return translation.exact_rows(translation.asked(asked(t.nodo, ("in", "en"))), t.traduko, 50, True).selectExpr(*TRD.split(", "))
+    return translation.exact_rows(translation.asked(asked(t.nodo, ("in", "en"))), t, 50, True).selectExpr(*TRD.split(", "))
 
 
 @query(sql("nodo traduko", "SELECT 0 qid, mrk, lng, trd, row_number() OVER (ORDER BY rid)::INT ord FROM traduko WHERE trd = 'in' QUALIFY ord <= 100"))
 def trans_exact_all(t: Tables) -> DataFrame:
-    return translation.exact_rows(translation.asked(asked(t.nodo, "in")), t.traduko, 100, False).selectExpr(*TRD.split(", "))
+    return translation.exact_rows(translation.asked(asked(t.nodo, "in")), t, 100, False).selectExpr(*TRD.split(", "))
 
 
 @query(sql("nodo traduko", "SELECT 0 qid, mrk, lng, trd, row_number() OVER (ORDER BY rid)::INT ord FROM traduko WHERE trd LIKE '%ent%' AND lng = 'fr' QUALIFY ord <= 50"))
 def trans_substring(t: Tables) -> DataFrame:
-    return translation.substring_rows(translation.asked(asked(t.nodo, ("ent", "fr"))), t.traduko, t.trd_grams).selectExpr(*TRD.split(", "))
+    return translation.substring_rows(translation.asked(asked(t.nodo, ("ent", "fr"))), t).selectExpr(*TRD.split(", "))
 
 
 FTS_TRD = f"SELECT *, row_number() OVER (ORDER BY rid)::INT ord FROM traduko WHERE list_contains({TOKENS % 'trd'}, 'un') QUALIFY ord <= 100"
@@ -274,13 +274,13 @@ FTS_TRD = f"SELECT *, row_number() OVER (ORDER BY rid)::INT ord FROM traduko WHE
 
 @query(sql("nodo traduko", "SELECT 0 qid, mrk, lng, trd, ord FROM f", f=FTS_TRD))
 def trans_fts_all(t: Tables) -> DataFrame:
-    return translation.matching_rows(translation.asked(asked(t.nodo, "un")), t.traduko, t.indexed().trd_posts).selectExpr(*TRD.split(", "))
+    return translation.matching_rows(translation.asked(asked(t.nodo, "un")), t).selectExpr(*TRD.split(", "))
 
 
 @query(sql("nodo traduko", "SELECT 0 qid, mrk, lng, trd, ord FROM f WHERE lng = 'fr'", f=FTS_TRD))
 def trans_fts_lang(t: Tables) -> DataFrame:
     """The 100 rows come before the language is looked at."""
-    return translation.matching_rows(translation.asked(asked(t.nodo, "un")), t.traduko, t.indexed().trd_posts).where("lng = 'fr'").selectExpr(*TRD.split(", "))
+    return translation.matching_rows(translation.asked(asked(t.nodo, "un")), t).where("lng = 'fr'").selectExpr(*TRD.split(", "))
 
 
 QUOTED_SQL = "SELECT {0} qid, mrk, lng, trd, row_number() OVER (ORDER BY rid)::INT ord FROM tt WHERE {1} QUALIFY ord <= 100"
@@ -290,7 +290,7 @@ QUOTED_BATCH = ('"the and" attion', 'the "and', 'the""and')
 @query(sql("nodo traduko", QUOTED_SQL.format(0, "contains(line, ' the and ') AND contains(line, ' attion ')") + " UNION ALL " + QUOTED_SQL.format(2, "contains(line, ' the and ')"), tt=f"SELECT *, concat(' ', array_to_string({TOKENS % 'trd'}, ' '), ' ') line FROM traduko"))
 def trans_fts_quoted(t: Tables) -> DataFrame:
     """Parts between marks must all stand; a stray mark finds nothing; doubled marks separate."""
-    return translation.matching_rows(translation.asked(asked(t.nodo, *QUOTED_BATCH)), t.traduko, t.trd_posts).selectExpr(*TRD.split(", "))
+    return translation.matching_rows(translation.asked(asked(t.nodo, *QUOTED_BATCH)), t).selectExpr(*TRD.split(", "))
 
 
 TRD_NODES = dict(
@@ -302,7 +302,7 @@ TRD_NODES = dict(
 
 @query(sql("nodo traduko nodo_first", "SELECT 0 qid, mrk, art, kap, num, ord::INT ord FROM n", **TRD_NODES))
 def trans_nodes(t: Tables) -> DataFrame:
-    rows = translation.exact_rows(translation.asked(asked(t.nodo, ("in", "en"))), t.traduko, 50, True)
+    rows = translation.exact_rows(translation.asked(asked(t.nodo, ("in", "en"))), t, 50, True)
     return common.nodes_of(rows, t, 5).selectExpr(*NODES.split(", "))
 
 
@@ -371,7 +371,7 @@ def _wildcard(pattern: str) -> None:
     like = pattern.replace("*", "%")
 
     def run(t: Tables) -> DataFrame:
-        return wildcard.matching(t.nodo, pattern).select("mrk", "kap")
+        return wildcard.matching(t, pattern).select("mrk", "kap")
 
     run.__name__ = {"red*": "wildcard_prefix", "*rod": "wildcard_suffix", "*e*": "wildcard_infix", "r*d": "wildcard_both"}[pattern]
     query(sql("nodo", f"SELECT mrk, kap FROM nodo WHERE kap_norm LIKE '{like}'"))(run)
@@ -545,7 +545,7 @@ PHRASE = "SELECT a.rid, count(*) tf FROM posts a JOIN posts b ON a.rid = b.rid A
 
 def phrase(t: Tables, *texts: str) -> DataFrame:
     asked_for = words(t.nodo, *texts).withColumnRenamed("word", "text")
-    return fulltext.phrase_hits(asked_for, t.indexed().ekz_posts)
+    return fulltext.phrase_hits(asked_for, t, "ekz")
 
 
 @query(sql("posts", PHRASE))
@@ -555,7 +555,7 @@ def fts_phrase(t: Tables) -> DataFrame:
 
 @query(sql("posts", "SELECT rid, count(*) tf FROM posts WHERE starts_with(term, 'tion') GROUP BY rid"))
 def fts_prefix(t: Tables) -> DataFrame:
-    return fulltext.prefix_hits(words(t.nodo, "tion").withColumnRenamed("word", "text"), t.indexed().ekz_posts).select("rid", "tf")
+    return fulltext.prefix_hits(words(t.nodo, "tion").withColumnRenamed("word", "text"), t, "ekz").select("rid", "tf")
 
 
 STATS = "SELECT count(*) n_docs, avg(dl) avgdl FROM dl"
@@ -578,12 +578,12 @@ def bm25_sql(hits: str) -> dict[str, str]:
 
 @query(sql("dl", "SELECT rid, round(rank, 9) AS rank FROM ranks", **bm25_sql("SELECT rid, count(*) tf FROM posts WHERE term = 'the' GROUP BY rid")))
 def examples_bm25(t: Tables) -> DataFrame:
-    return fulltext.bm25(phrase(t, "the"), t.indexed().ekz_lengths).select("rid", F.round("rank", 9).alias("rank"))
+    return fulltext.bm25(phrase(t, "the"), t.indexed().ekz_stats).select("rid", F.round("rank", 9).alias("rank"))
 
 
 @query(sql("dl", "SELECT rid, round(rank, 9) AS rank FROM ranks", **bm25_sql(PHRASE)))
 def examples_phrase(t: Tables) -> DataFrame:
-    return fulltext.bm25(phrase(t, "in the"), t.indexed().ekz_lengths).select("rid", F.round("rank", 9).alias("rank"))
+    return fulltext.bm25(phrase(t, "in the"), t.indexed().ekz_stats).select("rid", F.round("rank", 9).alias("rank"))
 
 
 @query(sql("ekzemplo nodo_first", "SELECT e.rid, coalesce(f.kap, e.drv_mrk) headword, coalesce(g.kap, e.sense_mrk) sense_head FROM ekzemplo e LEFT JOIN nodo_first f ON f.mrk = e.drv_mrk LEFT JOIN nodo_first g ON g.mrk = e.sense_mrk"))
@@ -617,8 +617,8 @@ BY_PREFIX = bm25_sql("SELECT rid, count(*) tf FROM posts WHERE starts_with(term,
 
 @query(sql("dl", "SELECT 1 qid, 'example-stem:tion' matched_via, count(*) n, round(sum(rank), 6) total FROM best", **BY_PREFIX))
 def examples_by_stem(t: Tables) -> DataFrame:
-    hits = fulltext.prefix_hits(words(t.nodo, "x", "tion").where("qid = 1").withColumnRenamed("word", "text"), t.indexed().ekz_posts)
-    ranks = common.top(fulltext.bm25(hits, t.indexed().ekz_lengths), 20, F.round("rank", 9), "rid")
+    hits = fulltext.prefix_hits(words(t.nodo, "x", "tion").where("qid = 1").withColumnRenamed("word", "text"), t, "ekz")
+    ranks = common.top(fulltext.bm25(hits, t.indexed().ekz_stats), 20, F.round("rank", 9), "rid")
     return ranks.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("rank"), 6).alias("total")).select("qid", F.lit("example-stem:tion").alias("matched_via"), "n", "total")
 
 
@@ -649,10 +649,10 @@ def articles(t: Tables) -> DataFrame:
         F.lit('<dt id="'), "mrk", F.lit('">'), "num", F.lit('.</dt>\n<dd><span class="dif">'), "kap", F.lit(' <span class="fntref">9</span>&amp; more <i class="ekz">A  '), "kap",
         F.lit(' &amp; <b class="nom">name</b></i></span><abbr class="uzo"> '), "num", F.lit(" </abbr></dd>"),
     )
-    drvs = t.nodo.groupBy("art", "drv_mrk").agg(F.array_sort(F.collect_list(F.struct("rid", sense.alias("html")))).alias("own"))
+    drvs = t.nodo.groupBy("art", "drv_mrk").agg(F.array_sort(F.collect_list(F.struct("rid", sense.alias("html")))).alias("own"), F.min("rid").alias("rid"))
     body = F.concat(F.lit('<section class="x drv"><h2 id="'), "drv_mrk", F.lit('"> the '), "drv_mrk", F.lit("\n</h2><dl>"), F.array_join(F.transform("own", lambda x: x["html"]), ""), F.lit("</dl></section>"))
-    arts = drvs.groupBy("art").agg(F.array_sort(F.collect_list(F.struct("drv_mrk", body.alias("html")))).alias("own"))
-    return arts.select(F.col("art").alias("mrk"), F.array_join(F.transform("own", lambda x: x["html"]), "\n").alias("txt"))
+    arts = drvs.groupBy("art").agg(F.array_sort(F.collect_list(F.struct("drv_mrk", body.alias("html")))).alias("own"), F.min("rid").alias("rid"))
+    return arts.select(F.col("art").alias("mrk"), F.array_join(F.transform("own", lambda x: x["html"]), "\n").alias("txt"), "rid")
 
 
 @query(sql("nodo", "SELECT art, drv_mrk mrk, 'the ' || drv_mrk headword, count(*) n FROM nodo GROUP BY art, drv_mrk"))
@@ -723,6 +723,28 @@ def render_lookup(t: Tables) -> DataFrame:
     return render.render_results(queries, Lexicon(t.nodo.sparkSession, t).lookup(queries))
 
 
+def with_qid(requests: list[DataFrame]) -> DataFrame:
+    """Requests, each asked for itself, numbered from 0."""
+    out = None
+    for i, one in enumerate(requests):
+        one = one.select(F.lit(i).alias("qid"), "md")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+REQUESTS = "SELECT qid, coalesce(string_agg(s, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos), CASE WHEN w = 'zzz' THEN 'No results found.' END) md FROM ws LEFT JOIN one USING (qid) GROUP BY qid, w"
+
+
+@query(sql("nodo var rules traduko referenco uzo nodo_first", REQUESTS, **LOOKUP_MD))
+def request_lookup(t: Tables) -> DataFrame:
+    """The same lookups through the dispatcher, each a request of its own whose tiers run until one has rows."""
+    found = materialise(html.extracted(articles(t)), "request-articles")
+    t.senses = html.senses_in(found)
+    t.copies = {k: c for k, c in t.copies.items() if k[0] != "senses"}
+    lex = Lexicon(t.nodo.sparkSession, t)
+    return with_qid([lex.request(q) for q in BATCH])
+
+
 WILDCARD_MD = """SELECT 'Found ' || (SELECT count(DISTINCT kap) FROM nodo WHERE kap_norm LIKE '%r%') || ' Esperanto headwords matching `*r*` (gloss: Angla) (showing 6–25 of ' ||
     (SELECT count(DISTINCT kap) FROM nodo WHERE kap_norm LIKE '%r%') || ').' || chr(10) || chr(10) ||
     string_agg(CASE WHEN n > 0 THEN '- **' || kap || '** — ' || glosses ELSE '- **' || kap || '**' END, chr(10) ORDER BY ord) || chr(10) || chr(10) ||
@@ -735,6 +757,26 @@ def render_wildcard(t: Tables) -> DataFrame:
     return render.render_wildcard(wildcard.lookup_compact(t, "*r*", "en", 20, 5), wildcard.total(t, "*r*"), "*r*", "en", 5)
 
 
+REQUEST_PAGE = "SELECT kap, min(mrk) mrk, row_number() OVER (ORDER BY length(kap), kap)::INT - 3 ord FROM nodo WHERE kap_norm LIKE '%r%d%' GROUP BY kap QUALIFY ord BETWEEN 1 AND 100"
+REQUEST_MD = """SELECT 0 qid, 'Found ' || total || ' Esperanto headword' || CASE WHEN total = 1 THEN '' ELSE 's' END || ' matching `*r*d*` (gloss: Franca) (showing 4–' || least(103, total) || ' of ' || total || ').' || chr(10) || chr(10) ||
+    string_agg(CASE WHEN n > 0 THEN '- **' || kap || '** — ' || glosses ELSE '- **' || kap || '**' END, chr(10) ORDER BY ord) || chr(10) || chr(10) ||
+    CASE WHEN total > 103 THEN '_More results available. Call lookup again with `offset: 103` to get the next page._' || chr(10) ELSE '' END ||
+    '_Call `lookup` on any headword (without `*`) for full definition and translations._' md FROM g, (SELECT count(DISTINCT kap) total FROM nodo WHERE kap_norm LIKE '%r%d%') GROUP BY total"""
+
+
+@query(sql("nodo traduko", REQUEST_MD, p=REQUEST_PAGE, g=GLOSSED.replace("'en'", "'fr'")))
+def request_wildcard(t: Tables) -> DataFrame:
+    """A wildcard through the dispatcher: a limit of 5 means 100."""
+    return with_qid([Lexicon(t.nodo.sparkSession, t).request("*r*d*", show_languages=["fr"], limit=5, offset=3)])
+
+
+@query(sql("nodo traduko", "SELECT qid, kap, mrk, ord FROM p", p=" UNION ALL ".join(f"SELECT * FROM (SELECT {i} qid, kap, min(mrk) mrk, row_number() OVER (ORDER BY length(kap), kap)::INT - 2 ord FROM nodo WHERE kap_norm LIKE '{like}' GROUP BY kap QUALIFY ord BETWEEN 1 AND 10)" for i, like in enumerate(("red%", "%rod", "r%d", "%e%", "%_d%r%", "%")))))
+def wildcard_batch(t: Tables) -> DataFrame:
+    """Pages of many patterns at once, by the permuterm index."""
+    patterns = t.nodo.sparkSession.createDataFrame(list(enumerate(("red*", "*rod", "r*d", "*e*", "*_d*r*", "*"))), "qid int, pattern string")
+    return wildcard.pages(patterns, t, 10, 2)
+
+
 EXAMPLES_MD = dict(
     EXAMPLE_HITS,
     q="SELECT * FROM (VALUES (0, 'in the'), (1, 'tionojn'), (2, 'zzzz')) q(qid, q)",
@@ -792,19 +834,20 @@ FAULTS = dict(
     f="SELECT kap_norm, arg_min(drv_mrk, o) drv, arg_min(art, o) art FROM (SELECT *, lpad(length(mrk)::VARCHAR, 6, '0') || lpad(rid::VARCHAR, 12, '0') o FROM nodo) GROUP BY kap_norm",
     ends="SELECT min(art) broken, max(art) bare FROM nodo",
     s="""SELECT n.kap, n.art, n.mrk, CASE WHEN trim(n.kap) = '' THEN 'empty' WHEN f.art = broken THEN 'crash' WHEN f.art = bare THEN 'no-senses' ELSE 'ok' END kind,
-      CASE WHEN f.art = broken THEN 'ValueError: nested more than 10000 levels deep' END message FROM n2 n LEFT JOIN f USING (kap_norm), ends""",
+      CASE WHEN f.art = broken THEN 'AssertionError: unknown status keyword ''x '' in marked section' END message FROM n2 n LEFT JOIN f USING (kap_norm), ends""",
 )
 
 
 def faulty(t: Tables) -> Tables:
-    """The lexicon with a blank headword, an article that nests too deeply (the first), and one without senses and
+    """The lexicon with a blank headword, an article with a marked section that no parser knows (the first), and one without senses and
     translations (the last)."""
     first, last = t.nodo.agg(F.min("art"), F.max("art")).first()
     written = articles(t)
-    text = F.when(F.col("mrk") == first, F.concat(F.repeat(F.lit("<div>"), 10_001), "txt")).when(F.col("mrk") == last, "").otherwise(F.col("txt"))
-    pages = written.select("mrk", text.alias("txt"))
+    text = F.when(F.col("mrk") == first, F.concat(F.lit("<![x y]>"), "txt")).when(F.col("mrk") == last, "").otherwise(F.col("txt"))
+    found = materialise(html.extracted(written.select("mrk", "rid", text.alias("txt"))), "faulty-articles")
     blank = t.nodo.sparkSession.createDataFrame([("blank.0.-1", "blank", " ", "1", -1)], "mrk string, art string, kap string, num string, rid bigint")
-    return replace(t, nodo=t.nodo.unionByName(with_keys("nodo", blank)), traduko=t.traduko.where(F.col("root_mrk") != last), senses=html.parse_senses(pages), failures=html.failures(pages))
+    changed = {k: c for k, c in t.copies.items() if k[0] not in ("nodo", "traduko", "senses", "rotations")}
+    return replace(t, copies=changed, rotations=None, heads=None, nodo=t.nodo.unionByName(with_keys("nodo", blank)), traduko=t.traduko.where(F.col("root_mrk") != last), senses=html.senses_in(found), failures=html.failures_in(found))
 
 
 def rendered(t: Tables) -> DataFrame:

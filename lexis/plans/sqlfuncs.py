@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from ..functions.fold import TOKEN_BREAK, fold_table
 from ..functions.stems import rules
 from ..functions.text import BLANKS, LOWER, UPPER, x_pairs
-from ..operators.fulltext import K1, LEAST_IDF, B
+from ..operators.fulltext import K1, LEAST_IDF, B, posts_of
 from ..sources.lexicon import Tables
 
 VIEWS = ("nodo", "var", "traduko", "artikolo", "ekzemplo", "first", "trd_posts", "ekz_posts", "ekz_lengths", "ekz_stats")
@@ -161,7 +161,8 @@ FUNCTIONS = (
 def register(spark: SparkSession, tables: Tables) -> None:
     """Make the views and functions known to this session."""
     indexed = tables.indexed()
+    posts = {"trd_posts": posts_of(indexed.trd_blocks), "ekz_posts": posts_of(indexed.ekz_blocks)}
     for name in VIEWS:
-        getattr(indexed, name).createOrReplaceTempView(f"lexis_{name}")
+        (posts[name] if name in posts else getattr(indexed, name)).createOrReplaceTempView(f"lexis_{name}")
     for sql in FUNCTIONS:
         spark.sql(sql)

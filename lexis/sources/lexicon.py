@@ -1,28 +1,41 @@
 """The tables of a lexicon, and their derived keys."""
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import ascii_fold, drv_key, root_key
+from . import covering
+from .covering import Copy, read_copy, read_manifest, write_copy, write_manifest
 
 #: Columns of the stored tables. `rid` orders rows as they were ingested.
 SCHEMAS = {
     "nodo": "mrk string, art string, kap string, num string, rid bigint",
     "var": "mrk string, kap string, rid bigint",
     "traduko": "mrk string, lng string, trd string, rid bigint",
-    "artikolo": "mrk string, txt string",
+    "artikolo": "mrk string, txt string, rid bigint",
     "referenco": "mrk string, cel string, tip string, rid bigint",
     "uzo": "mrk string, uzo string, rid bigint",
     "ekzemplo": "art string, drv_mrk string, sense_mrk string, ekz_md string, position int, rid bigint",
 }
 
 
-#: What is stored, and by which columns it is sorted.
-STORED = {
-    "nodo": ("kap_norm",), "var": ("kap_norm",), "traduko": ("lng", "trd_fold"), "referenco": ("drv_mrk",), "uzo": ("drv_mrk",), "ekzemplo": ("drv_mrk",), "artikolo": ("mrk",),
-    "senses": ("art",), "failures": ("art",), "first": ("mrk",), "trd_grams": ("lng", "gram"), "trd_posts": ("term",), "ekz_posts": ("term",), "ekz_lengths": ("rid",), "ekz_stats": ("n_docs",),
+#: What is stored as it comes in, and what is derived from the stored tables.
+BASE = ("nodo", "var", "traduko", "referenco", "uzo", "ekzemplo", "artikolo", "senses", "failures")
+DERIVED = ("first", "rotations", "trd_grams", "kap_terms", "kap_blocks", "trd_terms", "trd_blocks", "ekz_terms", "ekz_blocks", "ekz_lengths", "ekz_stats", "heads")
+#: The covering copies: of a table, by a key. Derived tables that are only met by one key are stored as its copy alone.
+COPIES = {
+    "nodo": ("kap_norm", "mrk", "art"), "var": ("kap_norm",), "traduko": ("trd_fold", "drv_mrk", "rid"), "referenco": ("drv_mrk",), "uzo": ("drv_mrk",), "ekzemplo": ("rid",), "senses": ("art",),
+    "first": ("mrk",), "rotations": ("head",), "trd_grams": ("gram",), "kap_terms": ("head",), "kap_blocks": ("term",), "trd_terms": ("head",), "trd_blocks": ("term",),
+    "ekz_terms": ("head",), "ekz_blocks": ("term",),
+}
+#: About how many rows a derived table has for each row of a table that comes in, which sets the buckets of its copy.
+GROWTH = {
+    "first": ("nodo", 1.0), "rotations": ("nodo", 12.0), "trd_grams": ("traduko", 6.0), "kap_terms": ("nodo", 0.5), "kap_blocks": ("nodo", 1.0), "trd_terms": ("traduko", 0.1), "trd_blocks": ("traduko", 0.5),
+    "ekz_terms": ("ekzemplo", 0.5), "ekz_blocks": ("ekzemplo", 2.0),
 }
 
 
@@ -42,9 +55,10 @@ class Tables:
     """The tables as DataFrames with keys.
 
     Optional ones are built when data comes in: `senses` has the parsed articles (`art`, `key`, `senses`), `failures`
-    (`art`, `error`) those that could not be parsed, `first` the
-    first node of each key, `trd_grams` the three-character pieces of translations, the others the inverted indexes of
-    translations and examples. Where one is missing, searches make it as they go.
+    (`art`, `error`) those that could not be parsed, `first` the first node of each key, `rotations` those of headwords,
+    `heads` their and the dictionaries' first characters, `trd_grams` the three-character pieces of translations; the others are the inverted
+    indexes of headwords, translations and examples. Where one is missing, searches make it as they go. `copies` has the
+    covering copies, by table and key, `sizes` the rows of tables as they are stored.
     """
 
     nodo: DataFrame
@@ -57,11 +71,19 @@ class Tables:
     senses: DataFrame | None = None
     failures: DataFrame | None = None
     first: DataFrame | None = None
+    rotations: DataFrame | None = None
     trd_grams: DataFrame | None = None
-    trd_posts: DataFrame | None = None
-    ekz_posts: DataFrame | None = None
+    kap_terms: DataFrame | None = None
+    kap_blocks: DataFrame | None = None
+    trd_terms: DataFrame | None = None
+    trd_blocks: DataFrame | None = None
+    ekz_terms: DataFrame | None = None
+    ekz_blocks: DataFrame | None = None
     ekz_lengths: DataFrame | None = None
     ekz_stats: DataFrame | None = None
+    heads: DataFrame | None = None
+    copies: dict[tuple[str, str], Copy] = field(default_factory=dict)
+    sizes: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def of(cls, **frames: DataFrame) -> "Tables":
@@ -75,25 +97,84 @@ class Tables:
         first = F.min_by(F.struct("art", "kap", "num", "rid"), "rid").alias("n")
         return self.nodo.groupBy("mrk").agg(first).select("mrk", "n.*")
 
-    def indexed(self) -> "Tables":
-        """The tables with the inverted indexes that they lack."""
-        from ..operators.fulltext import corpus_stats, grams, lengths, postings
+    def near(self, name: str, key: str, wanted: DataFrame, column: str) -> DataFrame:
+        """Of a table the rows that can have a key which the batch has in `column`: by a covering copy, or else all."""
+        copy = self.copies.get((name, key))
+        if copy is not None:
+            return copy.near(wanted, column)
+        return self.nodo_first if name == "first" else getattr(self.indexed() if getattr(self, name) is None else self, name)
 
-        own_lengths = self.ekz_lengths or lengths(self.ekzemplo, "ekz_md")
-        return replace(
-            self, first=self.nodo_first, trd_grams=self.trd_grams or grams(self.traduko, "trd_fold"), trd_posts=self.trd_posts or postings(self.traduko, "trd"), ekz_posts=self.ekz_posts or postings(self.ekzemplo, "ekz_md"),
-            ekz_lengths=own_lengths, ekz_stats=self.ekz_stats or corpus_stats(own_lengths),
-        )
+    def indexed(self) -> "Tables":
+        """The tables with the derived ones that they lack."""
+        made = {name: make(self) for name, make in _derivations().items() if getattr(self, name) is None}
+        return replace(self, **made) if made else self
 
     def write(self, folder: str) -> None:
-        """Store the tables as Parquet, range-sorted by the columns that searches use, so that row groups are skipped."""
-        for name, keys in STORED.items():
-            if (df := getattr(self, name)) is not None:
-                df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{folder}/{name}")
+        """Store the tables, then what is derived from the stored ones, then the covering copies, then the list of them all.
+
+        Every table is computed once: what is derived reads files. Readers see the new tables when all are written.
+        """
+        spark = self.nodo.sparkSession
+        listed: dict = {"tables": {}, "copies": []}
+        sizes: dict[str, int] = {}
+
+        def keep(name: str, df: DataFrame) -> DataFrame:
+            """Store a table and its copies, if it is large enough; a derived table that has a copy is that copy alone."""
+            path, schema = f"{folder}/{name}", df.schema
+            if name in GROWTH:
+                of, times = GROWTH[name]
+                sizes[name] = int(times * sizes[of])
+            if name not in GROWTH or sizes[name] < covering.WORTH:
+                df.write.mode("overwrite").parquet(path)
+                df = spark.read.schema(schema).parquet(path)
+                listed["tables"][name] = schema.jsonValue()
+            if name not in GROWTH:
+                sizes[name] = df.count() if name in COPIES else 0
+            for key in COPIES.get(name, ()) if sizes[name] >= covering.WORTH else ():
+                buckets = write_copy(df, key, f"{path}.{key}", sizes[name])
+                listed["copies"].append([name, key, buckets, schema.jsonValue()])
+                if name in GROWTH:
+                    df = read_copy(spark, f"{path}.{key}", schema, key, buckets).frame.drop("bucket")
+            return df
+
+        stored = {name: keep(name, df) for name in BASE if (df := getattr(self, name)) is not None}
+        own = replace(self, **stored, copies={}, sizes=sizes, **dict.fromkeys(DERIVED))
+        for name, make in _derivations().items():
+            setattr(own, name, keep(name, make(own)))
+        write_manifest(spark, f"{folder}/tables.json", listed)
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> "Tables":
-        """The tables of a folder; what was not stored is None."""
-        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        there = {f.getPath().getName() for f in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)}
-        return cls(**{n: spark.read.parquet(f"{folder}/{n}") for n in STORED if n in there})
+        """The tables of a folder; what was not stored is None. No file is opened but the list of tables."""
+        listed = read_manifest(spark, f"{folder}/tables.json")
+        if listed is None:
+            raise ValueError(f"no lexicon is stored in {folder}")
+        frames = {n: spark.read.schema(StructType.fromJson(schema)).parquet(f"{folder}/{n}") for n, schema in listed["tables"].items()}
+        copies = {(n, key): read_copy(spark, f"{folder}/{n}.{key}", StructType.fromJson(schema), key, buckets) for n, key, buckets, schema in listed["copies"]}
+        alone = {n: copy.frame.drop("bucket") for (n, _), copy in copies.items() if n not in frames}
+        return cls(**frames, **alone, copies=copies)
+
+
+def _derivations() -> dict[str, Callable[[Tables], DataFrame]]:
+    """How each derived table is made from the others, in this order."""
+    from ..operators import fulltext as ft
+    from ..operators import permuterm
+
+    made: dict[str, Callable[[Tables], DataFrame]] = {
+        "first": lambda t: t.nodo_first,
+        "rotations": lambda t: permuterm.rotations(t.nodo, t.var),
+        "trd_grams": lambda t: ft.grams(t.traduko, "trd_fold"),
+        "ekz_lengths": lambda t: ft.lengths(t.ekzemplo, "ekz_md"),
+        "ekz_stats": lambda t: ft.corpus_stats(t.ekz_lengths if t.ekz_lengths is not None else ft.lengths(t.ekzemplo, "ekz_md")),
+        "kap_blocks": lambda t: ft.blocks(t.nodo.select("kap_norm").unionByName(t.var.select("kap_norm")).distinct().withColumn("rid", F.col("kap_norm")), "kap_norm", t.sizes.get("nodo", 0)),
+        "trd_blocks": lambda t: ft.blocks(t.traduko, "trd", t.sizes.get("traduko", 0)),
+        "ekz_blocks": lambda t: ft.blocks(t.ekzemplo, "ekz_md", t.sizes.get("ekzemplo", 0)),
+    }
+
+    def own(t: Tables, name: str) -> DataFrame:
+        return getattr(t, name) if getattr(t, name) is not None else made[name](t)
+
+    for name in ("kap", "trd", "ekz"):
+        made[f"{name}_terms"] = lambda t, name=name: ft.terms(own(t, f"{name}_blocks"))
+    made["heads"] = lambda t: ft.heads({name: own(t, name) for name in ("rotations", "kap_terms", "ekz_terms")})
+    return made

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..shared import materialise
 from .lexicon import SCHEMAS, Tables
 
 
@@ -54,7 +55,7 @@ class SQLiteSource(DataSource):
 
 def read_lexicon(spark: SparkSession, path: str, parts: int = 8) -> Tables:
     """All tables of a lexicon file, with keys; `ekzemplo` is built from the articles if the file has none."""
-    from ..operators.html import build_examples, failures, parse_senses
+    from ..operators.html import examples_in, extracted, failures_in, senses_in
 
     spark.dataSource.register(SQLiteSource)
 
@@ -62,5 +63,6 @@ def read_lexicon(spark: SparkSession, path: str, parts: int = 8) -> Tables:
         return spark.read.format("lexis_sqlite").option("path", path).option("dbtable", name).option("numPartitions", parts).load()
 
     articles = read("artikolo")
+    found = materialise(extracted(articles), "articles")
     frames = {n: read(n) for n in ("nodo", "var", "traduko", "referenco", "uzo")}
-    return Tables.of(**frames, artikolo=articles, ekzemplo=build_examples(articles), senses=parse_senses(articles), failures=failures(articles)).indexed()
+    return Tables.of(**frames, artikolo=articles, ekzemplo=examples_in(found), senses=senses_in(found), failures=failures_in(found))

@@ -1,5 +1,7 @@
 """A lexicon made from the driver's tables: parts are headwords, document tokens translations, and so on."""
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +66,13 @@ def ekzemplo(spark: SparkSession, sf_dir: str, nodo: DataFrame) -> DataFrame:
 
 
 def artikolo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("mrk"), F.col("html").alias("txt"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("mrk"), F.col("html").alias("txt"), F.col("page_id").cast("bigint").alias("rid"))
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> Tables:
-    """The lexicon of a folder as it comes in, with its indexes; nothing is stored yet."""
+    """The lexicon of a folder as it comes in; nothing is stored yet."""
     heads = nodo(spark, sf_dir)
-    return Tables(heads, var(heads), traduko(spark, sf_dir, heads), referenco(spark, sf_dir, heads), uzo(spark, sf_dir, heads), ekzemplo(spark, sf_dir, heads), artikolo(spark, sf_dir)).indexed()
+    return Tables(heads, var(heads), traduko(spark, sf_dir, heads), referenco(spark, sf_dir, heads), uzo(spark, sf_dir, heads), ekzemplo(spark, sf_dir, heads), artikolo(spark, sf_dir))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -79,5 +81,8 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     if sf_dir not in stored:
         folder = new_path(spark, "lexicon")
         ingested(spark, sf_dir).write(folder)
-        stored[sf_dir] = folder
-    return Tables.read(spark, stored[sf_dir])
+        stored[sf_dir] = folder, Tables.read(spark, folder)
+    folder, read = stored[sf_dir]
+    if read.nodo.sparkSession is not spark:
+        read = Tables.read(spark, folder)
+    return replace(read)

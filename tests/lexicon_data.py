@@ -36,7 +36,7 @@ def tables(spark) -> Tables:
     def frame(rows, schema):
         return spark.createDataFrame([(*r, i) for i, r in enumerate(rows, 1)], schema + ", rid bigint")
 
-    articles = spark.createDataFrame(ARTIKOLO, "mrk string, txt string")
+    articles = frame(ARTIKOLO, "mrk string, txt string")
     return Tables.of(
         nodo=frame(NODO, "mrk string, art string, kap string, num string"), var=frame(VAR, "mrk string, kap string"), traduko=frame(TRADUKO, "mrk string, lng string, trd string"),
         referenco=frame(REFERENCO, "mrk string, cel string, tip string"), uzo=frame(UZO, "mrk string, uzo string"), artikolo=articles, ekzemplo=build_examples(articles).cache(), senses=parse_senses(articles).cache(),

@@ -75,7 +75,7 @@ def test_quotes(spark, t):
     words = translation.asked(ask(spark, 'read"a"book', 'read""a', 'r"ead', '"'))
     got = {(r.qid, r.phrase): r.text for r in translation.quoted_phrases(words).collect()}
     assert got == {(0, 0): "read", (0, 1): "a", (0, 2): "book", (1, 0): "read a"}
-    assert {r.qid for r in translation.matching_rows(words, t.traduko, t.indexed().trd_posts).collect()} == {0, 1}
+    assert {r.qid for r in translation.matching_rows(words, t).collect()} == {0, 1}
 
 
 def test_cap_before_language(spark, t):
