@@ -23,12 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import discard
-from .common import bitmap, bytes_of, materialise, new_path, own, pieces
+from .common import bitmap, bytes_of, inside, materialise, new_path, own, pieces
 
 #: Pairs in a perfect hash, counts in a block of an array, arrays that one step of a tree sums, ids that a task counts at once.
 SLICE, BLOCK, FAN, FLUSH = 1 << 19, 1 << 13, 32, 1 << 20
-#: Buckets (as a power of two) of the filter before the pairs of words.
-BUCKETS = 22
 #: Lower case; separators become line ends, tabs blanks. A lone full stop, which no word holds, then stands for a break.
 FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -201,20 +199,18 @@ def pairs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[:-1][both], ids[1:][both]
 
 
-def tree_sum(parts: DataFrame, width: int, kind: type, most: int | None = None) -> DataFrame:
+def tree_sum(parts: DataFrame) -> DataFrame:
     """Sum arrays (`slice`, `block`, `task`, `counts`) elementwise, FAN tasks at a time, until each block has one.
 
-    A group of a step holds the arrays of FAN tasks for a block of fixed width; sums stop at `most`, if given.
+    A group of a step holds the arrays of FAN tasks for a block of fixed width.
     """
     tasks = parts.agg(F.max("task")).first()[0] or 0
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.int64)
+        total = np.zeros(BLOCK, np.int64)
         for counts in rows["counts"]:
-            total += np.frombuffer(counts, kind)
-            if most is not None:
-                np.minimum(total, most, out=total)
-        return pd.DataFrame({"slice": [key[0]], "block": [key[1]], "task": [key[2]], "counts": [total.astype(kind).tobytes()]})
+            total += np.frombuffer(counts, np.int64)
+        return pd.DataFrame({"slice": [key[0]], "block": [key[1]], "task": [key[2]], "counts": [total.tobytes()]})
 
     while True:
         parts = parts.withColumn("task", F.floor(F.col("task") / FAN).cast("long")).groupBy("slice", "block", "task").applyInPandas(add, "slice int, block int, task long, counts binary")
@@ -226,50 +222,40 @@ def tree_sum(parts: DataFrame, width: int, kind: type, most: int | None = None)
 PARTS = "slice int, block int, task long, counts binary"
 
 
-def blocks(slice_: int, counts: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+def blocks(slice_: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The blocks of an array that are not all 0, as rows of PARTS."""
     task = TaskContext.get().partitionId()
-    for block, begin in enumerate(range(0, len(counts), width)):
-        part = counts[begin : begin + width]
+    for block, begin in enumerate(range(0, len(counts), BLOCK)):
+        part = counts[begin : begin + BLOCK]
         if part.any():
-            part = np.concatenate([part, np.zeros(width - len(part), part.dtype)])
+            part = np.concatenate([part, np.zeros(BLOCK - len(part), part.dtype)])
             yield pa.RecordBatch.from_arrays([pa.array([slice_], pa.int32()), pa.array([block], pa.int32()), pa.array([task], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["slice", "block", "task", "counts"])
 
 
-def likely(ids: DataFrame, least: int, bits: int) -> np.ndarray:
-    """Which of 2^bits buckets of hashed pairs of words hold `least` pairs or more: a pair of another cannot be frequent."""
+def likely(ids: DataFrame, least: int) -> np.ndarray:
+    """A bitmap of the hashes that `least` pairs of words or more have: a pair with another hash cannot be frequent.
+
+    Tasks add up equal hashes before they send them, so that no pair is common in what is exchanged.
+    """
 
     def count(batches):
         for flat in gathered(batches):
-            h = mixed(*pairs_of(flat)) >> np.uint64(64 - bits)
-            yield from blocks(0, np.minimum(np.bincount(h.astype(np.int64), minlength=1 << bits), least).astype(np.uint8), min(1 << 18, 1 << bits))
-
-    parts = materialise(ids.mapInArrow(count, PARTS), "phrase-buckets")
-    width = min(1 << 18, 1 << bits)
-    sums = tree_sum(parts, width, np.uint8, least)
+            h, n = np.unique(mixed(*pairs_of(flat)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
 
-    @F.arrow_udf("binary")
-    def full(counts: pa.Array) -> pa.Array:
-        return pa.array([np.packbits(np.frombuffer(c, np.uint8) >= least).tobytes() for c in counts.to_pylist()], pa.binary())
-
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in sums.select("block", full("counts").alias("bits")).collect():  # 2^bits bits, whatever the input
-        out[r.block * width // 8 : (r.block + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
-    discard(parts)
-    return out
+    return bitmap(ids.mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
 
 
-def candidates(ids: DataFrame, buckets: np.ndarray | None, bits: int) -> DataFrame:
-    """Distinct neighbouring pairs of frequent ids (of full buckets), with the 16 bits that deal them to slices."""
-    filled = None if buckets is None else ids.sparkSession.sparkContext.broadcast(buckets)
+def candidates(ids: DataFrame, hashes: np.ndarray | None) -> DataFrame:
+    """Distinct neighbouring pairs of frequent ids (with a likely hash), with the 16 bits that deal them to slices."""
+    known = None if hashes is None else ids.sparkSession.sparkContext.broadcast(hashes)
 
     def pick(batches):
         for flat in gathered(batches):
             p, s = pairs_of(flat)
             h = mixed(p, s)
-            if filled is not None:
-                at = (h >> np.uint64(64 - bits)).astype(np.int64)
-                keep = (filled.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            if known is not None:
+                keep = inside(known.value, h)
                 p, s, h = p[keep], s[keep], h[keep]
             order = np.lexsort((s, p))
             p, s, h = p[order], s[order], h[order]
@@ -289,12 +275,12 @@ def counted(ids: DataFrame, uris: list[str], least: int) -> DataFrame:
             for i, _, slot in found(uris, *pairs_of(flat)):
                 if len(held) >= 4 and i not in held:
                     for j, counts in held.items():
-                        yield from blocks(j, counts, BLOCK)
+                        yield from blocks(j, counts)
                     held = {}
                 n = len(hash_at(uris[i]).p)
                 held[i] = held.get(i, 0) + np.bincount(slot, minlength=n)
         for j, counts in held.items():
-            yield from blocks(j, counts, BLOCK)
+            yield from blocks(j, counts)
 
     def frequent(batches):
         for b in batches:
@@ -305,7 +291,7 @@ def counted(ids: DataFrame, uris: list[str], least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.p[slot].view(np.int64)), pa.array(keys.s[slot].view(np.int64)), pa.array(f[at])], ["p", "s", "f"])
 
     parts = materialise(ids.mapInArrow(count, PARTS), "phrase-counts")
-    out = materialise(tree_sum(parts, BLOCK, np.int64).mapInArrow(frequent, "p long, s long, f long"), "phrase-frequent")
+    out = materialise(tree_sum(parts).mapInArrow(frequent, "p long, s long, f long"), "phrase-frequent")
     discard(parts)
     return out
 
@@ -425,7 +411,7 @@ def scored(phrases: DataFrame) -> DataFrame:
     return phrases.withColumn("cut", cut("a", "n", "heads", "tails")).select("lang", "phrase", "a", F.col("cut")["l"].alias("l"), F.col("cut")["r"].alias("r"), "n", F.col("cut")["score"].alias("score"))
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int | None = 2000, text_col: str = "text", lang_col: str = "lang", bits: int = BUCKETS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int | None = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Phrases of 2 to `longest` words by language: `lang`, `rank`, `phrase`, `a`, `l`, `r`, `n`, `score`.
 
     A null language is `und`. Null, empty and blank texts have no words; long ones are counted whole, repeated rows each;
@@ -435,8 +421,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
     No text is exchanged: tasks exchange counts of words, distinct candidates and arrays of counts. A task's memory is
     bounded by FLUSH ids and one perfect hash of SLICE pairs; candidates beyond that are more slices, which a task goes
     through in turn. Of the pairs of frequent words, whose number grows fastest, only those are candidates whose
-    bucket of 2^bits holds `least` pairs; where buckets are too few for the input, more candidates are counted, with
-    the same result.
+    hash `least` pairs have; a bitmap of fixed size says so, and lets a few others pass, which are counted in vain.
     """
     rows = docs.select(lang_of(docs, lang_col).alias("lang"), own(docs, text_col).cast("string").alias("text"))
     words = materialise(word_counts(rows), "phrase-words")
@@ -448,7 +433,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
     level = frequent.select("id", "lang", F.array("word").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels: list[DataFrame] = []
     for k in range(2, longest + 1):
-        pairs = materialise(candidates(ids, likely(ids, least, bits) if k == 2 else None, bits), "phrase-candidates")
+        pairs = materialise(candidates(ids, likely(ids, least) if k == 2 else None), "phrase-candidates")
         kept = counted(ids, perfect(pairs), least)
         uris = perfect(with_cells(kept))
         first, last = (level.select(*[F.col(c).alias(f"{side}_{c}") for c in level.columns]) for side in ("first", "last"))

@@ -57,7 +57,7 @@ def texts(seed, n=60):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_brute_force(spark, seed):
     rows = texts(seed) + [(900, None, "en", "s", 0), (901, "", None, "s", 0), (902, " . \t\n", "en", "s", 0)]
-    assert result(phrases.collocations(frame(spark, rows, extra=True).repartition(5), least=8, bits=10)) == brute(rows, 8)
+    assert result(phrases.collocations(frame(spark, rows, extra=True).repartition(5), least=8)) == brute(rows, 8)
 
 
 def test_messy_and_empty(spark):
@@ -67,10 +67,11 @@ def test_messy_and_empty(spark):
     assert result(phrases.collocations(frame(spark, texts(3, 2)))) == []  # nothing occurs often enough
 
 
-def test_few_buckets_and_slices_change_nothing(spark, monkeypatch):
+def test_full_bitmap_and_slices_change_nothing(spark, monkeypatch):
     rows = texts(4)
     wanted = brute(rows, 6)
-    assert result(phrases.collocations(frame(spark, rows), least=6, bits=3)) == wanted  # every bucket is full
+    monkeypatch.setattr(phrases, "likely", lambda ids, least: np.full(1 << 20, 2**64 - 1, np.uint64))
+    assert result(phrases.collocations(frame(spark, rows), least=6)) == wanted
     monkeypatch.setattr(phrases, "SLICE", 50)  # many slices
     assert len(phrases.perfect(phrases.with_cells(spark.range(500).select(F.col("id").alias("p"), (F.col("id") % 7 + 1).alias("s"))))) == 10
     assert result(phrases.collocations(frame(spark, rows).repartition(4), least=6)) == wanted
@@ -111,5 +112,5 @@ def test_tree_sum_over_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(phrases, "FAN", 3)
     one = np.arange(phrases.BLOCK, dtype=np.int64)
     parts = spark.createDataFrame([(0, b, t, (one * (b + 1)).tobytes()) for b in range(2) for t in range(20)], phrases.PARTS)
-    got = {r.block: np.frombuffer(r["counts"], np.int64) for r in phrases.tree_sum(parts, phrases.BLOCK, np.int64).collect()}
+    got = {r.block: np.frombuffer(r["counts"], np.int64) for r in phrases.tree_sum(parts).collect()}
     assert (got[0] == 20 * one).all() and (got[1] == 40 * one).all()
