@@ -11,7 +11,8 @@ from __future__ import annotations
 import pickle
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -19,14 +20,16 @@ import pyarrow as pa
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import discard
 from .common import bitmap, bytes_of, inside, materialise, new_path, own, pieces
 
 #: Pairs in a perfect hash, counts in a block of an array, arrays that one step of a tree sums, ids that a task counts at once.
-SLICE, BLOCK, FAN, FLUSH = 1 << 19, 1 << 13, 32, 1 << 20
+SLICE, BLOCK, FAN, FLUSH = 1 << 19, 1 << 13, 32, 1 << 19
+#: Rows that Spark hands to a task's Python at once, of texts or of up to 4096 ids (or one piece of text).
+ROWS = 500
 #: Lower case; separators become line ends, tabs blanks. A lone full stop, which no word holds, then stands for a break.
 FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -169,7 +172,7 @@ def runs(ids: np.ndarray) -> np.ndarray:
     return np.insert(out, np.searchsorted(at, np.flatnonzero(ends), "right"), np.uint64(0))
 
 
-def rows_of(ids: np.ndarray, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+def rows_of(ids: np.ndarray, most: int = 1 << 12) -> Iterator[pa.RecordBatch]:
     """Rows of about `most` ids, cut at a 0 only."""
     zeros, begin = np.flatnonzero(ids == 0), 0
     while begin < len(ids):
@@ -423,7 +426,24 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
     through in turn. Of the pairs of frequent words, whose number grows fastest, only those are candidates whose
     hash `least` pairs have; a bitmap of fixed size says so, and lets a few others pass, which are counted in vain.
     """
-    rows = docs.select(lang_of(docs, lang_col).alias("lang"), own(docs, text_col).cast("string").alias("text"))
+    with small_batches(docs.sparkSession):
+        return best(*counted_levels(docs.select(lang_of(docs, lang_col).alias("lang"), own(docs, text_col).cast("string").alias("text")), least, longest), most)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """ROWS a batch while the levels are counted, which is done when this ends."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def counted_levels(rows: DataFrame, least: int, longest: int) -> tuple[list[DataFrame], DataFrame]:
+    """The frequent phrases of each length, and the words of each language, from `lang` and `text`; all are stored."""
     words = materialise(word_counts(rows), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     salt = unmistakable(words, least)
@@ -451,7 +471,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
         discard(pairs)
         discard(kept)
     discard(ids)
-    return best(levels, totals, most)
+    return levels, totals
 
 
 def with_cells(pairs: DataFrame) -> DataFrame:
