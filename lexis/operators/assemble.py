@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.lexicon import Tables
-from .common import subtree_of
+from .common import kept, subtree_of
 from .html import SENSE
 
 EMPTY = {
@@ -27,8 +27,8 @@ def translations(results: DataFrame, tables: Tables) -> DataFrame:
 
 def cross_refs(results: DataFrame, tables: Tables) -> DataFrame:
     """`drv`, `cross_refs`: targets with the headword of their first node, or none."""
-    refs = subtree_of(_keys(results), tables, "referenco").select("drv", "cel", "tip", "rid")
-    heads = tables.near("first", "mrk", refs, "cel").select(F.col("mrk").alias("head_mrk"), F.col("kap").alias("target_kap"))
+    refs = kept(subtree_of(_keys(results), tables, "referenco").select("drv", "cel", "tip", "rid"))
+    heads = tables.near("first", "mrk", refs, "cel", settled=True).select(F.col("mrk").alias("head_mrk"), F.col("kap").alias("target_kap"))
     rows = refs.join(heads, F.col("cel") == F.col("head_mrk"), "left")
     ordered = F.array_sort(F.collect_list(F.struct("rid", "cel", "tip", "target_kap")))
     named = F.transform(ordered, lambda x: F.struct(x["cel"].alias("target"), x["tip"].alias("type"), x["target_kap"].alias("target_kap")))
@@ -44,12 +44,13 @@ def usage_domains(results: DataFrame, tables: Tables) -> DataFrame:
 def senses(results: DataFrame, tables: Tables) -> DataFrame:
     """`article`, `drv`, `senses` from the parsed articles."""
     keys = results.select("article", F.col("mrk").alias("drv")).distinct()
-    parsed = tables.near("senses", "art", keys, "article").select(F.col("art").alias("article"), F.col("key").alias("drv"), "senses")
+    parsed = tables.near("senses", "art", keys, "article", settled=True).select(F.col("art").alias("article"), F.col("key").alias("drv"), "senses")
     return parsed.join(keys, ["article", "drv"], "left_semi")
 
 
 def assemble(results: DataFrame, tables: Tables) -> DataFrame:
     """Complete results (`qid`, `pos`, `headword`, `article`, `mrk`, `matched_via`); missing parts are empty lists."""
+    results = kept(results)
     own = results.withColumn("drv", F.col("mrk"))
     for part in (translations, cross_refs, usage_domains):
         own = own.join(part(results, tables), "drv", "left")

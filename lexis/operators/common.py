@@ -9,6 +9,24 @@ from ..functions.text import drv_key
 from ..sources.lexicon import Tables
 
 
+_KEPT: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A step of a search on which several others build, kept in Spark's cache: it has some rows for each query of a batch.
+
+    What an executor takes with it is computed again. `release` gives all of them up.
+    """
+    _KEPT.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Give up the steps of all searches so far; their results, read again, would be computed anew."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def ranked(df: DataFrame, *order: Column | str, by: tuple[str, ...] = ("qid",), name: str = "ord") -> DataFrame:
     """Number the rows of each query from 1."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -35,7 +53,7 @@ def group_by_drv(hits: DataFrame, limit: int | Column) -> DataFrame:
 
 def subtree_of(keys: DataFrame, tables: Tables, name: str) -> DataFrame:
     """`subtree` of a stored table: the keys of derivations read their buckets of its copy by drv_mrk."""
-    return subtree(keys, getattr(tables, name), lambda own: tables.near(name, "drv_mrk", own, "drv"))
+    return subtree(keys, getattr(tables, name), lambda own: tables.near(name, "drv_mrk", own, "drv", settled=True))
 
 
 def subtree(keys: DataFrame, rows: DataFrame, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -53,5 +71,5 @@ def subtree(keys: DataFrame, rows: DataFrame, near: Callable[[DataFrame], DataFr
 def nodes_of(trds: DataFrame, tables: Tables, limit: int) -> DataFrame:
     """First nodes of the first `limit * 3` distinct keys of translation rows (`qid`, `mrk`, `ord`); keys without node drop."""
     firsts = trds.groupBy("qid", "mrk").agg(F.min("ord").alias("ord"))
-    keys = top(firsts, limit * 3, "ord", name="nth").select("qid", "mrk", "ord")
-    return keys.join(tables.near("first", "mrk", keys, "mrk"), "mrk")
+    keys = kept(top(firsts, limit * 3, "ord", name="nth").select("qid", "mrk", "ord"))
+    return keys.join(tables.near("first", "mrk", keys, "mrk", settled=True), "mrk")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import tokens
 from ..sources.lexicon import Tables
+from .common import kept
 
 #: Constants of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -77,17 +78,22 @@ def known_terms(asked: DataFrame, tables: Tables, name: str) -> DataFrame:
     found = headed.join(tables.near(f"{name}_terms", "head", headed, "head").select("term", "df"), "term").drop("head")
     of_phrase = Window.partitionBy("qid", "phrase")
     counted = found.withColumn("got", F.count("*").over(of_phrase)).withColumn("nth", F.row_number().over(of_phrase.orderBy("df", "i")))
-    return counted.where("got = n").drop("got")
+    return kept(counted.where("got = n").drop("got"))
 
 
 def rarest_blocks(found: DataFrame, tables: Tables, name: str) -> DataFrame:
     """The blocks of each phrase's rarest term."""
     rarest = found.where("nth = 1")
-    return rarest.join(tables.near(f"{name}_blocks", "term", rarest, "term").withColumnRenamed("n", "block_rows"), "term")
+    return rarest.join(tables.near(f"{name}_blocks", "term", rarest, "term", settled=True).withColumnRenamed("n", "block_rows"), "term")
 
 
-def hits_in(seeds: DataFrame, found: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """`qid`, `phrase`, `rid`, `dl`, `tf` of phrases, from blocks of their rarest terms (as `rarest_blocks` gives them).
+def other_blocks(found: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """Blocks that the other terms of the phrases can have."""
+    return tables.near(f"{name}_blocks", "term", found.where("nth > 1"), "term", settled=True).select("term", "block", "rows")
+
+
+def hits_in(seeds: DataFrame, found: DataFrame, beside: DataFrame) -> DataFrame:
+    """`qid`, `phrase`, `rid`, `dl`, `tf` of phrases, from blocks of their rarest terms (as `rarest_blocks` gives them) and of the others.
 
     The rows of the rarest term's blocks go to the blocks of the same number of the other terms, where all other rows are
     left out before any is exchanged.
@@ -96,9 +102,8 @@ def hits_in(seeds: DataFrame, found: DataFrame, tables: Tables, name: str) -> Da
     own = own.select("qid", "phrase", "n", "i", "r.rid", "r.dl", "r.places")
     others = found.where("nth > 1").select("qid", "phrase", "n", "i", "term")
     wanted = seeds.where("n > 1").select("qid", "phrase", "block", F.transform("rows", lambda r: r["rid"]).alias("rids")).join(others, ["qid", "phrase"])
-    met = wanted.join(tables.near(f"{name}_blocks", "term", others, "term").select("term", "block", "rows"), ["term", "block"])
-    beside = met.select("qid", "phrase", "n", "i", F.explode(F.expr("filter(rows, r -> array_contains(rids, r.rid))")).alias("r"))
-    both = own.unionByName(beside.select("qid", "phrase", "n", "i", "r.rid", "r.dl", "r.places"))
+    met = wanted.join(beside, ["term", "block"]).select("qid", "phrase", "n", "i", F.explode(F.expr("filter(rows, r -> array_contains(rids, r.rid))")).alias("r"))
+    both = own.unionByName(met.select("qid", "phrase", "n", "i", "r.rid", "r.dl", "r.places"))
     begins = F.collect_list(F.expr("transform(places, p -> p - i)")).alias("begins")
     aligned = both.groupBy("qid", "phrase", "rid", "dl", "n").agg(begins).where(F.size("begins") == F.col("n"))
     tf = F.size(F.aggregate("begins", F.get("begins", F.lit(0)), F.array_intersect)).cast("bigint")
@@ -108,7 +113,7 @@ def hits_in(seeds: DataFrame, found: DataFrame, tables: Tables, name: str) -> Da
 def phrase_hits(queries: DataFrame, tables: Tables, name: str) -> DataFrame:
     """`qid`, `rid`, `dl`, `tf`: rows of an index with the phrase, its tokens on consecutive positions, and how often. `queries`: `qid`, `text`."""
     found = known_terms(phrases(queries.withColumn("phrase", F.lit(0))), tables, name)
-    return hits_in(rarest_blocks(found, tables, name), found, tables, name).drop("phrase")
+    return hits_in(rarest_blocks(found, tables, name), found, other_blocks(found, tables, name)).drop("phrase")
 
 
 def heads(tables_by_name: dict[str, DataFrame]) -> DataFrame:
@@ -130,15 +135,15 @@ def headed(asked: DataFrame, tables: Tables, name: str, column: str) -> DataFram
 def prefix_terms(queries: DataFrame, tables: Tables, name: str) -> DataFrame:
     """`qid`, `term`: the dictionary's terms that begin with the query's last token."""
     asked = queries.select("qid", F.element_at(F.concat(F.array(F.lit("")), tokens(F.col("text"))), -1).alias("begins")).where("begins <> ''")
-    near = headed(asked, tables, f"{name}_terms", "begins")
-    met = near.join(tables.near(f"{name}_terms", "head", near, "head").select("head", "term"), "head")
+    near = kept(headed(asked, tables, f"{name}_terms", "begins"))
+    met = near.join(tables.near(f"{name}_terms", "head", near, "head", settled=True).select("head", "term"), "head")
     return met.where(F.startswith("term", "begins")).select("qid", "term")
 
 
 def prefix_hits(queries: DataFrame, tables: Tables, name: str) -> DataFrame:
     """`qid`, `rid`, `dl`, `tf`: rows with tokens that begin with the query's one token, by the blocks of the terms that do."""
-    found = prefix_terms(queries, tables, name)
-    met = found.join(tables.near(f"{name}_blocks", "term", found, "term").select("term", "rows"), "term").select("qid", F.explode("rows").alias("r"))
+    found = kept(prefix_terms(queries, tables, name))
+    met = found.join(tables.near(f"{name}_blocks", "term", found, "term", settled=True).select("term", "rows"), "term").select("qid", F.explode("rows").alias("r"))
     return met.groupBy("qid", "r.rid", "r.dl").agg(F.sum(F.size("r.places")).alias("tf"))
 
 
@@ -167,16 +172,17 @@ def best_phrase_hits(queries: DataFrame, tables: Tables, name: str, limit: int)
     stats = F.broadcast(tables.indexed().ekz_stats.select("avgdl").withColumn("phrase", F.lit(0)))  # one row of statistics
     bound = F.round(weight(F.col("most"), F.col("least_dl"), F.col("avgdl")), 9)
     seeds = rarest_blocks(found, tables, name).join(stats, "phrase").withColumn("bound", bound)
+    beside = other_blocks(found, tables, name)
     before = Window.partitionBy("qid").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = seeds.withColumn("rows_before", F.coalesce(F.sum("block_rows").over(before), F.lit(0)))
+    numbered = kept(seeds.withColumn("rows_before", F.coalesce(F.sum("block_rows").over(before), F.lit(0))))
     sharp = F.col("rows_before") < 4 * limit
 
     def weighed(chosen: DataFrame) -> DataFrame:
-        hits = hits_in(chosen, found, tables, name).join(stats, "phrase")
+        hits = hits_in(chosen, found, beside).join(stats, "phrase")
         return hits.withColumn("value", F.round(weight(F.col("tf"), F.col("dl"), F.col("avgdl")), 9)).select("qid", "rid", "dl", "tf", "value")
 
     order = Window.partitionBy("qid").orderBy(F.desc("value"), "rid")
-    first = weighed(numbered.where(sharp))
+    first = kept(weighed(numbered.where(sharp)))
     needed = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == limit).select("qid", F.col("value").alias("needed"))
     rest = numbered.where(~sharp).join(needed, "qid", "left").where("needed is null or bound >= needed").drop("needed")
     return first.unionByName(weighed(rest)).withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= limit)

@@ -7,7 +7,7 @@ from ..functions.stems import stems
 from ..functions.text import normalize_query
 from ..sources.lexicon import Tables
 from . import permuterm
-from .common import first_tier, group_by_drv, ranked, top
+from .common import first_tier, group_by_drv, kept, ranked, top
 from .fulltext import prefix_hits
 
 NODE = ("mrk", "art", "kap", "num")
@@ -29,8 +29,8 @@ def exact(words: DataFrame, tables: Tables) -> DataFrame:
 
 def variant(words: DataFrame, tables: Tables) -> DataFrame:
     """Nodes of which the word is a spelling variant; a variant without node yields nothing."""
-    keys = words.join(tables.near("var", "kap_norm", words, "word").select("mrk", "kap_norm"), F.col("word") == F.col("kap_norm")).select("qid", "mrk").distinct()
-    return by_length(distinct_nodes(keys.join(tables.near("nodo", "mrk", keys, "mrk"), "mrk")))
+    keys = kept(words.join(tables.near("var", "kap_norm", words, "word").select("mrk", "kap_norm"), F.col("word") == F.col("kap_norm")).select("qid", "mrk").distinct())
+    return by_length(distinct_nodes(keys.join(tables.near("nodo", "mrk", keys, "mrk", settled=True), "mrk")))
 
 
 def stem(words: DataFrame, tables: Tables) -> DataFrame:
@@ -50,7 +50,7 @@ def prefix(words: DataFrame, tables: Tables, limit: int) -> DataFrame:
 def token_prefix(words: DataFrame, tables: Tables, limit: int) -> DataFrame:
     """Nodes whose headword (or a variant) has tokens, of which one begins with the word's last one: by the index of headwords."""
     met = prefix_hits(words.select("qid", F.col("word").alias("text")), tables, "kap").select("qid", F.col("rid").alias("found"))
-    nodes = met.join(tables.near("nodo", "kap_norm", met, "found"), F.col("found") == F.col("kap_norm"))
+    nodes = met.join(tables.near("nodo", "kap_norm", met, "found", settled=True), F.col("found") == F.col("kap_norm"))
     kaps = top(nodes.groupBy("qid", "found").agg(F.min("rid").alias("first_rid")), limit, "first_rid", name="nth").select("qid", "nth", "found")
     return ranked(distinct_nodes(nodes.join(kaps, ["qid", "found"]), "nth"), "nth", F.length("mrk"), "rid").drop("nth")
 
@@ -72,8 +72,8 @@ def headword_hits(queries: DataFrame, tables: Tables, limit: int = 5, fts_fallba
     direct = distinct_nodes(forms.join(tables.near("nodo", "kap_norm", forms, "form"), F.col("form") == F.col("kap_norm")).select("qid", step.alias("tier"), via.alias("matched_via"), *NODE, "rid"), "tier", "matched_via")
     none = F.lit(None).cast("string")
     of_variants = variant(words, tables).drop("ord").select("qid", F.lit(2000).alias("tier"), none.alias("matched_via"), *NODE, "rid")
-    keyed = by_length(first_tier(direct.unionByName(of_variants)))
-    left = words.join(keyed.select("qid").distinct(), "qid", "left_anti")
+    keyed = kept(by_length(first_tier(direct.unionByName(of_variants))))
+    left = kept(words.join(keyed.select("qid").distinct(), "qid", "left_anti"))
     found = keyed.unionByName(prefix(left, tables, limit).join(words, "qid").select(*NODE, "qid", "rid", "ord", F.lit(4000).alias("tier"), F.concat(F.lit("prefix:"), "word").alias("matched_via")))
     if fts_fallback:
         found = found.unionByName(token_prefix(left, tables, limit).join(words, "qid").select(*NODE, "qid", "rid", "ord", F.lit(5000).alias("tier"), F.concat(F.lit("fts:"), "word").alias("matched_via")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_fold, like, like_pattern
 from ..sources.lexicon import Tables
+from .common import kept
 from .fulltext import HEAD, headed
 
 #: End of a headword; characters of a rotation that are kept.
@@ -28,28 +29,28 @@ def keys(patterns: DataFrame) -> DataFrame:
     """Add `key` to patterns (`qid`, `like`): what a rotation of any match begins with.
 
     That is what stands after the last wildcard, END, and what stands before the first one, or the longest piece between
-    two wildcards, if that is longer.
+    two wildcards, if that is no shorter.
     """
     folded = ascii_fold(F.col("like"))
     pieces = F.split(folded, "[%_]")
     inner = F.when(F.size(pieces) > 2, F.expr("array_max(transform(slice(pieces, 2, size(pieces) - 2), x -> named_struct('n', length(x), 'x', x))).x")).otherwise("")
     around = F.when(F.size("pieces") == 1, F.concat(F.lit(END), F.get("pieces", F.lit(0)))).otherwise(F.concat(F.element_at("pieces", -1), F.lit(END), F.get("pieces", F.lit(0))))
     with_both = patterns.withColumn("pieces", pieces).withColumn("inner", inner).withColumn("around", around)
-    return with_both.withColumn("key", F.left(F.when(F.length("inner") > F.length("around"), F.col("inner")).otherwise(F.col("around")), F.lit(KEPT))).drop("pieces", "inner", "around")
+    return with_both.withColumn("key", F.left(F.when((F.length("inner") > 0) & (F.length("inner") >= F.length("around")), F.col("inner")).otherwise(F.col("around")), F.lit(KEPT))).drop("pieces", "inner", "around")
 
 
 def matching(patterns: DataFrame, tables: Tables, of_variant: bool = False) -> DataFrame:
     """`qid`, `kap_norm`: the distinct headwords (or variants) that patterns (`qid`, `like`) match; % and _ are wildcards."""
-    keyed = headed(keys(patterns), tables, "rotations", "key")
-    met = keyed.join(tables.near("rotations", "head", keyed, "head").where(F.col("of_variant") == of_variant), "head")
+    keyed = kept(headed(keys(patterns), tables, "rotations", "key"))
+    met = keyed.join(tables.near("rotations", "head", keyed, "head", settled=True).where(F.col("of_variant") == of_variant), "head")
     whole = met.where(F.startswith("rotation", "key") & like(F.col("kap_norm"), F.col("like")))
     return whole.select("qid", "kap_norm").distinct()
 
 
 def nodes(patterns: DataFrame, tables: Tables) -> DataFrame:
     """`qid` and the nodes whose headword the patterns match."""
-    found = matching(patterns, tables)
-    return found.join(tables.near("nodo", "kap_norm", found, "kap_norm"), "kap_norm")
+    found = kept(matching(patterns, tables))
+    return found.join(tables.near("nodo", "kap_norm", found, "kap_norm", settled=True), "kap_norm")
 
 
 def globs(patterns: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_fold, like, strip
 from ..sources.lexicon import Tables
-from .common import first_tier, group_by_drv, nodes_of, top
-from .fulltext import hits_in, known_terms, phrases, rarest_blocks
+from .common import first_tier, group_by_drv, kept, nodes_of, top
+from .fulltext import hits_in, known_terms, other_blocks, phrases, rarest_blocks
 from .headword import lookup_headwords
 
 
@@ -35,11 +35,12 @@ def matching_rows(words: DataFrame, tables: Tables, most: int | None = 100, same
     parts = phrases(quoted_phrases(words))
     wanted = parts.select("qid", "phrase").distinct().groupBy("qid").agg(F.count("*").alias("all_phrases"))
     found = known_terms(parts, tables, "trd")
-    whole = hits_in(rarest_blocks(found, tables, "trd"), found, tables, "trd").groupBy("qid", "rid").agg(F.count("*").alias("got_phrases"))
+    whole = hits_in(rarest_blocks(found, tables, "trd"), found, other_blocks(found, tables, "trd")).groupBy("qid", "rid").agg(F.count("*").alias("got_phrases"))
     rids = whole.join(wanted, "qid").where("got_phrases = all_phrases").select("qid", "rid")
     if not same_language:
         rids = top(rids, most, "rid")
-    rows = rids.join(tables.near("traduko", "rid", rids, "rid").select("rid", "mrk", "lng", "trd"), "rid")
+    rids = kept(rids)
+    rows = rids.join(tables.near("traduko", "rid", rids, "rid", settled=True).select("rid", "mrk", "lng", "trd"), "rid")
     return top(rows.join(words.select("qid", "lang"), "qid").where("lng = lang"), most, "rid") if same_language else rows
 
 
@@ -65,8 +66,8 @@ def substring_rows(words: DataFrame, tables: Tables, most: int = 50) -> DataFram
     long = pieces.where(F.size("pieces") > 0)
     asked_for = long.select("qid", F.col("lang").alias("lng"), F.size("pieces").alias("wanted"), F.explode("pieces").alias("gram"))
     shared = asked_for.join(tables.near("trd_grams", "gram", asked_for, "gram"), ["gram", "lng"]).groupBy("qid", "rid", "wanted").agg(F.count("*").alias("got"))
-    rids = shared.where("got = wanted").select("qid", "rid")
-    near = long.drop("pieces").join(rids, "qid").join(tables.near("traduko", "rid", rids, "rid").select("rid", "mrk", "lng", "trd"), "rid")
+    rids = kept(shared.where("got = wanted").select("qid", "rid"))
+    near = long.drop("pieces").join(rids, "qid").join(tables.near("traduko", "rid", rids, "rid", settled=True).select("rid", "mrk", "lng", "trd"), "rid")
     rows = near.unionByName(pieces.where(F.size("pieces") == 0).drop("pieces").join(every, F.col("lang") == F.col("lng")))
     return top(rows.where(like(F.col("trd"), F.concat(F.lit("%"), "word", F.lit("%")))), most, "rid")
 
@@ -89,8 +90,8 @@ def translation_rows(queries: DataFrame, tables: Tables, parity: bool = True) ->
         phrase = matching_rows(words, tables).join(words.select("qid", "lang"), "qid").where("lng = lang")
     else:
         phrase = matching_rows(words, tables, same_language=True)
-    found = _tier(1, exact_rows(words, tables, 50, True)).unionByName(_tier(2, phrase))
-    left = words.join(found.select("qid").distinct(), "qid", "left_anti")
+    found = kept(_tier(1, exact_rows(words, tables, 50, True)).unionByName(_tier(2, phrase)))
+    left = kept(words.join(found.select("qid").distinct(), "qid", "left_anti"))
     return first_tier(found.unionByName(_tier(3, substring_rows(left, tables))))
 
 
@@ -102,8 +103,9 @@ def all_language_rows(queries: DataFrame, tables: Tables) -> DataFrame:
 
 def results_of(rows: DataFrame, queries: DataFrame, tables: Tables, limit: int, language: Column) -> DataFrame:
     """Results with `matched_via`: the first translation of the result's own key, else the query as it came."""
+    rows = kept(rows)
     nodes = nodes_of(rows, tables, limit).withColumn("matched_via", F.lit(None).cast("string"))
-    results = group_by_drv(nodes, limit).drop("matched_via")
+    results = kept(group_by_drv(nodes, limit).drop("matched_via"))
     firsts = rows.groupBy("qid", "mrk").agg(F.min_by(F.struct("lng", "trd"), "ord").alias("hit"))
     via = results.join(firsts, ["qid", "mrk"], "left").join(queries, "qid")
     return via.select("qid", "pos", "headword", "article", "mrk", F.concat_ws(":", F.lit("translation"), language, F.coalesce("hit.trd", "q")).alias("matched_via"))

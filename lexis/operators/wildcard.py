@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.text import drv_key
 from ..sources.lexicon import Tables
 from . import permuterm
-from .common import group_by_drv, top
+from .common import group_by_drv, kept, top
 from .headword import NODE
 
 
@@ -31,7 +31,7 @@ def pages(patterns: DataFrame, tables: Tables, limit: int = 100, offset: int = 0
     Counts of the headwords of each length and first character say where the page lies; only the headwords of the lengths
     and characters that it touches are put into order.
     """
-    heads = permuterm.nodes(permuterm.globs(patterns), tables).groupBy("qid", "kap").agg(F.min("mrk").alias("mrk"))
+    heads = kept(permuterm.nodes(permuterm.globs(patterns), tables).groupBy("qid", "kap").agg(F.min("mrk").alias("mrk")))
     placed = heads.select("qid", "kap", "mrk", F.length("kap").alias("n"), F.left("kap", F.lit(1)).alias("c"))
     ranges = placed.groupBy("qid", "n", "c").agg(F.count("*").alias("count"))
     after = F.sum("count").over(Window.partitionBy("qid").orderBy("n", "c")).alias("after")
@@ -39,13 +39,13 @@ def pages(patterns: DataFrame, tables: Tables, limit: int = 100, offset: int = 0
     own = placed.join(touched.select("qid", "n", "c", "before"), ["qid", "n", "c"])
     within = F.row_number().over(Window.partitionBy("qid", "n", "c").orderBy("kap"))
     nth = own.withColumn("ord", (F.col("before") + within - offset).cast("int"))
-    return nth.where(F.col("ord").between(1, limit)).select("qid", "kap", "mrk", "ord")
+    return kept(nth.where(F.col("ord").between(1, limit)).select("qid", "kap", "mrk", "ord"))
 
 
 def glosses_of(tables: Tables, heads: DataFrame, language: str = "en") -> DataFrame:
     """Add `glosses`: the translations of exactly this key, in their order. The page comes first, the join after."""
     keyed = heads.withColumn("drv", drv_key(F.col("mrk")))
-    own = tables.near("traduko", "drv_mrk", keyed, "drv").where(F.col("lng") == language).select("mrk", "rid", "trd")
+    own = tables.near("traduko", "drv_mrk", keyed, "drv", settled=True).where(F.col("lng") == language).select("mrk", "rid", "trd")
     met = heads.join(own, "mrk", "left").groupBy("qid", "ord", "kap", "mrk").agg(F.array_sort(F.collect_list(F.when(F.col("trd").isNotNull(), F.struct("rid", "trd")))).alias("g"))
     return met.select("qid", "ord", "kap", "mrk", F.transform("g", lambda x: x["trd"]).alias("glosses"))
 
@@ -59,9 +59,9 @@ def hits_of(patterns: DataFrame, tables: Tables, limit: int = 20) -> DataFrame:
     """Nodes matched by headword or by variant, the `limit * 5` shortest headwords of each pattern first."""
     asked = permuterm.globs(patterns)
     own = permuterm.nodes(asked, tables).select("qid", *NODE)
-    found = permuterm.matching(asked, tables, of_variant=True)
-    keys = found.join(tables.near("var", "kap_norm", found, "kap_norm").select("kap_norm", "mrk"), "kap_norm").select("qid", "mrk").distinct()
-    both = own.unionByName(keys.join(tables.near("nodo", "mrk", keys, "mrk"), "mrk").select("qid", *NODE)).distinct()
+    found = kept(permuterm.matching(asked, tables, of_variant=True))
+    keys = kept(found.join(tables.near("var", "kap_norm", found, "kap_norm", settled=True).select("kap_norm", "mrk"), "kap_norm").select("qid", "mrk").distinct())
+    both = own.unionByName(keys.join(tables.near("nodo", "mrk", keys, "mrk", settled=True), "mrk").select("qid", *NODE)).distinct()
     return top(both, limit * 5, F.length("kap"), "kap", "mrk", "num")
 
 

@@ -39,8 +39,16 @@ class Copy:
     key: str
     buckets: int
 
-    def near(self, wanted: DataFrame, column: str) -> DataFrame:
-        """The rows in the buckets of the keys that the batch has in `column`: all rows with such a key, and others."""
+    def near(self, wanted: DataFrame, column: str, settled: bool = False) -> DataFrame:
+        """The rows in the buckets of the keys that the batch has in `column`: all rows with such a key, and others.
+
+        Keys that come with the request are met at run time. Keys that a search has found are `settled`: their buckets, at
+        most as many numbers as the copy has, are asked for at once and become a filter on partitions. Otherwise each step of
+        a search would stand twice in the plan of the next one, and a search of six steps 64 times.
+        """
+        if settled:
+            buckets = [r[0] for r in wanted.where(F.col(column).isNotNull()).select(bucket_of(column, self.buckets)).distinct().collect()]
+            return self.frame.where(F.col("bucket").isin(buckets)).drop("bucket")
         of_batch = wanted.select(bucket_of(column, self.buckets).alias("bucket")).where("bucket >= 0").distinct()
         return self.frame.join(F.broadcast(of_batch), "bucket", "left_semi").drop("bucket")  # at most `buckets` small rows
 

@@ -97,11 +97,11 @@ class Tables:
         first = F.min_by(F.struct("art", "kap", "num", "rid"), "rid").alias("n")
         return self.nodo.groupBy("mrk").agg(first).select("mrk", "n.*")
 
-    def near(self, name: str, key: str, wanted: DataFrame, column: str) -> DataFrame:
-        """Of a table the rows that can have a key which the batch has in `column`: by a covering copy, or else all."""
+    def near(self, name: str, key: str, wanted: DataFrame, column: str, settled: bool = False) -> DataFrame:
+        """Of a table the rows that can have a key which the batch has in `column`: by a covering copy (see there), or else all."""
         copy = self.copies.get((name, key))
         if copy is not None:
-            return copy.near(wanted, column)
+            return copy.near(wanted, column, settled)
         return self.nodo_first if name == "first" else getattr(self.indexed() if getattr(self, name) is None else self, name)
 
     def indexed(self) -> "Tables":
