@@ -194,6 +194,8 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
                 held, n = [], 0
     if n:
         yield np.concatenate(held)
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def pairs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +238,7 @@ def blocks(slice_: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def likely(ids: DataFrame, least: int) -> np.ndarray:
-    """A bitmap of the hashes that `least` pairs of words or more have: a pair with another hash cannot be frequent.
+    """A bitmap of the hashes that `least` pairs or more have: a pair with another hash cannot be frequent.
 
     Tasks add up equal hashes before they send them, so that no pair is common in what is exchanged.
     """
@@ -249,17 +251,16 @@ def likely(ids: DataFrame, least: int) -> np.ndarray:
     return bitmap(ids.mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
 
 
-def candidates(ids: DataFrame, hashes: np.ndarray | None) -> DataFrame:
+def candidates(ids: DataFrame, hashes: np.ndarray) -> DataFrame:
     """Distinct neighbouring pairs of frequent ids (with a likely hash), with the 16 bits that deal them to slices."""
-    known = None if hashes is None else ids.sparkSession.sparkContext.broadcast(hashes)
+    known = ids.sparkSession.sparkContext.broadcast(hashes)
 
     def pick(batches):
         for flat in gathered(batches):
             p, s = pairs_of(flat)
             h = mixed(p, s)
-            if known is not None:
-                keep = inside(known.value, h)
-                p, s, h = p[keep], s[keep], h[keep]
+            keep = inside(known.value, h)
+            p, s, h = p[keep], s[keep], h[keep]
             order = np.lexsort((s, p))
             p, s, h = p[order], s[order], h[order]
             new = np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]) if len(p) else np.zeros(0, bool)
@@ -294,8 +295,10 @@ def counted(ids: DataFrame, uris: list[str], least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.p[slot].view(np.int64)), pa.array(keys.s[slot].view(np.int64)), pa.array(f[at])], ["p", "s", "f"])
 
     parts = materialise(ids.mapInArrow(count, PARTS), "phrase-counts")
-    out = materialise(tree_sum(parts).mapInArrow(frequent, "p long, s long, f long"), "phrase-frequent")
+    sums = materialise(tree_sum(parts), "phrase-sums")  # so that no task needs two Python workers
+    out = materialise(sums.mapInArrow(frequent, "p long, s long, f long"), "phrase-frequent")
     discard(parts)
+    discard(sums)
     return out
 
 
@@ -423,7 +426,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
 
     No text is exchanged: tasks exchange counts of words, distinct candidates and arrays of counts. A task's memory is
     bounded by FLUSH ids and one perfect hash of SLICE pairs; candidates beyond that are more slices, which a task goes
-    through in turn. Of the pairs of frequent words, whose number grows fastest, only those are candidates whose
+    through in turn. Of the pairs of frequent phrases, whose number grows fastest, only those are candidates whose
     hash `least` pairs have; a bitmap of fixed size says so, and lets a few others pass, which are counted in vain.
     """
     with small_batches(docs.sparkSession):
@@ -453,7 +456,7 @@ def counted_levels(rows: DataFrame, least: int, longest: int) -> tuple[list[Data
     level = frequent.select("id", "lang", F.array("word").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels: list[DataFrame] = []
     for k in range(2, longest + 1):
-        pairs = materialise(candidates(ids, likely(ids, least) if k == 2 else None), "phrase-candidates")
+        pairs = materialise(candidates(ids, likely(ids, least)), "phrase-candidates")
         kept = counted(ids, perfect(pairs), least)
         uris = perfect(with_cells(kept))
         first, last = (level.select(*[F.col(c).alias(f"{side}_{c}") for c in level.columns]) for side in ("first", "last"))
