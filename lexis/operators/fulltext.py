@@ -171,14 +171,16 @@ def best_phrase_hits(queries: DataFrame, tables: Tables, name: str, limit: int)
     found = known_terms(phrases(queries.withColumn("phrase", F.lit(0))), tables, name)
     stats = F.broadcast(tables.indexed().ekz_stats.select("avgdl").withColumn("phrase", F.lit(0)))  # one row of statistics
     bound = F.round(weight(F.col("most"), F.col("least_dl"), F.col("avgdl")), 9)
-    seeds = rarest_blocks(found, tables, name).join(stats, "phrase").withColumn("bound", bound)
+    rarest = found.where("nth = 1")
+    mine = tables.near(f"{name}_blocks", "term", rarest, "term", settled=True)
+    seeds = rarest.join(mine.select("term", "block", F.col("n").alias("block_rows"), "most", "least_dl"), "term").join(stats, "phrase").withColumn("bound", bound)
     beside = other_blocks(found, tables, name)
     before = Window.partitionBy("qid").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
     numbered = kept(seeds.withColumn("rows_before", F.coalesce(F.sum("block_rows").over(before), F.lit(0))))
     sharp = F.col("rows_before") < 4 * limit
 
     def weighed(chosen: DataFrame) -> DataFrame:
-        hits = hits_in(chosen, found, beside).join(stats, "phrase")
+        hits = hits_in(chosen.drop("avgdl").join(mine.select("term", "block", "rows"), ["term", "block"]), found, beside).join(stats, "phrase")
         return hits.withColumn("value", F.round(weight(F.col("tf"), F.col("dl"), F.col("avgdl")), 9)).select("qid", "rid", "dl", "tf", "value")
 
     order = Window.partitionBy("qid").orderBy(F.desc("value"), "rid")
