@@ -75,12 +75,12 @@ def test_lookup_reads_no_whole_table(spark, stored):
     assert files_read(headword.exact(batch(spark, "amiko"), stored), "nodo/") == 0
 
 
-@pytest.mark.parametrize("search", ["eo", "translation", "all", "examples", "family"])
+@pytest.mark.parametrize("search", ["eo", "translation", "examples", "family"])
 def test_stored_equals_made_on_the_fly(spark, stored, search):
     plain, asked = data.tables(spark), queries(spark, "amiko", "hundeto", "amikojn", "ami", "friend", "a book", "abelojn", "nia", "%", "zzz", "malamiko")
     with_lang = asked.withColumn("lang", F.lit("en"))
     run = {
-        "eo": lambda t: headword.headword_hits(asked, t, fts_fallback=True), "translation": lambda t: translation.lookup_translations(with_lang, t), "all": lambda t: translation.lookup_all(asked, t),
+        "eo": lambda t: headword.headword_hits(asked, t, fts_fallback=True), "translation": lambda t: translation.lookup_translations(with_lang, t),
         "examples": lambda t: examples.lookup_examples(asked, t), "family": lambda t: Lexicon(spark, t).family(asked),
     }[search]
     rows = [sorted(map(str, run(t).collect())) for t in (plain, stored)]
@@ -147,9 +147,9 @@ def count_of(words, phrase):
 def test_phrases_start_at_the_rarest_term(spark):
     rows, docs = corpus(spark)
     t = indexed(spark, docs, 40_000)
-    for text in ("rara la", "la vorto", "la", "aa la bb", "la la", "aa aa", "la zz", "rara la vorto"):
-        got = {(r.rid, r.tf) for r in fulltext.phrase_hits(spark.createDataFrame([(0, text)], "qid int, text string"), t, "ekz").collect()}
-        assert got == {(i, c) for i, x in rows if (c := count_of(x.split(), text.split()))}, text
+    texts = ("rara la", "la vorto", "la", "aa la bb", "la la", "aa aa", "la zz", "rara la vorto")
+    got = {(r.qid, r.rid, r.tf) for r in fulltext.phrase_hits(spark.createDataFrame(list(enumerate(texts)), "qid int, text string"), t, "ekz").collect()}
+    assert got == {(n, i, c) for n, text in enumerate(texts) for i, x in rows if (c := count_of(x.split(), text.split()))}
     asked = fulltext.phrases(spark.createDataFrame([(0, "rara la", 0)], "qid int, text string, phrase int"))
     found = fulltext.known_terms(asked, t, "ekz")
     assert [(r.term, r.nth) for r in found.orderBy("nth").collect()] == [("rara", 1), ("la", 2)]
@@ -165,7 +165,7 @@ def test_best_hits_skip_blocks(spark, monkeypatch):
     read = []
     real = fulltext.hits_in
     monkeypatch.setattr(fulltext, "hits_in", lambda seeds, *rest: (read.append(seeds), real(seeds, *rest))[1])
-    for text, limit in (("la", 20), ("aa", 5), ("rara la", 7), ("aa bb", 10), ("la", 10_000), ("zz", 3)):
+    for text, limit in (("la", 20), ("rara la", 7), ("aa bb", 10_000)):
         read.clear()
         got = [(r.rid, r.ord) for r in fulltext.best_phrase_hits(spark.createDataFrame([(0, text)], "qid int, text string"), t, "ekz", limit).orderBy("ord").collect()]
         scored = []
@@ -182,20 +182,21 @@ def test_best_hits_skip_blocks(spark, monkeypatch):
 def test_prefixes_of_any_length(spark):
     rows, docs = corpus(spark, 300)
     t = indexed(spark, docs, 1000)
-    for text in ("r", "ra", "rar", "rara", "l", "a", "zz"):
-        got = {(r.rid, r.tf) for r in fulltext.prefix_hits(spark.createDataFrame([(0, text)], "qid int, text string"), t, "ekz").collect()}
-        assert got == {(i, c) for i, x in rows if (c := sum(w.startswith(text) for w in x.split()))}, text
+    texts = ("r", "ra", "rar", "rara", "l", "a", "zz")
+    got = {(r.qid, r.rid, r.tf) for r in fulltext.prefix_hits(spark.createDataFrame(list(enumerate(texts)), "qid int, text string"), t, "ekz").collect()}
+    assert got == {(n, i, c) for n, text in enumerate(texts) for i, x in rows if (c := sum(w.startswith(text) for w in x.split()))}
 
 
 def test_substrings_need_every_piece(spark, stored):
-    for word, found in (("friend", {"friend"}), ("mall d", {"small dog"}), ("end", {"friend"}), ("o r_ad", {"to read a book"}), ("a", None), ("frixnd", set()), ("dog%z", set())):
-        rows = translation.substring_rows(spark.createDataFrame([(0, word, "en")], "qid int, word string, lang string"), stored).collect()
-        assert found is None or {r.trd for r in rows} == found, word
+    wanted = {"friend": {"friend"}, "mall d": {"small dog"}, "end": {"friend"}, "o r%ad": {"to read a book"}, "l_ner": {"loner"}, "frixnd": set(), "dog%z": set()}
+    rows = translation.substring_rows(spark.createDataFrame([(i, w, "en") for i, w in enumerate(wanted)], "qid int, word string, lang string"), stored).collect()
+    for i, (word, found) in enumerate(wanted.items()):
+        assert {r.trd for r in rows if r.qid == i} == found, word
 
 
 def test_a_hit_runs_no_further_tier(spark, stored):
     lex = Lexicon(spark, stored)
-    for query, lang, tried in (("amiko", "eo", ["exact"]), ("hundeto", "eo", ["exact", "variant"]), ("amikojn", "eo", ["exact", "variant", "stem"]), ("friend", "en", ["exact"]), ("a book", "en", ["exact", "phrase"]), ("rien", "en", ["exact", "phrase", "substring"])):
+    for query, lang, tried in (("amiko", "eo", ["exact"]), ("amikojn", "eo", ["exact", "variant", "stem"]), ("a book", "en", ["exact", "phrase"])):
         p = probe.Probe()
         assert "##" in lex.request(query, lang, probe=p).first()["md"]
         assert [x for x in p.tried if x != "results"] == tried, query
@@ -206,7 +207,7 @@ def test_requests_equal_batches(spark, stored):
     lex = Lexicon(spark, stored)
     from lexis.operators import render
 
-    for query in ("amiko", "amikojn", "solulo", "zzz", "ami"):
+    for query in ("amikojn", "zzz"):
         asked = queries(spark, query)
         assert lex.handle_lookup(query) == render.render_results(asked, lex.lookup(asked)).first()["md"]
         assert lex.handle_lookup(query, "all") == render.render_results(asked, lex.lookup_all(asked)).first()["md"]
