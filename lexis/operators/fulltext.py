@@ -128,7 +128,7 @@ def heads(tables_by_name: dict[str, DataFrame]) -> DataFrame:
 
 def headed(asked: DataFrame, tables: Tables, name: str, column: str) -> DataFrame:
     """The batch with the heads of a table that its prefixes can meet: one, or, for prefixes shorter than heads, some."""
-    own = tables.indexed().heads.where(F.col("of") == name).select("begun", "head")
+    own = tables.derived("heads").where(F.col("of") == name).select("begun", "head")
     return asked.withColumn("begun", F.left(column, F.lit(HEAD))).join(own, "begun").drop("begun")
 
 
@@ -169,7 +169,7 @@ def best_phrase_hits(queries: DataFrame, tables: Tables, name: str, limit: int)
     and of the other blocks only those are read whose most frequent, shortest row could reach it.
     """
     found = known_terms(phrases(queries.withColumn("phrase", F.lit(0))), tables, name)
-    stats = F.broadcast(tables.indexed().ekz_stats.select("avgdl").withColumn("phrase", F.lit(0)))  # one row of statistics
+    stats = F.broadcast(tables.derived("ekz_stats").select("avgdl").withColumn("phrase", F.lit(0)))  # one row of statistics
     bound = F.round(weight(F.col("most"), F.col("least_dl"), F.col("avgdl")), 9)
     rarest = found.where("nth = 1")
     mine = tables.near(f"{name}_blocks", "term", rarest, "term", settled=True)

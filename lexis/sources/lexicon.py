@@ -102,12 +102,20 @@ class Tables:
         copy = self.copies.get((name, key))
         if copy is not None:
             return copy.near(wanted, column, settled)
-        return self.nodo_first if name == "first" else getattr(self.indexed() if getattr(self, name) is None else self, name)
+        return self.derived(name)
+
+    def derived(self, name: str) -> DataFrame:
+        """A table; if it is derived and not stored, it is planned once, and made wherever it is read."""
+        if getattr(self, name) is None:
+            setattr(self, name, _derivations()[name](self))
+        return getattr(self, name)
 
     def indexed(self) -> "Tables":
         """The tables with the derived ones that they lack."""
-        made = {name: make(self) for name, make in _derivations().items() if getattr(self, name) is None}
-        return replace(self, **made) if made else self
+        out = replace(self)
+        for name in DERIVED:
+            out.derived(name)
+        return out
 
     def write(self, folder: str) -> None:
         """Store the tables, then what is derived from the stored ones, then the covering copies, then the list of them all.
