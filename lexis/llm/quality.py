@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bytes_of, least_hashed, pieces, remainder
+from .common import WordHashes, bytes_of, least_hashed, materialise, pieces, remainder
 
+#: Bytes of text in a training sample.
+MOST_BYTES = 1 << 26
 #: Hashed words take the indices below WORDS; every statistic then has BINS one-hot indices.
 WORDS, BINS, RANK = 1 << 15, 16, 8
 SYMBOLS, MARKS, DIGITS = b"#*$%&|<>", b".,;:!?", b"0123456789"
@@ -129,14 +131,23 @@ def fit(rows: Rows, labels: np.ndarray, epochs: int = 8, batch: int = 64, rate:
     return m
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held: int, most: int, columns: list[str]) -> DataFrame:
-    """At most `most` labelled rows for training, with `label`: those with the smallest hashes of doc_id.
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held: int, most: int, columns: list[str], most_bytes: int = MOST_BYTES) -> DataFrame:
+    """At most `most` labelled documents for training, with `label`: those with the smallest hashes of doc_id, a row each.
 
-    Rows whose remainder is `held` never enter. The sample's size is the bound that lets it be broadcast to the scan.
+    Documents whose remainder is `held` never enter. The sample's size is the bound that lets it be broadcast to the scan.
+    Of the rows of one doc_id the one with the smallest hash of its text serves, found by partial aggregates, so that an
+    id with many rows counts as one. Texts of more than a sixteenth of `most_bytes` are left out, and so are the last
+    documents by hash if all have more than `most_bytes`. The first of `columns` is the text.
     """
+    text, mark = F.octet_length(F.coalesce(columns[0], F.lit(""))), F.xxhash64("doc_id")
     wanted = labels.select(F.col("doc_id").alias("labelled_id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull() & (remainder(F.col("labelled_id"), modulus) != held))
     chosen = least_hashed(wanted.groupBy("labelled_id").agg(F.min("label").alias("label")), most, "labelled_id")
-    return docs.select("doc_id", *columns).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).drop("labelled_id")
+    rows = docs.select("doc_id", *columns).where(text <= most_bytes // 16).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
+    least = F.min(F.struct(F.xxhash64(columns[0]).alias("h"), *columns, "label")).alias("least")
+    sample = materialise(rows.groupBy("doc_id").agg(least).select("doc_id", *[f"least.{c}" for c in (*columns, "label")]), "training-sample")
+    sizes = sample.select(mark.alias("mark"), text.alias("bytes")).toArrow().sort_by("mark")  # at most `most` rows of two numbers
+    fit_in = int((np.cumsum(sizes["bytes"].to_numpy().astype(np.int64)) <= most_bytes).sum())
+    return sample if fit_in == len(sizes) else sample.where(mark < sizes["mark"][fit_in].as_py())
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, most: int = 6000) -> Machine:
@@ -174,8 +185,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     """Score every whole text: `doc_id`, `held_out`, `score`, `predicted`.
 
     Inputs of a score are hashed words, structure statistics and the recorded length `n_chars`; never labels, lang,
-    source or doc_id. Training takes at most `most` labelled rows whose crc32(doc_id) mod 5 is not 0 (repeated labels
-    of a document: the smallest). Null and empty texts, and null n_chars, are scored like others. A null doc_id is
+    source or doc_id. Training takes at most `most` labelled documents (and MOST_BYTES of text) whose crc32(doc_id) mod 5
+    is not 0 (repeated labels of a document: the smallest; several rows of one doc_id: one of them). Null and empty texts, and null n_chars, are scored like others. A null doc_id is
     scored and not held out. Repeated rows are scored each, long texts whole; empty tables give no rows; other columns
     are ignored; no labels: all scores 0.5.
     """

@@ -112,7 +112,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     """Score every whole text: `doc_id`, `held_out`, `score`, `predicted`.
 
     Inputs of a score are the hashed n-grams and skip-grams of the text alone. Training takes at most `most` labelled
-    rows whose crc32(doc_id) mod 4 is not 2 (repeated labels of a document: the smallest). Null and empty texts score
+    documents (and MOST_BYTES of text) whose crc32(doc_id) mod 4 is not 2 (repeated labels of a document: the smallest; several rows of one doc_id: one of them). Null and empty texts score
     the bias, long ones are read whole. A null doc_id is scored and not held out. Repeated rows are scored each; empty
     tables give no rows; other columns are ignored; without labels all scores are 0.5. The broadcast weights are at most DIMENSIONS floats, few after L1.
     """

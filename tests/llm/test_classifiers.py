@@ -31,6 +31,25 @@ def corpus(spark, bad):
     return docs, known
 
 
+def test_sample_is_bounded(spark):
+    docs = documents(13, 60)
+    hot = next(d for d in docs if not held(d[0], 5, 0))
+    docs += [(hot[0], f"{hot[1]} {i % 3}", *hot[2:]) for i in range(300)]  # one labelled id has most of the rows
+    long_one = (1000, "word " * 20_000, "en", "s", 7)
+    rows = frame(spark, [*docs, long_one, (1001, None, "en", "s", None), (None, "x", "en", "s", 1)], extra=True)
+    known = labels(spark, [(i, 1, 0) for i in {d[0] for d in docs}] + [(1000, 0, 1), (1001, 0, 0), (None, 1, 1)])
+    sample = quality.training_sample(rows, known, "quality", 5, 0, 1000, ["text", "n_chars"], most_bytes=1 << 20)
+    got = sample.orderBy("doc_id").collect()
+    assert sample.columns == ["doc_id", "text", "n_chars", "label"]
+    assert [r.doc_id for r in got] == sorted(i for i in {d[0] for d in docs} | {1001} if not held(i, 5, 0))
+    assert next(r.text for r in got if r.doc_id == hot[0]) in {hot[1]} | {f"{hot[1]} {i}" for i in range(3)}
+    few = quality.training_sample(rows, known, "quality", 5, 0, 1000, ["text", "n_chars"], most_bytes=20_000).collect()
+    assert 0 < sum(len((r.text or "").encode()) for r in few) <= 20_000 and len(few) < len(got)
+    assert {r.doc_id for r in few} <= {r.doc_id for r in got}
+    assert quality.training_sample(rows, labels(spark), "quality", 5, 0, 1000, ["text", "n_chars"]).count() == 0
+    assert quality.training_sample(frame(spark, []), known, "toxic", 4, 2, 1000, ["text"]).count() == 0
+
+
 def shout(i, text):
     return " ".join(w.upper() + "!!" for w in text.split())
 
