@@ -28,6 +28,8 @@ from .common import bitmap, bytes_of, inside, materialise, new_path, own, pieces
 
 #: Pairs in a perfect hash, counts in a block of an array, arrays that one step of a tree sums, ids that a task counts at once.
 SLICE, BLOCK, FAN, FLUSH = 1 << 19, 1 << 13, 32, 1 << 19
+#: Pairs that a task remembers to have sent.
+MEMO = 1 << 20
 #: Rows that Spark hands to a task's Python at once, of texts or of up to 4096 ids (or one piece of text).
 ROWS = 500
 #: Lower case; separators become line ends, tabs blanks. A lone full stop, which no word holds, then stands for a break.
@@ -251,11 +253,30 @@ def likely(ids: DataFrame, least: int) -> np.ndarray:
     return bitmap(ids.mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
 
 
+class Sent:
+    """The pairs that a task has sent, in MEMO places by hash: the last pair of each place. It never takes a pair for another."""
+
+    def __init__(self):
+        self.p, self.s = np.zeros(MEMO, np.uint64), np.zeros(MEMO, np.uint64)  # 0 is no id
+
+    def new(self, p: np.ndarray, s: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Which of these distinct pairs have not been sent, or were forgotten since; they are remembered."""
+        at = (h >> np.uint64(16)) % np.uint64(MEMO)  # the low bits deal pairs to slices
+        fresh = (self.p[at] != p) | (self.s[at] != s)
+        places, last = np.unique(at[fresh][::-1], return_index=True)  # one pair a place
+        self.p[places], self.s[places] = p[fresh][::-1][last], s[fresh][::-1][last]
+        return fresh
+
+
 def candidates(ids: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """Distinct neighbouring pairs of frequent ids (with a likely hash), with the 16 bits that deal them to slices."""
+    """Distinct neighbouring pairs of frequent ids (with a likely hash), with the 16 bits that deal them to slices.
+
+    A task sends a pair again only if another one took its place among those that it remembers.
+    """
     known = ids.sparkSession.sparkContext.broadcast(hashes)
 
     def pick(batches):
+        sent = Sent()
         for flat in gathered(batches):
             p, s = pairs_of(flat)
             h = mixed(p, s)
@@ -264,6 +285,8 @@ def candidates(ids: DataFrame, hashes: np.ndarray) -> DataFrame:
             order = np.lexsort((s, p))
             p, s, h = p[order], s[order], h[order]
             new = np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]) if len(p) else np.zeros(0, bool)
+            p, s, h = p[new], s[new], h[new]
+            new = sent.new(p, s, h)
             columns = [pa.array((h[new] & np.uint64(0xFFFF)).astype(np.int32)), pa.array(p[new].view(np.int64)), pa.array(s[new].view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["cell16", "p", "s"])
 
@@ -425,7 +448,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
     tables without a phrase that occurs `least` times, give no rows. Other columns are ignored.
 
     No text is exchanged: tasks exchange counts of words, distinct candidates and arrays of counts. A task's memory is
-    bounded by FLUSH ids and one perfect hash of SLICE pairs; candidates beyond that are more slices, which a task goes
+    bounded by FLUSH ids, MEMO pairs and one perfect hash of SLICE pairs; candidates beyond that are more slices, which a task goes
     through in turn. Of the pairs of frequent phrases, whose number grows fastest, only those are candidates whose
     hash `least` pairs have; a bitmap of fixed size says so, and lets a few others pass, which are counted in vain.
     """

@@ -77,6 +77,24 @@ def test_full_bitmap_and_slices_change_nothing(spark, monkeypatch):
     assert result(phrases.collocations(frame(spark, rows).repartition(4), least=6)) == wanted
 
 
+def test_a_forgetful_memo_changes_nothing(spark, monkeypatch):
+    rows = texts(6)
+    monkeypatch.setattr(phrases, "MEMO", 7)
+    monkeypatch.setattr(phrases, "FLUSH", 50)  # many flushes in a task
+    assert result(phrases.collocations(frame(spark, rows).repartition(2), least=6)) == brute(rows, 6)
+
+
+def test_a_pair_is_sent_once_by_a_task(monkeypatch):
+    p, s = np.arange(1, 101, dtype=np.uint64), np.full(100, 9, np.uint64)
+    h = phrases.mixed(p, s)
+    sent = phrases.Sent()
+    assert sent.new(p, s, h).all() and not sent.new(p, s, h).any()
+    assert sent.new(s, p, phrases.mixed(s, p)).sum() == 99  # (9, 9) is known
+    monkeypatch.setattr(phrases, "MEMO", 1)
+    one = phrases.Sent()
+    assert one.new(p, s, h).all() and one.new(p, s, h).sum() == 99
+
+
 def test_most_is_taken_by_language(spark):
     rows = texts(5)
     assert result(phrases.collocations(frame(spark, rows), least=6, most=3)) == brute(rows, 6, most=3)
