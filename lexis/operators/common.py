@@ -10,6 +10,9 @@ from ..sources.lexicon import Tables
 
 
 _KEPT: list[DataFrame] = []
+#: Characters of a plan's text, unless the session sets spark.sql.maxPlanStringLength itself. The plan of a kept step stands
+#: in the text of each plan that reads it, which Spark writes anew with each adaptive change.
+PLAN_TEXT = 50_000
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -17,6 +20,9 @@ def kept(df: DataFrame) -> DataFrame:
 
     What an executor takes with it is computed again. `release` gives all of them up.
     """
+    conf = df.sparkSession.conf
+    if "spark.sql.maxPlanStringLength" not in conf.getAll:
+        conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     _KEPT.append(df.persist())
     return df
 
