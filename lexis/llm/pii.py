@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from .common import own
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window, and from one window to the next: a span of up to WIDE - STEP - 2 characters is whole in some window.
+#: Characters of a window to learn from, and from one to the next.
 WIDE, STEP = 96, 48
+#: Characters of a window to read, and how many it shares with the next: a span of up to SHARED - 2 characters is whole in some window.
+READ, SHARED = 2048, 256
 #: Units of each direction; tags are O, then begin and inside of each kind.
 HIDDEN, TAGS = 16, 1 + 2 * len(KINDS)
-#: Every span holds one of these, so that windows without any need no reading.
+#: Most spans hold one of these: windows with one and no span are a stratum of their own among those to learn from.
 TRIGGER = re.compile("[0-9@]")
 
 # The rules. Possessive counts and lookbehinds change no match, but keep each in time linear to the text.
@@ -187,21 +189,75 @@ class Tagger:
             grads |= self.back(x, d, kept[d], part)
         return float((whole.sum() - gold) / n), {k: v / n for k, v in grads.items()}
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def emissions(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """By how much each position's emissions exceed that of O, for all tags but O.
+
+        The windows (columns) stand by size, the longest first, so that those which go on at a position are the first ones.
+        As `states`, but nothing is kept, each gate has an array of its own, and a sigmoid is a tanh of half its argument.
+        """
+        (steps, n), w = x.shape, self.weights
+        out, bias = (v[..., 1:] - v[..., :1] for v in (w["out"], w["out_bias"]))
+        half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
+        going = np.searchsorted(-sizes, -np.arange(steps), "left")
+        e = np.zeros((steps, n, TAGS - 1), np.float32)
+        for side, d in enumerate("fb"):
+            table, own_ = (np.ascontiguousarray(v.reshape(-1, 4, HIDDEN).transpose(1, 0, 2) * half) for v in (w[f"{d}_in"] + w[f"{d}_bias"], w[f"{d}_own"]))
+            h, c, bent = (np.zeros((n, HIDDEN), np.float32) for _ in range(3))
+            z, seen = np.zeros((4, n, HIDDEN), np.float32), np.zeros((4, n, HIDDEN), np.float32)
+            last = np.ascontiguousarray(out[side * HIDDEN : (side + 1) * HIDDEN])
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                m = going[t]
+                at, h_, c_, bent_, z_ = x[t, :m].astype(np.intp), h[:m], c[:m], bent[:m], z[:, :m]
+                for g in range(4):
+                    np.take(table[g], at, axis=0, out=seen[g, :m], mode="clip")
+                    np.matmul(h_, own_[g], out=z_[g])
+                z_ += seen[:, :m]
+                np.tanh(z_, out=z_)
+                z_[:3] *= 0.5
+                z_[:3] += 0.5
+                c_ *= z_[1]
+                c_ += np.multiply(z_[0], z_[3], out=bent_)
+                np.multiply(z_[2], np.tanh(c_, out=bent_), out=h_)
+                e[t, :m] += h_ @ last
+        e += bias
+        for t in np.flatnonzero(going < n):
+            e[t, going[t] :] = -1e4
+        return e
+
+    def open(self, e: np.ndarray) -> np.ndarray:
+        """The windows whose best tags may be others than O.
+
+        A bound for each position: the most that a run without O, up to there, gains over O, each step with the best tag and the
+        best move. Where no run makes up for the move back to O, all tags of the window are O, without Viterbi.
+        """
+        moves = self.weights["moves"] + BARRED
+        begin = np.maximum(moves[0] - moves[0, 0], moves[TAGS] - moves[TAGS, 0])[1::2, None]
+        on, back = (moves[1:TAGS, 1:].max(axis=0) - moves[0, 0])[:, None], max(0.0, float((moves[1:TAGS, 0] - moves[0, 0]).max()))
+        gain, most = np.full(e.shape[1], -1e4, np.float32), np.full(e.shape[1], -1e4, np.float32)
+        for at in e:
+            at = np.ascontiguousarray(at.T)
+            gain = np.maximum(gain + (at + on).max(axis=0), (at[::2] + begin).max(axis=0))
+            np.maximum(most, gain, out=most)
+        return np.flatnonzero(most + back > -1e-2)
+
+    def best(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags (Viterbi), and by how much each tag's emission exceeds that of O."""
-        both = np.concatenate([self.states(x, d) for d in "fb"], axis=2)
-        e = both @ self.weights["out"] + self.weights["out_bias"]
+        e = np.concatenate([np.zeros_like(e[:, :, :1]), e], axis=2)
         moves = self.weights["moves"] + BARRED
         best, came = e[0] + moves[TAGS], np.zeros(e.shape, np.int8)
-        for t in range(1, len(x)):
+        for t in range(1, len(e)):
             ways = best[:, :, None] + moves[:TAGS]
             came[t] = ways.argmax(axis=1)
             best = ways.max(axis=1) + e[t]
-        tags, at = np.zeros(x.shape, np.int8), np.arange(x.shape[1])
+        tags, at = np.zeros(e.shape[:2], np.int8), np.arange(e.shape[1])
         tags[-1] = best.argmax(axis=1)
-        for t in range(len(x) - 1, 0, -1):
+        for t in range(len(e) - 1, 0, -1):
             tags[t - 1] = came[t, at, tags[t]]
-        return tags, np.take_along_axis(e, tags[:, :, None].astype(np.int64), 2)[:, :, 0] - e[:, :, 0]
+        return tags, np.take_along_axis(e, tags[:, :, None].astype(np.int64), 2)[:, :, 0]
+
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best tags of whole windows, and their margins."""
+        return self.best(self.emissions(x, np.full(x.shape[1], len(x))))
 
 
 def fit(windows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 6, batch: int = 128, rate: float = 0.02, seed: int = 12) -> Tagger | None:
@@ -266,9 +322,9 @@ def with_variants(windows: list[tuple[str, list[tuple[int, int, int]]]], times:
     return out
 
 
-def windows_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, str, list[tuple[int, int, int]]]]:
-    """Stratum (kind, or their number), window and its spans: around each span, at a place that depends on the text alone,
-    and, of the windows with a trigger, those that no span touches."""
+def windows_of(text: str, spans: list[tuple[int, int, int]], plain: bool = False) -> Iterator[tuple[int, str, list[tuple[int, int, int]]]]:
+    """Stratum, window and its spans: of each kind, around each span, at a place that depends on the text alone, and the windows
+    that no span touches: those with a trigger and, if `plain`, those without as a stratum of their own."""
     for begin, kind, end in spans:
         if end - begin <= STEP:
             shift = xxhash.xxh64_intdigest(text[begin:end].encode("utf-8", "replace"), 12) % (WIDE - (end - begin))
@@ -280,37 +336,34 @@ def windows_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[i
     for at in places(text):
         i = bisect_right(ends, (at + WIDE, -1))
         if not any(e > at for _, e in ends[max(0, i - 8) : i]):
-            yield len(KINDS), text[at : at + WIDE], []
+            window = text[at : at + WIDE]
+            if (bare := not TRIGGER.search(window)) <= plain:
+                yield len(KINDS) + bare, window, []
 
 
-def places(text: str) -> list[int]:
-    """Where the windows begin that hold a trigger; the windows of a text overlap by WIDE - STEP characters."""
-    out: dict[int, None] = {}
-    for m in TRIGGER.finditer(text):
-        k = m.start() // STEP
-        for i in (k - 1, k):
-            if i >= 0:
-                out[i * STEP] = None
-    return list(out)
+def places(text: str) -> range:
+    """Where the windows to learn from begin; they overlap by WIDE - STEP characters and leave nothing out."""
+    return range(0, max(1, len(text) - STEP), STEP)
 
 
 def training_windows(docs: DataFrame, most: int, text_col: str = "text", spans_col: str | None = None) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """At most `most` labelled windows for the driver: of each kind, and of those without spans, the ones with the smallest hashes.
+    """At most `most` labelled windows for the driver: of each stratum, the ones with the smallest hashes.
 
     Spans are those of the column, or of the rules. A task keeps no more than it may send.
     """
-    each = -(-most // (len(KINDS) + 1))
+    strata = len(KINDS) + 2
+    each = max(1, most // strata)
     kind = "array<struct<begin:int,kind:int,end:int>>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in range(len(KINDS) + 1)]
+        held: list[list] = [[] for _ in range(strata)]
         known: list[set] = [set() for _ in held]
         for b in batches:
             given = b.column(1).to_pylist() if b.num_columns > 1 else None
             for row, text in enumerate(b.column(0).to_pylist()):
-                if text and (given or TRIGGER.search(text)):
+                if text:
                     spans = sorted((s["begin"], s["kind"], s["end"]) for s in given[row] or []) if given else base_spans(text)
-                    for stratum, window, inside in windows_of(text, spans):
+                    for stratum, window, inside in windows_of(text, spans, plain=True):
                         key = xxhash.xxh64_intdigest(window.encode("utf-8", "replace"), 5) >> 1
                         if key in known[stratum] or (len(held[stratum]) >= each and -held[stratum][0][0] <= key):
                             continue
@@ -335,8 +388,6 @@ def training_windows(docs: DataFrame, most: int, text_col: str = "text", spans_c
 def plausible(kind: int, span: str) -> bool:
     """What a span that the network adds must hold besides; rules may ask more."""
     digits = DIGITS.findall(span)
-    if not digits and "@" not in span:
-        return False
     if kind == 0:
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s*(@|[(\[]at[)\]])\s*[A-Za-z0-9-]+([\s.(\[)\]]+|dot)+[A-Za-z0-9].*", span, re.S))
     if kind == 1:
@@ -365,44 +416,50 @@ def reconciled(found: dict[tuple[int, int, int], float]) -> list[tuple[int, int,
     return sorted(out)
 
 
-def proposals(tagger: Tagger, texts: list[str], batch: int = 512) -> list[dict[tuple[int, int, int], float]]:
-    """Per text the plausible spans of its windows, with their scores added up over windows.
+def reads(length: int) -> Iterator[tuple[int, int]]:
+    """The windows in which a text is read, without a gap."""
+    for at in range(0, max(1, length - SHARED), READ - SHARED):
+        yield at, min(at + READ, length)
+
+
+def proposals(tagger: Tagger, texts: list[str], batch: int = 1000) -> list[dict[tuple[int, int, int], float]]:
+    """Per text the plausible spans of its windows, with their scores added up over windows. Every character is read.
 
     A span at a window's edge, where the text goes on, is left to the next window, which holds it whole.
     """
     found: list[dict] = [{} for _ in texts]
-    held: list[tuple[int, int]] = []
+    held: list[tuple[int, int, np.ndarray]] = []
 
     def read() -> None:
-        x = np.full((WIDE, len(held)), PAD, np.int16)
-        for i, (row, at) in enumerate(held):
-            own_ = classes(texts[row][at : at + WIDE])
-            x[: len(own_), i] = own_
-        tags, margin = tagger.decode(x)
-        for i in np.flatnonzero((tags > 0).any(axis=0)):
-            row, at = held[i]
-            text, own_, t = texts[row], tags[:, i], 0
-            while t < WIDE:
-                if own_[t] % 2 == 1:
-                    kind, end = (int(own_[t]) - 1) // 2, t + 1
-                    while end < WIDE and own_[end] == 2 + 2 * kind:
-                        end += 1
-                    begin_, end_ = at + t, min(at + end, len(text))
-                    while end_ > begin_ and text[end_ - 1].isspace():
-                        end_ -= 1
-                    whole = (t > 0 or at == 0) and (end < WIDE or at + WIDE >= len(text))
-                    if whole and plausible(kind, text[begin_:end_]):
-                        key = (begin_, kind, end_)
-                        found[row][key] = found[row].get(key, 0.0) + max(1e-3, float(margin[t:end, i].sum()))
-                    t = end
-                else:
-                    t += 1
+        held.sort(key=lambda w: -len(w[2]))
+        sizes = np.array([len(w[2]) for w in held])
+        x = np.full((sizes[0] + 1, len(held)), PAD, np.int16)  # all end with O, whatever else is in the batch
+        for i, (_, _, points) in enumerate(held):
+            x[: len(points), i] = points
+        e = tagger.emissions(x, sizes)
+        chosen = tagger.open(e)
+        tags, margin = tagger.best(e[:, chosen])
+        for i, column in enumerate(chosen):
+            row, at, points = held[column]
+            text, own_, size = texts[row], tags[: len(points), i], len(points)
+            for t in np.flatnonzero(own_ % 2 == 1).tolist():
+                kind, end = (int(own_[t]) - 1) // 2, t + 1
+                while end < size and own_[end] == 2 + 2 * kind:
+                    end += 1
+                begin_, end_ = at + t, at + end
+                while end_ > begin_ and text[end_ - 1].isspace():
+                    end_ -= 1
+                whole = (t > 0 or at == 0) and (end < size or at + size == len(text))
+                if whole and plausible(kind, text[begin_:end_]):
+                    key = (begin_, kind, end_)
+                    found[row][key] = found[row].get(key, 0.0) + max(1e-3, float(margin[t:end, i].sum()))
         held.clear()
 
     for row, text in enumerate(texts):
-        if text and TRIGGER.search(text):
-            for at in places(text):
-                held.append((row, at))
+        if text:
+            points = classes(text)
+            for at, end in reads(len(text)):
+                held.append((row, at, points[at:end]))
                 if len(held) == batch:
                     read()
     if held:
@@ -433,9 +490,9 @@ def personal_data(docs: DataFrame, most: int = 1000, labelled: DataFrame | None
 
     The network learns from `labelled` (texts with spans of begin, kind number, end), or, without it, from what the rules find in
     docs, each span also written in ways that the rules do not read: windows of WIDE characters, at most `most`, those with
-    the smallest hashes. Every whole text is read in overlapping windows; those without a digit or @, without which
-    nothing is a span, are skipped. An added span is plausible for its kind, overlaps none of the rules', and is one of
-    the disjoint spans with the greatest score over all windows of its text; it has at most WIDE - STEP - 2 characters.
+    the smallest hashes. Every whole text is read in overlapping windows of READ characters, whatever they hold. An added span
+    is plausible for its kind, overlaps none of the rules', and is one of the disjoint spans with the greatest score over all
+    windows of its text; one of more than SHARED - 2 characters is found unless it lies across a window's end.
 
     Null and empty texts have no spans; long texts are read whole; repeated rows each; a null doc_id stays. If there is
     nothing to learn from, nothing is added; empty tables give no rows. Other columns are ignored. No row is exchanged.

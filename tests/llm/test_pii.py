@@ -114,6 +114,58 @@ def test_windows_skipped_hold_no_span(tagger, monkeypatch):
     assert pii.spans_of(tagger, texts) == some
 
 
+def test_data_without_digit_or_at_is_found():
+    rng, windows = random.Random(8), []
+    name = lambda: prose(rng, 1).strip(".")
+
+    def text(n):
+        head, span = prose(rng, n), f"{name()}(at){name()}(dot)com"
+        return f"{head} {span} {prose(rng, n)}", (len(head) + 1, 0, len(head) + 1 + len(span))
+
+    for _ in range(600):
+        t, span = text(rng.randint(2, 4))
+        windows += [(t[: pii.WIDE], [span])] * (span[2] <= pii.WIDE) + [(prose(rng, 15)[: pii.WIDE], [])]
+    tagger = pii.fit(windows, epochs=40)
+    made = [text(rng.choice([5, 50, 1000])) for _ in range(40)]
+    got = [{s[:3] for s in found} for found in pii.spans_of(tagger, [t for t, _ in made])]
+    assert sum(span in g for (_, span), g in zip(made, got)) >= 32
+    assert sum(len(g - {span}) for (_, span), g in zip(made, got)) <= 2
+
+
+def test_every_character_is_read(monkeypatch):
+    seen, tagger = [], pii.Tagger.fresh(1)
+    texts = ["", "a", prose(random.Random(3), 900), "x y\n" * 2000, "ab " * 30]
+    whole = pii.Tagger.emissions
+    monkeypatch.setattr(pii.Tagger, "emissions", lambda self, x, sizes: seen.append((x, sizes)) or whole(self, x, sizes))
+    pii.proposals(tagger, texts, batch=4)
+    got = sorted(x[:n, i].tobytes() for x, sizes in seen for i, n in enumerate(sizes))
+    assert got == sorted(pii.classes(t[a:b]).tobytes() for t in texts if t for a, b in pii.reads(len(t)))
+    for n in (1, 40, pii.SHARED, pii.READ - 1, pii.READ, pii.READ + 1, 3 * pii.READ, 20_000):
+        windows = list(pii.reads(n))
+        assert windows[0][0] == 0 and windows[-1][1] == n and all(b - c == pii.SHARED for (_, b), (c, _) in zip(windows, windows[1:]))
+
+
+def test_windows_left_out_of_viterbi_are_all_o():
+    rng, spared = np.random.default_rng(0), 0
+    for seed in range(40):
+        tagger = pii.Tagger.fresh(seed)
+        tagger.weights["moves"] = rng.normal(0, 1, tagger.weights["moves"].shape).astype(np.float32)
+        tagger.weights["out_bias"][0] += seed / 6
+        sizes = np.sort(rng.integers(1, 40, 50))[::-1]
+        x = rng.integers(1, pii.CLASSES, (sizes[0] + 1, 50)).astype(np.int16)
+        e = tagger.emissions(x, sizes)
+        tags, _ = tagger.best(e)
+        shut = np.setdiff1d(np.arange(50), tagger.open(e))
+        assert not tags[:, shut].any()
+        spared += len(shut)
+        for i in (0, 20, 49):  # a window's tags do not depend on what else is in its batch
+            alone = x[: sizes[i] + 1, i : i + 1]
+            assert (tagger.best(tagger.emissions(alone, sizes[i : i + 1]))[0][:, 0] == tags[: sizes[i] + 1, i]).all()
+            plain = np.concatenate([tagger.states(alone[:-1], d) for d in "fb"], axis=2) @ tagger.weights["out"] + tagger.weights["out_bias"]
+            assert np.abs(plain[:, 0, 1:] - plain[:, 0, :1] - e[: sizes[i], i]).max() < 1e-4
+    assert spared > 100
+
+
 def test_other_ways_of_writing_are_found(tagger):
     rng, hit, wanted, extra = random.Random(9), 0, 0, 0
     for _, text, *_ in planted(7, 40):
