@@ -174,28 +174,32 @@ def runs(ids: np.ndarray) -> np.ndarray:
     return np.insert(out, np.searchsorted(at, np.flatnonzero(ends), "right"), np.uint64(0))
 
 
+#: Ids with the number of the part, a task's output, in which they were written.
+IDS = "part int, ids array<long>"
+
+
 def rows_of(ids: np.ndarray, most: int = 1 << 12) -> Iterator[pa.RecordBatch]:
-    """Rows of about `most` ids, cut at a 0 only."""
-    zeros, begin = np.flatnonzero(ids == 0), 0
+    """Rows of IDS of about `most` ids, cut at a 0 only."""
+    zeros, begin, part = np.flatnonzero(ids == 0), 0, pa.array([TaskContext.get().partitionId()], pa.int32())
     while begin < len(ids):
         end = int(zeros[min(np.searchsorted(zeros, begin + most), len(zeros) - 1)]) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([ids[begin:end].view(np.int64)], pa.list_(pa.int64()))], ["ids"])
+        yield pa.RecordBatch.from_arrays([part, pa.array([ids[begin:end].view(np.int64)], pa.list_(pa.int64()))], ["part", "ids"])
         begin = end
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The ids of a task, about FLUSH at once; rows end with a 0."""
-    held, n = [], 0
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """The ids of a task, about FLUSH of one part at once, after the part's number; rows end with a 0."""
+    held, n, last = [], 0, 0
     for b in batches:
-        lists = b.column(0)
-        for row in range(len(lists)):
-            held.append(lists.slice(row, 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            n += len(held[-1])
-            if n >= FLUSH:
-                yield np.concatenate(held)
+        lists = b.column(1)
+        for row, part in enumerate(b.column(0).to_pylist()):
+            if n and (n >= FLUSH or part != last):
+                yield last, np.concatenate(held)
                 held, n = [], 0
+            held.append(lists.slice(row, 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            n, last = n + len(held[-1]), part
     if n:
-        yield np.concatenate(held)
+        yield last, np.concatenate(held)
     held.clear()
     pa.default_memory_pool().release_unused()
 
@@ -239,18 +243,30 @@ def blocks(slice_: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([slice_], pa.int32()), pa.array([block], pa.int32()), pa.array([task], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["slice", "block", "task", "counts"])
 
 
-def likely(ids: DataFrame, least: int) -> np.ndarray:
-    """A bitmap of the hashes that `least` pairs or more have: a pair with another hash cannot be frequent.
+#: Bits of a hash that deal it to one of the parts which have it.
+DEAL = 0xFFF
+
 
-    Tasks add up equal hashes before they send them, so that no pair is common in what is exchanged.
+def frequent_hashes(ids: DataFrame, least: int) -> DataFrame:
+    """`h`, `n`, `part` of the hashes that `least` pairs or more have: a pair with another hash cannot be frequent.
+
+    Tasks add up equal hashes before they send them, so that no pair is common in what is exchanged. `part` is one of those that have
+    the hash, dealt evenly by its bits.
     """
 
     def count(batches):
-        for flat in gathered(batches):
+        for part, flat in gathered(batches):
             h, n = np.unique(mixed(*pairs_of(flat)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+            turn = np.int32(part) ^ (h & np.uint64(DEAL)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(turn)], ["h", "n", "turn"])
+
+    sums = ids.mapInArrow(count, "h long, n int, turn int").groupBy("h").agg(F.sum("n").alias("n"), F.min("turn").alias("turn"))
+    return sums.where(F.col("n") >= least).select("h", "n", F.col("turn").bitwiseXOR(F.col("h").bitwiseAND(F.lit(DEAL)).cast("int")).alias("part"))
 
-    return bitmap(ids.mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+
+def likely(hashes: DataFrame, owned: bool) -> np.ndarray:
+    """A bitmap of the hashes, if `owned` each mixed with its part."""
+    return bitmap(hashes.select(F.col("h").bitwiseXOR(F.shiftleft(F.col("part").cast("long"), 38)).alias("h") if owned else "h"))
 
 
 class Sent:
@@ -268,19 +284,20 @@ class Sent:
         return fresh
 
 
-def candidates(ids: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """Distinct neighbouring pairs of frequent ids (with a likely hash), with the 16 bits that deal them to slices.
+def candidates(ids: DataFrame, hashes: np.ndarray, owned: bool) -> DataFrame:
+    """Neighbouring pairs of frequent ids (with a likely hash), with the 16 bits that deal them to slices.
 
-    A task sends a pair again only if another one took its place among those that it remembers.
+    If `owned`, a pair is sent from the one part of its hash, else from every task that has it. A task sends a pair again
+    only if another one took its place among those that it remembers.
     """
     known = ids.sparkSession.sparkContext.broadcast(hashes)
 
     def pick(batches):
         sent = Sent()
-        for flat in gathered(batches):
+        for part, flat in gathered(batches):
             p, s = pairs_of(flat)
             h = mixed(p, s)
-            keep = inside(known.value, h)
+            keep = inside(known.value, h ^ np.uint64(part << 38 & 2**64 - 1) if owned else h)
             p, s, h = p[keep], s[keep], h[keep]
             order = np.lexsort((s, p))
             p, s, h = p[order], s[order], h[order]
@@ -290,7 +307,26 @@ def candidates(ids: DataFrame, hashes: np.ndarray) -> DataFrame:
             columns = [pa.array((h[new] & np.uint64(0xFFFF)).astype(np.int32)), pa.array(p[new].view(np.int64)), pa.array(s[new].view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["cell16", "p", "s"])
 
-    return ids.mapInArrow(pick, "cell16 int, p long, s long").distinct()
+    return ids.mapInArrow(pick, "cell16 int, p long, s long")
+
+
+def frequent_pairs(ids: DataFrame, least: int) -> DataFrame:
+    """`p`, `s`, `f` of the neighbouring pairs that occur `least` times or more.
+
+    A candidate is sent from one part. Only pairs of equal hashes may be missed by that: then the pairs found are fewer than the hashes
+    counted, and every task sends its candidates.
+    """
+    hashes = materialise(frequent_hashes(ids, least), "phrase-hashes")
+    wanted = hashes.agg(F.sum("n")).first()[0]
+    for owned in (True, False):
+        pairs = materialise(candidates(ids, likely(hashes, owned), owned).distinct(), "phrase-candidates")
+        kept = counted(ids, perfect(pairs), least)
+        discard(pairs)
+        if not owned or kept.agg(F.sum("f")).first()[0] == wanted:
+            break
+        discard(kept)
+    discard(hashes)
+    return kept
 
 
 def counted(ids: DataFrame, uris: list[str], least: int) -> DataFrame:
@@ -298,7 +334,7 @@ def counted(ids: DataFrame, uris: list[str], least: int) -> DataFrame:
 
     def count(batches):
         held: dict[int, np.ndarray] = {}
-        for flat in gathered(batches):
+        for _, flat in gathered(batches):
             for i, _, slot in found(uris, *pairs_of(flat)):
                 if len(held) >= 4 and i not in held:
                     for j, counts in held.items():
@@ -329,13 +365,13 @@ def relabelled(ids: DataFrame, uris: list[str]) -> DataFrame:
     """Each id replaced by that of the frequent pair which begins there; what makes no pair goes."""
 
     def label(batches):
-        for flat in gathered(batches):
+        for _, flat in gathered(batches):
             at = np.flatnonzero((flat[:-1] != 0) & (flat[1:] != 0))
             out = np.zeros(len(flat), np.uint64)
             out[at] = labelled(uris, flat[at], flat[at + 1])
             yield from rows_of(runs(out))
 
-    return materialise(ids.mapInArrow(label, "ids array<long>"), "phrase-ids")
+    return materialise(ids.mapInArrow(label, IDS), "phrase-ids")
 
 
 def with_ids(pairs: DataFrame, uris: list[str]) -> DataFrame:
@@ -423,7 +459,7 @@ def encoded(rows: DataFrame, salt: str, bits: np.ndarray) -> DataFrame:
                     flat.append(np.zeros(1, np.uint64))
                 yield from rows_of(runs(np.concatenate(flat)))
 
-    return materialise(rows.mapInArrow(encode, "ids array<long>"), "phrase-ids")
+    return materialise(rows.mapInArrow(encode, IDS), "phrase-ids")
 
 
 def scored(phrases: DataFrame) -> DataFrame:
@@ -450,7 +486,8 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
     No text is exchanged: tasks exchange counts of words, distinct candidates and arrays of counts. A task's memory is
     bounded by FLUSH ids, MEMO pairs and one perfect hash of SLICE pairs; candidates beyond that are more slices, which a task goes
     through in turn. Of the pairs of frequent phrases, whose number grows fastest, only those are candidates whose
-    hash `least` pairs have; a bitmap of fixed size says so, and lets a few others pass, which are counted in vain.
+    hash `least` pairs have, and each is sent from one of the parts that have it; a bitmap of fixed size says so, and lets a few
+    others pass, which are counted in vain.
     """
     with small_batches(docs.sparkSession):
         return best(*counted_levels(docs.select(lang_of(docs, lang_col).alias("lang"), own(docs, text_col).cast("string").alias("text")), least, longest), most)
@@ -479,8 +516,7 @@ def counted_levels(rows: DataFrame, least: int, longest: int) -> tuple[list[Data
     level = frequent.select("id", "lang", F.array("word").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels: list[DataFrame] = []
     for k in range(2, longest + 1):
-        pairs = materialise(candidates(ids, likely(ids, least)), "phrase-candidates")
-        kept = counted(ids, perfect(pairs), least)
+        kept = frequent_pairs(ids, least)
         uris = perfect(with_cells(kept))
         first, last = (level.select(*[F.col(c).alias(f"{side}_{c}") for c in level.columns]) for side in ("first", "last"))
         joined = with_ids(kept, uris).join(first, F.col("p") == F.col("first_id")).join(last, F.col("s") == F.col("last_id"))
@@ -494,7 +530,6 @@ def counted_levels(rows: DataFrame, least: int, longest: int) -> tuple[list[Data
         if k < longest:
             done, ids = ids, relabelled(ids, uris)
             discard(done)
-        discard(pairs)
         discard(kept)
     discard(ids)
     return levels, totals

@@ -95,6 +95,34 @@ def test_a_pair_is_sent_once_by_a_task(monkeypatch):
     assert one.new(p, s, h).all() and one.new(p, s, h).sum() == 99
 
 
+def test_a_candidate_is_sent_from_one_part(spark):
+    rows = texts(7, 400)
+    docs = frame(spark, rows).repartition(8).selectExpr("coalesce(lang, 'und') lang", "text")
+    salt = phrases.unmistakable(phrases.word_counts(docs), 6)
+    ids = phrases.encoded(docs, salt, np.full(1 << 20, 2**64 - 1, np.uint64))  # all words
+    hashes = phrases.frequent_hashes(ids, 6)
+    assert ids.select("part").distinct().count() == 8 and hashes.select("part").distinct().count() == 8
+    owned, all_ = (phrases.candidates(ids, phrases.likely(hashes, o), o) for o in (True, False))
+    assert hashes.count() <= owned.distinct().count() <= owned.count() <= 1.01 * hashes.count()
+    assert all_.count() > 1.5 * owned.count()  # a local task reads several parts
+    assert owned.distinct().join(all_.distinct(), ["p", "s"], "left_semi").count() == owned.distinct().count()
+
+
+def test_candidates_that_their_part_does_not_send_are_asked_of_all(spark, monkeypatch):
+    rows, send, asked = texts(8), phrases.candidates, []
+
+    def fewer(ids, hashes, owned):
+        asked.append(owned)
+        return send(ids, hashes, owned).where("p % 3 != 0" if owned else "true")
+
+    monkeypatch.setattr(phrases, "candidates", fewer)
+    assert result(phrases.collocations(frame(spark, rows).repartition(3), least=6)) == brute(rows, 6)
+    assert False in asked
+    asked.clear()
+    monkeypatch.setattr(phrases, "candidates", lambda ids, hashes, owned: asked.append(owned) or send(ids, hashes, owned))
+    assert result(phrases.collocations(frame(spark, rows).repartition(3), least=6)) == brute(rows, 6) and all(asked)
+
+
 def test_most_is_taken_by_language(spark):
     rows = texts(5)
     assert result(phrases.collocations(frame(spark, rows), least=6, most=3)) == brute(rows, 6, most=3)
