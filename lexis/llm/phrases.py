@@ -27,11 +27,12 @@ from ..shared import discard
 from .common import bitmap, bytes_of, inside, materialise, new_path, own, pieces
 
 #: Pairs in a perfect hash, counts in a block of an array, arrays that one step of a tree sums, ids that a task counts at once.
-SLICE, BLOCK, FAN, FLUSH = 1 << 19, 1 << 13, 32, 1 << 19
+SLICE, BLOCK, FAN, FLUSH = 1 << 19, 1 << 11, 32, 1 << 19
 #: Pairs that a task remembers to have sent.
 MEMO = 1 << 20
-#: Rows that Spark hands to a task's Python at once, of texts or of up to 4096 ids (or one piece of text).
-ROWS = 500
+#: Rows that Spark hands to a task's Python at once, of texts, of about ROW ids (or one piece of text) or of BLOCK counts, and the bytes of
+#: such a batch. Spark's reader takes as many rows, so that no array in an executor's heap is wide, however many rows there are.
+ROWS, ROW, BATCH = 500, 1 << 10, "4m"
 #: Lower case; separators become line ends, tabs blanks. A lone full stop, which no word holds, then stands for a break.
 FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -178,7 +179,7 @@ def runs(ids: np.ndarray) -> np.ndarray:
 IDS = "part int, ids array<long>"
 
 
-def rows_of(ids: np.ndarray, most: int = 1 << 12) -> Iterator[pa.RecordBatch]:
+def rows_of(ids: np.ndarray, most: int = ROW) -> Iterator[pa.RecordBatch]:
     """Rows of IDS of about `most` ids, cut at a 0 only."""
     zeros, begin, part = np.flatnonzero(ids == 0), 0, pa.array([TaskContext.get().partitionId()], pa.int32())
     while begin < len(ids):
@@ -495,14 +496,16 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """ROWS a batch while the levels are counted, which is done when this ends."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(ROWS))
+    """ROWS a batch, of BATCH bytes at most, while the levels are counted, which is done when this ends."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": BATCH, "spark.sql.parquet.columnarReaderBatchSize": str(ROWS)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def counted_levels(rows: DataFrame, least: int, longest: int) -> tuple[list[DataFrame], DataFrame]:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,16 @@ def test_tree_sum_over_many_tasks(spark, monkeypatch):
     parts = spark.createDataFrame([(0, b, t, (one * (b + 1)).tobytes()) for b in range(2) for t in range(20)], phrases.PARTS)
     got = {r.block: np.frombuffer(r["counts"], np.int64) for r in phrases.tree_sum(parts).collect()}
     assert (got[0] == 20 * one).all() and (got[1] == 40 * one).all()
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Neither a batch of ids or counts that Python gets nor a row of ids grows with the input: executors keep their memory."""
+    wide = spark.range(0, 800, 1, 1).selectExpr("transform(sequence(1, 8192), x -> x + id) ids")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    before = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    with phrases.small_batches(spark):
+        most = max(r.n for r in wide.mapInArrow(sizes, "n long").collect())
+        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= phrases.ROWS
+    assert most <= 8 << 20
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == before
+    assert 8 * phrases.BLOCK * phrases.ROWS <= 8 << 20 and 8 * phrases.ROW * phrases.ROWS <= 8 << 20
